@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.text import filled
 from ledgerhop.operators.ordering import first_rows, running_sum, top_rows
 from ledgerhop.operators.skew import salt_hot_keys
 
@@ -100,9 +99,6 @@ def block_by(blocks: DataFrame, number: int | None = None, block_hash: str | Non
     return blocks.filter(F.col("block_hash") == block_hash)
 
 
-PAGE_ORDER = [F.desc, F.desc, F.asc]
-
-
 def page(
     df: DataFrame, limit: int, offset: int = 0, order: Sequence[Column | str] | None = None
 ) -> DataFrame:
@@ -115,18 +111,12 @@ def page(
     head = df.orderBy(*keys).limit(offset + limit + 1)
     ranked = top_rows(head.withColumn("_page", F.lit(0)), ["_page"], keys, offset + limit + 1, "position")
     return (
-        ranked.withColumn("has_more", F.max("position").over(_whole("_page")) > offset + limit)
+        ranked.withColumn("has_more", F.max("position").over(Window.partitionBy("_page")) > offset + limit)
         .filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
         .drop("_page")
     )
 
 
-def _whole(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 def wallet_history(transactions: DataFrame, transfers: DataFrame, address: str, limit: int = 50) -> DataFrame:
     """First transactions of a wallet on either side, oldest first."""
     found = with_matching_transfer(transactions, transfers, touches(address))
@@ -246,6 +236,3 @@ def case_transactions(
     found = transactions.join(hashes, ["chain", "tx_hash"], "left_semi")
     return page(found, limit, offset, [F.desc("block_number"), F.asc("tx_hash")])
 
-
-def asset_symbol_or(default: str) -> Column:
-    return F.coalesce(filled(F.col("asset_symbol")), F.lit(default))

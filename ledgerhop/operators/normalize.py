@@ -6,6 +6,7 @@ functions and only then exploded, so normalisation needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -443,26 +444,32 @@ def dispatch_by_chain(records: DataFrame) -> DataFrame:
     )
 
 
-def default_transfer_fields(rows: DataFrame) -> DataFrame:
-    """Fill the fields of loosely named transfer rows.
-
-    Reads whichever of the known field names the table has.
-    """
+def _reader(rows: DataFrame) -> Callable[..., Column]:
+    """Text of the first present, non-NULL column among several accepted names."""
     have = set(rows.columns)
 
     def col(*names: str) -> Column:
         present = [F.col(n).cast("string") for n in names if n in have]
         return F.coalesce(*present) if present else F.lit(None).cast("string")
 
-    index = F.coalesce(col("transfer_index").cast("int"), F.lit(0))
-    tx = col("tx_hash", "tx_id")
+    return col
+
+
+def _default_id(col: Callable[..., Column], *names: str) -> Column:
+    index = F.coalesce(col("transfer_index"), F.lit("0"))
+    tx = F.coalesce(filled(col("tx_hash", "tx_id")), F.lit("tx"))
+    return F.coalesce(col(*names), F.concat_ws("_", tx, index))
+
+
+def default_transfer_fields(rows: DataFrame) -> DataFrame:
+    """Fill the fields of loosely named transfer rows."""
+    col = _reader(rows)
     symbol = F.coalesce(col("asset_symbol", "asset"), filled(col("token_symbol")), F.lit("ETH"))
     contract = filled(col("token_contract"))
-    amount = F.coalesce(col("normalized_amount"), col("amount"), col("raw_amount"), F.lit("0"))
-    raw = F.coalesce(col("raw_amount"), col("normalized_amount"), col("amount"), F.lit("0"))
+    zero = F.lit("0")
     return rows.select(
-        F.coalesce(col("transfer_id"), F.concat_ws("_", F.coalesce(filled(tx), F.lit("tx")), index)).alias("transfer_id"),
-        tx.alias("tx_hash"),
+        _default_id(col, "transfer_id").alias("transfer_id"),
+        col("tx_hash", "tx_id").alias("tx_hash"),
         canonical_chain(F.coalesce(col("chain"), F.lit("ethereum")), "ethereum").alias("chain"),
         col("from_address").alias("from_address"),
         col("to_address").alias("to_address"),
@@ -470,9 +477,37 @@ def default_transfer_fields(rows: DataFrame) -> DataFrame:
         F.coalesce(col("asset_id"), contract, symbol).alias("asset_id"),
         symbol.alias("asset_symbol"),
         col("token_contract").alias("token_contract"),
-        raw.alias("raw_amount"),
-        amount.try_cast(AMOUNT).alias("amount"),
-        index.alias("transfer_index"),
+        F.coalesce(col("raw_amount", "normalized_amount", "amount"), zero).alias("raw_amount"),
+        F.coalesce(col("normalized_amount", "amount", "raw_amount"), zero).try_cast(AMOUNT).alias("amount"),
+        F.coalesce(col("transfer_index").cast("int"), F.lit(0)).alias("transfer_index"),
+    )
+
+
+def default_transaction_fields(rows: DataFrame) -> DataFrame:
+    """Fill hash, provider, chain, time and fee of loosely named transaction rows."""
+    col = _reader(rows)
+    return rows.select(
+        col("tx_hash", "tx_id").alias("tx_hash"),
+        canonical_chain(F.coalesce(col("chain"), F.lit("ethereum")), "ethereum").alias("chain"),
+        F.coalesce(col("provider", "source"), F.lit("FIXTURE")).alias("provider"),
+        parse_time(col("timestamp")).alias("ts"),
+        col("fee").try_cast(AMOUNT).alias("fee"),
+    )
+
+
+def default_edge_fields(rows: DataFrame) -> DataFrame:
+    """Fill id, asset and amount of loosely named edge rows."""
+    col = _reader(rows)
+    symbol = F.coalesce(col("asset_symbol", "asset"), F.lit("ETH"))
+    return rows.select(
+        _default_id(col, "transfer_id", "id").alias("transfer_id"),
+        _default_id(col, "id", "transfer_id").alias("edge_key"),
+        col("tx_hash", "tx_id").alias("tx_hash"),
+        col("source").alias("source"),
+        col("target").alias("target"),
+        F.coalesce(col("asset_id"), symbol).alias("asset_id"),
+        symbol.alias("asset_symbol"),
+        col("amount").try_cast(AMOUNT).alias("amount"),
     )
 
 

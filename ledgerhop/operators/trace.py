@@ -161,28 +161,31 @@ def _within_nodes(fresh: DataFrame, visited: DataFrame, budget: int) -> DataFram
 
 
 def trace_edges(
-    edges: DataFrame, traced: DataFrame, any_direction: bool = False, hot_rows: int = 1_000_000
+    edges: DataFrame,
+    traced: DataFrame,
+    directions: Sequence[str] = ("outgoing", "incoming", "any"),
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Edges leaving every expanded node (``hop < max_hops``) in its case's direction.
 
     In directed traces an edge has one near end, so it comes once per case.  Direction
-    ``any`` looks at both ends and drops the second copy.
+    ``any`` looks at both ends and drops the second copy.  Naming the directions in use
+    saves the reads for the others.
     """
     expanded = traced.filter(F.col("hop") < F.col("max_hops")).select(
         "case_id", "chain", "direction", "node"
     )
-
-    def leaving(end: str, directions: list[str]) -> DataFrame:
-        table = salt_hot_keys(
-            edges.withColumn("node", F.col(end)), ["chain", "node"], ["transfer_id"], hot_rows
-        )
-        probe = expanded.filter(F.col("direction").isin(directions)).drop("direction")
-        return table.join(probe).drop("node")
-
-    out = leaving("source", ["outgoing", "any"]).unionByName(
-        leaving("target", ["incoming", "any"])
-    )
-    if any_direction:
+    sides = []
+    for end, ways in (("source", ("outgoing", "any")), ("target", ("incoming", "any"))):
+        used = [w for w in ways if w in directions]
+        if used:
+            table = salt_hot_keys(
+                edges.withColumn("node", F.col(end)), ["chain", "node"], ["transfer_id"], hot_rows
+            )
+            probe = expanded.filter(F.col("direction").isin(used)).drop("direction")
+            sides.append(table.join(probe).drop("node"))
+    out = reduce(DataFrame.unionByName, sides)
+    if "any" in directions:
         out = first_rows(out, ["case_id", "transfer_id"], ["ts", "tx_hash"])
     return out
 
@@ -309,9 +312,11 @@ def hop_layers(traced: DataFrame) -> DataFrame:
     return traced.groupBy("case_id", "hop").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def subgraph(edges: DataFrame, traced: DataFrame, any_direction: bool = False) -> tuple[DataFrame, DataFrame]:
+def subgraph(
+    edges: DataFrame, traced: DataFrame, directions: Sequence[str] = ("outgoing",)
+) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges a traversal touched."""
-    return traced.select("case_id", "node", "hop"), trace_edges(edges, traced, any_direction)
+    return traced.select("case_id", "node", "hop"), trace_edges(edges, traced, directions)
 
 
 def forward_closure(edges: DataFrame, roots: DataFrame, rounds: int = 5) -> DataFrame:

@@ -52,7 +52,7 @@ def case_graph(
     pairs = trace.neighbour_table(edges, ways, detail=True)
     traced = trace.trace_with_budget(cases, pairs, max_transactions, max_nodes, hop_cap)
     # Under a budget only edges between collected nodes belong to the case.
-    found = trace.trace_edges(edges, traced, any_direction="any" in ways)
+    found = trace.trace_edges(edges, traced, ways)
     if max_transactions is not None or max_nodes is not None:
         for end in ("source", "target"):
             kept = traced.select("case_id", F.col("node").alias(end))
@@ -63,7 +63,7 @@ def case_graph(
         hit = spent.filter(F.col("n") >= max_transactions).select("case_id")
     bounded = stage(trace.with_boundaries(traced, pairs, hit), "traced")
     case_edges = stage(
-        graph.annotate_edges(found.drop("direction"), bounded, cases, constant_hops), "case-edges"
+        graph.annotate_edges(found, bounded, cases, constant_hops), "case-edges"
     )
     nodes = graph.node_table(cases, case_edges, labels, bounded)
     return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), pairs)

@@ -5,12 +5,20 @@ from pyspark.sql import types as T
 AMOUNT = T.DecimalType(38, 18)
 
 
+_KINDS = {
+    "amount": AMOUNT,
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    fields = []
-    for part in text.replace("\n", " ").split(","):
-        name, kind = part.split()
-        fields.append(T.StructField(name, AMOUNT if kind == "amount" else T.DataType.fromDDL(kind)))
-    return T.StructType(fields)
+    pairs = [part.split() for part in text.replace("\n", " ").split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 TRANSFERS = _struct(
@@ -38,74 +46,60 @@ TRUTH = _struct(
     has_breakpoint boolean, expected_breakpoint_address string"""
 )
 
+# Nested raw inputs, as DDL text (Spark parses it where it is used).
 # Amounts and fees stay text so that the decimals of the file are kept exactly.
-RAW_RECORD = T.DataType.fromDDL(
-    """struct<tx_id string, tx_hash string, chain string, block_number bigint, timestamp string,
+RAW_RECORD = """tx_id string, tx_hash string, chain string, block_number bigint, timestamp string,
     status string, from_address string, to_address string, asset string, amount string,
     fee string, source string, raw_reference string,
     transfers array<struct<tx_id string, tx_hash string, from_address string, to_address string,
       asset string, token_symbol string, token_contract string, token_decimals int,
-      amount string>>>"""
-)
+      amount string>>"""
 
-RAW_UTXO = T.DataType.fromDDL(
-    """struct<txid string, tx_hash string, tx_id string, block_height bigint, block_number bigint,
+RAW_UTXO = """txid string, tx_hash string, tx_id string, block_height bigint, block_number bigint,
     block_hash string, timestamp string, block_time string,
     status string, confirmed boolean, fee string, raw_reference string, confirmations int,
     from_address string, to_address string, amount string,
     vin array<struct<txid string, vout int, address string, value string, coinbase string,
       prevout struct<scriptpubkey_address string, value string>>>,
-    vout array<struct<scriptpubkey_address string, address string, value string, n int>>>"""
-)
+    vout array<struct<scriptpubkey_address string, address string, value string, n int>>"""
 
 _TOKEN = """array<struct<`from` string, `to` string, from_address string, to_address string,
     contract_address string, token_contract string, symbol string, token_symbol string,
     decimals int, token_decimals int, amount string, value string>>"""
 
-RAW_ACCOUNT = T.DataType.fromDDL(
-    f"""struct<hash string, tx_hash string, tx_id string, chain string, blockNumber bigint,
+RAW_ACCOUNT = f"""hash string, tx_hash string, tx_id string, chain string, blockNumber bigint,
     block_number bigint, blockHash string, block_hash string, timestamp string, block_time string,
     `from` string, `to` string, from_address string, to_address string, value string,
     amount string, fee string, gasUsed string, gasPrice string, input string, status string,
     raw_reference string, confirmations int,
-    token_transfers {_TOKEN}, tokenTransfers {_TOKEN}>"""
-)
+    token_transfers {_TOKEN}, tokenTransfers {_TOKEN}"""
 
-RAW_TRON = T.DataType.fromDDL(
-    f"""struct<txID string, hash string, tx_id string, blockNumber bigint, block_number bigint,
+RAW_TRON = f"""txID string, hash string, tx_id string, blockNumber bigint, block_number bigint,
     block_hash string, timestamp string, block_time string, raw_data struct<timestamp string>,
     owner_address string, from_address string, `from` string, to_address string, `to` string,
     amount string, value string, fee string, status string, raw_reference string,
-    confirmations int, trc20_transfers {_TOKEN}, token_transfers {_TOKEN}>"""
-)
+    confirmations int, trc20_transfers {_TOKEN}, token_transfers {_TOKEN}"""
 
-EXPLORER_TRANSFER = T.DataType.fromDDL(
-    """struct<Block struct<Hash string, Number string, Time string>, Call struct<Index int>,
+EXPLORER_TRANSFER = """Block struct<Hash string, Number string, Time string>, Call struct<Index int>,
     Log struct<Index int>, Transaction struct<Cost string, `From` string, Hash string,
       Index int, `To` string>,
     Transfer struct<Amount string, Id string, Index int, Receiver string, Sender string,
       Success boolean, Type string,
       Currency struct<Decimals int, Fungible boolean, Name string, Native boolean,
-        ProtocolName string, SmartContract string, Symbol string>>>"""
-)
+        ProtocolName string, SmartContract string, Symbol string>>"""
 
-EXPLORER_TRANSACTION = T.DataType.fromDDL(
-    """struct<Block struct<Hash string, Number string, Time string>,
+EXPLORER_TRANSACTION = """Block struct<Hash string, Number string, Time string>,
     Fee struct<Burnt string, EffectiveGasPrice string, SenderFee string>,
     Receipt struct<ContractAddress string, CumulativeGasUsed string, GasUsed string, Status string>,
     Transaction struct<Cost string, `From` string, Gas string, GasPrice string, Hash string,
       Index string, `To` string, Type int, Value string>,
-    TransactionStatus struct<EndError string, Success boolean>>"""
-)
+    TransactionStatus struct<EndError string, Success boolean>"""
 
 
-def envelope(transfers: bool) -> T.StructType:
+def envelope(transfers: bool) -> str:
     """Payload envelope ``data.EVM.Transfers`` / ``data.EVM.Transactions``."""
     name, item = ("Transfers", EXPLORER_TRANSFER) if transfers else ("Transactions", EXPLORER_TRANSACTION)
-    evm = T.StructType([T.StructField(name, T.ArrayType(item))])
-    return T.StructType(
-        [T.StructField("data", T.StructType([T.StructField("EVM", evm)]))]
-    )
+    return f"data struct<EVM struct<{name} array<struct<{item}>>>>"
 
 
 AUDIT_LOG = _struct(

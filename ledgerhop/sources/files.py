@@ -14,7 +14,7 @@ from ledgerhop.operators.ordering import first_rows
 from ledgerhop.schema import CASES, LABELS, RAW_RECORD, TRUTH, envelope
 
 
-def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_RECORD) -> DataFrame:
+def read_records(spark: SparkSession, path: str | Sequence[str], schema: str = RAW_RECORD) -> DataFrame:
     """Transaction files (a list of records or one record each), with the file name."""
     paths = [path] if isinstance(path, str) else list(path)
     return (
@@ -25,7 +25,7 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
     )
 
 
-def read_record_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_RECORD) -> DataFrame:
+def read_record_lines(spark: SparkSession, path: str, schema: str = RAW_RECORD) -> DataFrame:
     """One record per line: the splittable form for large inputs."""
     return spark.read.schema(schema).json(path).withColumn(
         "file_name", F.col("_metadata.file_name")
@@ -48,13 +48,14 @@ def with_case_alias(records: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASES).option("multiLine", True).json(path)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Case definitions: one JSON document per file, or one per line."""
+    return spark.read.schema(CASES).option("multiLine", not lines).json(path)
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     wrapper = T.StructType([T.StructField("benchmark_cases", T.ArrayType(TRUTH))])
-    raw = spark.read.schema(wrapper).option("multiLine", True).json(path)
+    raw = spark.read.schema(wrapper).option("multiLine", not lines).json(path)
     return raw.select(F.explode("benchmark_cases").alias("c")).select("c.*")
 
 
@@ -97,10 +98,15 @@ def add_records(current: DataFrame, extra: DataFrame) -> DataFrame:
     )
 
 
-def read_payload(spark: SparkSession, path: str, transfers: bool = True) -> DataFrame:
-    """Items of ``data.EVM.Transfers[]`` (or ``Transactions[]``) with file and position."""
-    schema = envelope(transfers)
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_payload(
+    spark: SparkSession, path: str, transfers: bool = True, lines: bool = False
+) -> DataFrame:
+    """Items of ``data.EVM.Transfers[]`` (or ``Transactions[]``) with file and position.
+
+    One envelope per file; files of several envelopes go through :func:`payload_items`
+    with a ``payload`` number of their own.
+    """
+    raw = spark.read.schema(envelope(transfers)).option("multiLine", not lines).json(path)
     return payload_items(
         raw.withColumn("payload", F.col("_metadata.file_path")), transfers
     )
