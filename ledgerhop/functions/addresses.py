@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerhop.functions.text import canonical_chain
 
@@ -121,7 +122,14 @@ def bech32_format(text: str) -> str | None:
     return BECH32_FORMATS.get(check)
 
 
-_RESULT = "valid boolean, checksum_valid boolean, canonical string, format_type string"
+_RESULT = T.StructType(
+    [
+        T.StructField("valid", T.BooleanType()),
+        T.StructField("checksum_valid", T.BooleanType()),
+        T.StructField("canonical", T.StringType()),
+        T.StructField("format_type", T.StringType()),
+    ]
+)
 
 
 def _bitcoin(text: str) -> tuple[bool, bool | None, str, str | None]:

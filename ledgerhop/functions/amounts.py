@@ -6,25 +6,37 @@ shifted by moving the decimal point inside the digits instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerhop.schema import AMOUNT
 
-_PLACES = 18
+# All digits of decimal(38,18); a plain cast may print small values with an exponent.
+_PLAIN = "9" * 19 + "0." + "0" * 18
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once inside ``body``.
+
+    Spark does not share repeated subexpressions inside lambdas, so nested rewrites would
+    otherwise grow with every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def shift_left(digits: Column, places: Column) -> Column:
     """Text of ``digits / 10**places`` for an optionally signed integer text."""
-    sign = F.when(digits.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    bare = F.regexp_replace(digits, "^[+-]", "")
-    padded = F.when(F.length(bare) > places, bare).otherwise(
-        F.concat(F.repeat(F.lit("0"), places + F.lit(1) - F.length(bare)), bare)
-    )
-    whole = F.length(padded) - places
-    return F.concat(
-        sign, padded.substr(F.lit(1), whole), F.lit("."), padded.substr(whole + F.lit(1), places)
-    )
+    zeros = F.repeat(F.lit("0"), places + F.lit(1))
+    unsigned = F.concat(zeros, F.regexp_replace(digits, "^[+-]", ""))
+    last = F.concat(F.lit("(\\d{"), places, F.lit("})$"))
+    return F.concat(F.regexp_extract(digits, "^-?", 0), F.regexp_replace(unsigned, last, F.lit(".$1")))
+
+
+def plain_text(amount: Column) -> Column:
+    """``decimal(38,18)`` as text with all 18 places and no exponent."""
+    return F.trim(F.to_char(amount, F.lit(_PLAIN)))
 
 
 def to_amount(raw: Column, decimals: Column) -> Column:
@@ -33,15 +45,14 @@ def to_amount(raw: Column, decimals: Column) -> Column:
     Text that does not fit ``decimal(38,18)`` gives NULL, see :func:`overflowed`.
     """
     text = F.trim(raw.cast("string"))
-    scientific = (
-        text.try_cast("double") / F.pow(F.lit(10.0), decimals.cast("double"))
-    ).try_cast(AMOUNT)
+    places = decimals.cast("int")
+    scientific = (text.try_cast("double") / F.pow(F.lit(10.0), places)).try_cast(AMOUNT)
+    shifted = shift_left(text, F.greatest(places, F.lit(0)))
     return (
-        F.when(raw.isNull(), F.lit(0).cast(AMOUNT))
+        F.when(text.rlike(r"^[+-]?\d+$"), shifted.try_cast(AMOUNT))
         .when(text.contains("."), text.try_cast(AMOUNT))
-        .when(~text.rlike(r"^[+-]?\d+$"), scientific)
-        .when(decimals <= 0, text.try_cast(AMOUNT))
-        .otherwise(shift_left(text, decimals.cast("int")).try_cast(AMOUNT))
+        .when(raw.isNull(), F.lit(0).cast(AMOUNT))
+        .otherwise(scientific)
     )
 
 
@@ -52,14 +63,13 @@ def overflowed(raw: Column, decimals: Column) -> Column:
 
 def to_raw(amount: Column, decimals: Column) -> Column:
     """Base-unit text of a ``decimal(38,18)`` amount, rounded towards zero."""
-    text = F.format_string("%.18f", F.abs(amount))
-    whole = F.substring_index(text, ".", 1)
     places = decimals.cast("int")
-    fraction = F.rpad(F.substring_index(text, ".", -1), 64, "0")
-    digits = F.concat(whole, fraction.substr(F.lit(1), places))
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    sign = F.when((amount < 0) & (bare != "0"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(amount.isNull(), F.lit("0")).otherwise(F.concat(sign, bare))
+    padding = F.repeat(F.lit("0"), F.greatest(places - F.lit(18), F.lit(0)))
+    padded = F.concat(plain_text(F.abs(amount)), padding)
+    cut = F.concat(F.lit("\\.(\\d{"), places, F.lit("})\\d*$"))
+    bare = F.regexp_replace(F.regexp_replace(padded, cut, F.lit("$1")), "^0+(?=.)", "")
+    signed = F.when(amount < 0, F.concat(F.lit("-"), bare)).otherwise(bare)
+    return F.coalesce(F.regexp_replace(signed, "^-0$", "0"), F.lit("0"))
 
 
 def is_dust(amount: Column, threshold: float | str) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.amounts import to_amount, to_raw
+from ledgerhop.functions.amounts import let, to_amount, to_raw
 from ledgerhop.functions.digests import row_digest
 from ledgerhop.functions.text import canonical_chain, filled, transaction_status
 from ledgerhop.functions.times import parse_time, parse_tron_time
@@ -33,8 +33,13 @@ def _transfer(**values: Column) -> Column:
 
 
 def explode_transfers(transactions: DataFrame, *extra: str) -> DataFrame:
-    """Transfers of all transactions, one row each."""
-    return transactions.select(*extra, F.explode("transfers").alias("t")).select(*extra, "t.*")
+    """Transfers of all transactions, one row each.
+
+    The outer form is deliberate: for the plain one the optimizer adds a filter on the
+    array's size and evaluates the whole normalisation once more below it.
+    """
+    rows = transactions.select(*extra, F.explode_outer("transfers").alias("t"))
+    return rows.filter(F.col("t").isNotNull()).select(*extra, "t.*")
 
 
 def transactions_from_records(records: DataFrame) -> DataFrame:
@@ -49,8 +54,11 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
         own = F.coalesce(filled(t["tx_id"], t["tx_hash"]), tx)
         symbol = F.coalesce(filled(t["asset"], t["token_symbol"]), coin)
         places = F.coalesce(t["token_decimals"], F.when(bitcoin, 8).otherwise(18))
-        amount = to_amount(F.coalesce(t["amount"], F.lit("0.0")), places)
         token = t["token_contract"].isNotNull() | ~symbol.isin(NATIVE_SYMBOLS)
+        value = to_amount(F.coalesce(t["amount"], F.lit("0.0")), places)
+        return let(value, lambda amount: filled_in(t, i, own, symbol, places, token, amount))
+
+    def filled_in(t, i, own, symbol, places, token, amount) -> Column:
         return _transfer(
             transfer_id=F.concat_ws("_", own, i),
             tx_hash=own,
@@ -134,23 +142,27 @@ def normalize_utxo(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
 
     def as_input(i: Column) -> Column:
         value = _first_filled(i["prevout"]["value"], i["value"])
-        amount = F.when(value.isNotNull(), to_amount(value, places))
-        return F.struct(
-            i["txid"].alias("tx_hash"),
-            i["vout"].alias("output_index"),
-            filled(i["prevout"]["scriptpubkey_address"], i["address"]).alias("address"),
-            F.when(value.isNotNull(), to_raw(amount, places)).alias("raw_amount"),
-            amount.alias("amount"),
-            i["coinbase"].alias("coinbase"),
+        return let(
+            F.when(value.isNotNull(), to_amount(value, places)),
+            lambda amount: F.struct(
+                i["txid"].alias("tx_hash"),
+                i["vout"].alias("output_index"),
+                filled(i["prevout"]["scriptpubkey_address"], i["address"]).alias("address"),
+                F.when(amount.isNotNull(), to_raw(amount, places)).alias("raw_amount"),
+                amount.alias("amount"),
+                i["coinbase"].alias("coinbase"),
+            ),
         )
 
     def as_output(o: Column, n: Column) -> Column:
-        amount = to_amount(F.coalesce(_first_filled(o["value"]), F.lit("0")), places)
-        return F.struct(
-            F.coalesce(o["n"], n).alias("output_index"),
-            F.coalesce(filled(o["scriptpubkey_address"], o["address"]), F.lit("")).alias("address"),
-            to_raw(amount, places).alias("raw_amount"),
-            amount.alias("amount"),
+        return let(
+            to_amount(F.coalesce(_first_filled(o["value"]), F.lit("0")), places),
+            lambda amount: F.struct(
+                F.coalesce(o["n"], n).alias("output_index"),
+                F.coalesce(filled(o["scriptpubkey_address"], o["address"]), F.lit("")).alias("address"),
+                to_raw(amount, places).alias("raw_amount"),
+                amount.alias("amount"),
+            ),
         )
 
     direct = to_amount(F.coalesce("amount", F.lit("0")), places)
@@ -242,7 +254,10 @@ def _token_transfers(
         digits = F.coalesce(
             F.nullif(t["decimals"], F.lit(0)), F.nullif(t["token_decimals"], F.lit(0)), F.lit(places)
         )
-        amount = to_amount(F.coalesce(_first_filled(t["amount"], t["value"]), F.lit("0")), digits)
+        value = to_amount(F.coalesce(_first_filled(t["amount"], t["value"]), F.lit("0")), digits)
+        return let(value, lambda amount: token(t, index, contract, sym, digits, amount))
+
+    def token(t, index, contract, sym, digits, amount) -> Column:
         return _transfer(
             transfer_id=F.concat_ws("_", tx, index),
             tx_hash=tx,
