@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, filled
 from ledgerhop.operators.ordering import first_rows, row_numbers
+from ledgerhop.staging import stage
 
 EDGE_ORDER = ["ts", "tx_hash", "transfer_id"]
 
@@ -49,17 +50,34 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
     """Add ``edge_key``: the transfer id, for repeats ``{tx}_{index}``, then a running number.
 
     ``order`` must be unique per ``scope`` and decides which copy keeps the plain id.
+    Ids seen once, usually nearly all, only meet the list of repeated ids; the repeats are
+    numbered in a way that stands a group of any size.
     """
     by_position = F.concat_ws("_", "tx_hash", "transfer_index")
+    key = [*scope, "_key"]
     plain = edges.withColumn("_key", F.coalesce(filled(F.col("transfer_id")), by_position))
-    once = row_numbers(plain, [*scope, "_key"], order, "_copy").withColumn(
-        "_key", F.when(F.col("_copy") == 1, F.col("_key")).otherwise(by_position)
-    )
-    twice = row_numbers(once, [*scope, "_key"], ["_copy", *order], "_again")
-    numbered = F.concat_ws("_", "_key", F.col("_again").cast("string"))
-    return twice.withColumn(
-        "edge_key", F.when(F.col("_again") == 1, F.col("_key")).otherwise(numbered)
-    ).drop("_key", "_copy", "_again")
+    repeated = stage(
+        plain.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "repeats"
+    )
+    alone = plain.join(repeated, key, "left_anti")
+    copies = row_numbers(plain.join(repeated, key, "left_semi"), key, order, "_copy")
+    first = copies.filter("_copy = 1").drop("_copy")
+    later = stage(copies.filter("_copy > 1").withColumn("_key", by_position), "copies")
+    # A position may itself be the plain id of another edge; then numbering starts at 2.
+    held = (
+        alone.select(*key)
+        .unionByName(first.select(*key))
+        .join(later.select(*key).distinct(), key, "left_semi")
+        .withColumn("_held", F.lit(1))
+    )
+    numbered = row_numbers(later, key, ["_copy", *order], "_again").join(held, key, "left")
+    number = F.col("_again") + F.coalesce("_held", F.lit(0))
+    named = numbered.withColumn(
+        "edge_key",
+        F.when(number == 1, F.col("_key")).otherwise(F.concat_ws("_", "_key", number.cast("string"))),
+    )
+    kept = alone.unionByName(first).withColumn("edge_key", F.col("_key"))
+    return kept.unionByName(named.drop("_copy", "_again", "_held")).drop("_key")
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:

@@ -5,46 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.operators.skew import SaltedTable, salt_hot_keys
-from ledgerhop.operators.trace import CASE_COLUMNS, start_nodes
+from ledgerhop.operators.skew import salt_hot_keys
+from ledgerhop.operators.trace import CASE_COLUMNS, Neighbours, trace_with_budget
 from ledgerhop.staging import stage, stage_counted
 
-_STEP = "array<struct<ts:timestamp,tx_hash:string,transfer_id:string>>"
 
 
-def path_trees(cases: DataFrame, pairs: SaltedTable, hop_cap: int = 5) -> DataFrame:
+def path_trees(cases: DataFrame, neighbours: Neighbours, hop_cap: int = 5) -> DataFrame:
     """Breadth-first path from the root to every node of a case, with transfer ids.
 
-    Among shortest paths the smallest sequence of edges wins, which equals visiting
-    nodes in queue order and edges in edge order.  One run serves all targets.
-    ``pairs`` needs the ``first`` edge of each pair.
+    One run serves all targets of all cases.  ``neighbours`` needs the ``first`` edges.
     """
-    start = start_nodes(cases).withColumn("path", F.array("node")).withColumn(
-        "steps", F.array().cast(_STEP)
-    )
-    visited = frontier = stage(start, "paths0")
-    for hop in range(1, hop_cap + 1):
-        ahead = pairs.join(frontier.filter(F.col("max_hops") >= hop).drop("hop"))
-        best = (
-            ahead.groupBy(*CASE_COLUMNS, F.col("nxt").alias("node"))
-            .agg(
-                F.min(
-                    F.struct(
-                        F.concat("steps", F.array("first")).alias("steps"),
-                        F.concat("path", F.array("nxt")).alias("path"),
-                    )
-                ).alias("b")
-            )
-            .join(visited.select("case_id", "node"), ["case_id", "node"], "left_anti")
-        )
-        frontier, found = stage_counted(
-            best.select(*CASE_COLUMNS, "node", F.lit(hop).alias("hop"), "b.path", "b.steps"),
-            f"paths{hop}",
-        )
-        if found == 0:
-            break
-        visited = visited.unionByName(frontier)
-    return visited.withColumn("transfer_ids", F.col("steps.transfer_id")).drop("steps")
+    return with_transfer_ids(trace_with_budget(cases, neighbours, hop_cap=hop_cap, paths=True))
+
+
+def with_transfer_ids(traced: DataFrame) -> DataFrame:
+    return traced.withColumn("transfer_ids", F.col("steps.transfer_id")).drop("steps", "first")
 
 
 def shortest_paths(trees: DataFrame, targets: DataFrame) -> DataFrame:
@@ -67,9 +43,9 @@ def attribution_paths(trees: DataFrame, cases: DataFrame, targets: DataFrame) ->
     )
 
 
-def path_listing(trees: DataFrame, pairs: SaltedTable) -> DataFrame:
+def path_listing(trees: DataFrame, neighbours: Neighbours) -> DataFrame:
     """One path per explored neighbour pair whose end is not on the branch yet."""
-    ahead = pairs.join(
+    ahead = neighbours.pairs.join(
         trees.filter(F.col("hop") < F.col("max_hops")).select(*CASE_COLUMNS, "node", "path")
     )
     return ahead.filter(~F.array_contains("path", F.col("nxt"))).select(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ledgerhop.staging import stage_counted
 
 SALT = "_salt"
+HOT_ROWS = 1_000_000
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,8 @@ def salt_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     spread_on: Sequence[str],
-    hot_rows: int = 1_000_000,
-    buckets: int = 64,
+    hot_rows: int = HOT_ROWS,
+    buckets: int = BUCKETS,
 ) -> SaltedTable:
     """Find keys with more than ``hot_rows`` rows and spread them over salts.
 
@@ -57,7 +59,18 @@ def salt_hot_keys(
         .select(*keys, F.lit(True).alias("_hot")),
         "hot-keys",
     )
-    if found == 0:
+    return salt_known_keys(df, keys, spread_on, hot if found else None, buckets)
+
+
+def salt_known_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    spread_on: Sequence[str],
+    hot: DataFrame | None,
+    buckets: int = BUCKETS,
+) -> SaltedTable:
+    """Spread the rows of the given hot keys; ``hot`` has the keys and ``_hot``."""
+    if hot is None:
         return SaltedTable(df, tuple(keys), None, buckets)
     spread = F.pmod(F.xxhash64(*spread_on), F.lit(buckets)).cast("int")
     salted = df.join(hot, list(keys), "left").withColumn(

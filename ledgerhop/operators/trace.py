@@ -9,6 +9,7 @@ neighbour table is scanned where it lies; a large round meets it in a shuffle jo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ledgerhop.operators.graph import EDGE_ORDER
 from ledgerhop.operators.ordering import first_rows, top_rows
-from ledgerhop.operators.skew import SaltedTable, salt_hot_keys
+from ledgerhop.operators.skew import HOT_ROWS, SaltedTable, salt_hot_keys, salt_known_keys
 from ledgerhop.staging import stage, stage_counted
 
 CASE_COLUMNS = ["case_id", "chain", "direction", "max_hops"]
+_EDGE = "struct<ts:timestamp,tx_hash:string,transfer_id:string>"
 
 
 def _turned(edges: DataFrame, direction: str, any_expand: str) -> DataFrame:
@@ -41,7 +43,7 @@ def neighbours(
     detail: bool = False,
     any_expand: str = "to",
 ) -> DataFrame:
-    """Distinct neighbour pairs ``(scope, direction, node, nxt)``.
+    """Neighbour pairs ``(scope, direction, node, nxt)`` with their number of ``edges``.
 
     Parallel edges collapse before the shuffle.  ``detail`` adds ``first``, the earliest
     edge of the pair.  Direction ``any`` expands to recipients, or to both sides with
@@ -50,10 +52,22 @@ def neighbours(
     turned = reduce(
         DataFrame.unionByName, [_turned(edges, d, any_expand) for d in directions]
     ).filter((F.col("node") != "") & (F.col("nxt") != ""))
-    keys = [*scope, "direction", "node", "nxt"]
-    if not detail:
-        return turned.select(*keys).distinct()
-    return turned.groupBy(*keys).agg(F.min(F.struct(*EDGE_ORDER)).alias("first"))
+    measures = [F.count(F.lit(1)).alias("edges")]
+    if detail:
+        measures.append(F.min(F.struct(*EDGE_ORDER)).alias("first"))
+    return turned.groupBy(*scope, "direction", "node", "nxt").agg(*measures)
+
+
+@dataclass(frozen=True)
+class Neighbours:
+    """Neighbour pairs ready to join, and the nodes with many edges.
+
+    ``busy`` lists (scope, direction, node) with more than ``hot_rows`` edges, None when
+    there are none; it salts the edge table without another pass over it.
+    """
+
+    pairs: SaltedTable
+    busy: DataFrame | None
 
 
 def neighbour_table(
@@ -62,18 +76,35 @@ def neighbour_table(
     scope: Sequence[str] = ("chain",),
     detail: bool = False,
     any_expand: str = "to",
-    hot_rows: int = 1_000_000,
-) -> SaltedTable:
-    """The neighbour pairs written once, with hot nodes spread over salts."""
-    pairs = stage(neighbours(edges, directions, scope, detail, any_expand), "pairs")
-    return salt_hot_keys(pairs, [*scope, "direction", "node"], ["nxt"], hot_rows)
+    hot_rows: int = HOT_ROWS,
+) -> Neighbours:
+    """The neighbour pairs written once, with hot nodes spread over salts.
+
+    The number of edges is summed while writing.  No node can be hot when all edges
+    together are fewer than ``hot_rows``; only then the search for hot nodes is skipped.
+    """
+    keys = [*scope, "direction", "node"]
+    pairs, total = stage_counted(
+        neighbours(edges, directions, scope, detail, any_expand), "pairs", total="edges"
+    )
+    if total <= hot_rows:
+        return Neighbours(salt_known_keys(pairs.drop("edges"), keys, ["nxt"], None), None)
+    loads = pairs.groupBy(*keys).agg(
+        F.sum("edges").alias("_edges"), F.count(F.lit(1)).alias("_pairs")
+    )
+    busy, found = stage_counted(loads.filter(F.col("_edges") > hot_rows), "busy-nodes")
+    if found == 0:
+        return Neighbours(salt_known_keys(pairs.drop("edges"), keys, ["nxt"], None), None)
+    wide = busy.filter(F.col("_pairs") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    salted = salt_known_keys(pairs.drop("edges"), keys, ["nxt"], wide)
+    return Neighbours(salted, busy.select(*keys, F.lit(True).alias("_hot")))
 
 
 def start_nodes(cases: DataFrame) -> DataFrame:
     return cases.select(*CASE_COLUMNS, F.col("root").alias("node"), F.lit(0).alias("hop"))
 
 
-def trace_nodes(cases: DataFrame, pairs: SaltedTable, hop_cap: int = 5) -> DataFrame:
+def trace_nodes(cases: DataFrame, neighbours: Neighbours, hop_cap: int = 5) -> DataFrame:
     """Every node within ``max_hops`` of a case root with its smallest hop.
 
     ``cases(case_id, chain, root, direction, max_hops)``.  Runs as many rounds as the
@@ -82,7 +113,7 @@ def trace_nodes(cases: DataFrame, pairs: SaltedTable, hop_cap: int = 5) -> DataF
     visited = frontier = stage(start_nodes(cases), "hop0")
     for hop in range(1, hop_cap + 1):
         reached = (
-            pairs.join(frontier.filter(F.col("max_hops") >= hop))
+            neighbours.pairs.join(frontier.filter(F.col("max_hops") >= hop))
             .select(*CASE_COLUMNS, F.col("nxt").alias("node"))
             .distinct()
         )
@@ -98,28 +129,49 @@ def trace_nodes(cases: DataFrame, pairs: SaltedTable, hop_cap: int = 5) -> DataF
 
 def trace_with_budget(
     cases: DataFrame,
-    pairs: SaltedTable,
+    neighbours: Neighbours,
     max_transactions: int | None = None,
     max_nodes: int | None = None,
     hop_cap: int = 5,
+    paths: bool = False,
 ) -> DataFrame:
     """As :func:`trace_nodes`, with the edge ``first`` that reached each node, and budgets.
 
     A transaction is spent for each unseen hash that reaches a new node.  Inside a hop
     the order is (time, hash, id), so a binding budget gives the same result every run.
+
+    ``paths`` adds ``path`` and ``steps`` (its edges).  Among shortest paths the smallest
+    sequence of edges wins, which equals visiting nodes in queue order and edges in edge
+    order.  The arrays have one element per hop.
     """
-    start = start_nodes(cases).withColumn(
-        "first", F.lit(None).cast("struct<ts:timestamp,tx_hash:string,transfer_id:string>")
-    )
+    start = start_nodes(cases).withColumn("first", F.lit(None).cast(_EDGE))
+    carried = []
+    if paths:
+        carried = ["path", "steps"]
+        start = start.withColumn("path", F.array("node")).withColumn(
+            "steps", F.array().cast(f"array<{_EDGE}>")
+        )
     visited = frontier = stage(start, "hop0")
+    best = F.min(
+        F.struct(
+            F.concat("steps", F.array("first")).alias("steps"),
+            F.concat("path", F.array("nxt")).alias("path"),
+        )
+    ) if paths else None
     for hop in range(1, hop_cap + 1):
+        probe = frontier.filter(F.col("max_hops") >= hop).select(*CASE_COLUMNS, "node", *carried)
+        measures = [F.min("first").alias("first")]
+        if best is not None:
+            measures.append(best.alias("_best"))
         reached = (
-            pairs.join(frontier.drop("first").filter(F.col("max_hops") >= hop))
+            neighbours.pairs.join(probe)
             .groupBy(*CASE_COLUMNS, F.col("nxt").alias("node"))
-            .agg(F.min("first").alias("first"))
+            .agg(*measures)
         )
         fresh = reached.join(visited.select("case_id", "node"), ["case_id", "node"], "left_anti")
         fresh = fresh.withColumn("hop", F.lit(hop))
+        if best is not None:
+            fresh = fresh.select("*", "_best.path", "_best.steps").drop("_best")
         if max_transactions is not None:
             fresh = _within_transactions(stage(fresh, "reached"), visited, max_transactions)
         if max_nodes is not None:
@@ -163,24 +215,27 @@ def _within_nodes(fresh: DataFrame, visited: DataFrame, budget: int) -> DataFram
 def trace_edges(
     edges: DataFrame,
     traced: DataFrame,
+    neighbours: Neighbours,
     directions: Sequence[str] = ("outgoing", "incoming", "any"),
-    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Edges leaving every expanded node (``hop < max_hops``) in its case's direction.
 
     In directed traces an edge has one near end, so it comes once per case.  Direction
     ``any`` looks at both ends and drops the second copy.  Naming the directions in use
-    saves the reads for the others.
+    saves the reads for the others; ``neighbours`` knows the busy nodes of the edges.
     """
     expanded = traced.filter(F.col("hop") < F.col("max_hops")).select(
         "case_id", "chain", "direction", "node"
     )
+    busy = None
+    if neighbours.busy is not None:
+        busy = neighbours.busy.select("chain", "node", "_hot").distinct()
     sides = []
     for end, ways in (("source", ("outgoing", "any")), ("target", ("incoming", "any"))):
         used = [w for w in ways if w in directions]
         if used:
-            table = salt_hot_keys(
-                edges.withColumn("node", F.col(end)), ["chain", "node"], ["transfer_id"], hot_rows
+            table = salt_known_keys(
+                edges.withColumn("node", F.col(end)), ["chain", "node"], ["transfer_id"], busy
             )
             probe = expanded.filter(F.col("direction").isin(used)).drop("direction")
             sides.append(table.join(probe).drop("node"))
@@ -235,11 +290,14 @@ def fallback_edges(cases: DataFrame, edges: DataFrame, transactions: DataFrame)
     )
 
 
-def with_boundaries(traced: DataFrame, pairs: SaltedTable, budget_hit: DataFrame | None = None) -> DataFrame:
+def with_boundaries(
+    traced: DataFrame, neighbours: Neighbours, budget_hit: DataFrame | None = None
+) -> DataFrame:
     """Add ``boundary_reason`` to nodes whose onward edges were not followed.
 
     ``budget_hit(case_id)`` lists cases stopped by a budget.
     """
+    pairs = neighbours.pairs
     onward = pairs.table.select(*pairs.keys).distinct()
     open_end = traced.join(onward, list(pairs.keys), "left_semi").filter(
         F.col("hop") >= F.col("max_hops")
@@ -313,10 +371,14 @@ def hop_layers(traced: DataFrame) -> DataFrame:
 
 
 def subgraph(
-    edges: DataFrame, traced: DataFrame, directions: Sequence[str] = ("outgoing",)
+    edges: DataFrame,
+    traced: DataFrame,
+    neighbours: Neighbours,
+    directions: Sequence[str] = ("outgoing",),
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges a traversal touched."""
-    return traced.select("case_id", "node", "hop"), trace_edges(edges, traced, directions)
+    found = trace_edges(edges, traced, neighbours, directions)
+    return traced.select("case_id", "node", "hop"), found
 
 
 def forward_closure(edges: DataFrame, roots: DataFrame, rounds: int = 5) -> DataFrame:

@@ -190,8 +190,8 @@ SELECT case_id, count(*) AS transfers, CAST(sum(amount) AS DOUBLE) AS volume FRO
 def _(spark, sf):
     cases = tables.nation_cases(spark, sf, direction="any")
     edges = base_edges(spark, sf)
-    traced = trace.trace_nodes(cases, trace.neighbour_table(edges, ["any"]))
-    found = trace.trace_edges(edges, traced, ["any"])
+    around = trace.neighbour_table(edges, ["any"])
+    found = trace.trace_edges(edges, trace.trace_nodes(cases, around), around, ["any"])
     return found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("transfers"), F.sum("amount").cast("double").alias("volume")
     )
@@ -310,8 +310,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     edges = base_edges(spark, sf)
-    traced = trace.trace_nodes(tables.nation_cases(spark, sf), trace.neighbour_table(edges))
-    found = trace.trace_edges(edges, traced, ["outgoing"])
+    around = trace.neighbour_table(edges)
+    traced = trace.trace_nodes(tables.nation_cases(spark, sf), around)
+    found = trace.trace_edges(edges, traced, around, ["outgoing"])
     return found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("edges"),
         F.count_distinct("transfer_id").alias("ids"),
@@ -326,8 +327,9 @@ UNION ALL SELECT case_id, 'edge', transfer_id FROM ce""",
 )
 def _(spark, sf):
     edges = base_edges(spark, sf)
-    traced = trace.trace_nodes(tables.nation_cases(spark, sf), trace.neighbour_table(edges))
-    nodes, found = trace.subgraph(edges, traced)
+    around = trace.neighbour_table(edges)
+    traced = trace.trace_nodes(tables.nation_cases(spark, sf), around)
+    nodes, found = trace.subgraph(edges, traced, around)
     return nodes.select("case_id", F.lit("node").alias("kind"), F.col("node").alias("id")).union(
         found.select("case_id", F.lit("edge"), "transfer_id")
     )
@@ -466,8 +468,8 @@ FROM trees t JOIN e ON e.f = t.node WHERE t.hop < 3 GROUP BY t.case_id""",
 )
 def _(spark, sf):
     edges = base_edges(spark, sf)
-    _, _, trees = _trees(spark, sf)
-    case_edges = trace.trace_edges(edges, trees, ["outgoing"])
+    _, around, trees = _trees(spark, sf)
+    case_edges = trace.trace_edges(edges, trees, around, ["outgoing"])
     flagged = paths.cycle_edges(case_edges, trees)
     return flagged.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("edges"), F.count_if("is_cycle").alias("cycle_edges")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerhop.functions.text import address_key
 from ledgerhop.operators import entities, graph, paths, risk, scoring, trace
 from ledgerhop.operators.ordering import first_rows
-from ledgerhop.operators.skew import SaltedTable
+from ledgerhop.operators.trace import Neighbours
 from ledgerhop.staging import stage
 
 
@@ -22,7 +22,7 @@ class CaseGraph:
     traced: DataFrame
     edges: DataFrame
     nodes: DataFrame
-    pairs: SaltedTable
+    neighbours: Neighbours
 
 
 def _directions(cases: DataFrame, directions: tuple[str, ...] | None) -> tuple[str, ...]:
@@ -42,17 +42,20 @@ def case_graph(
     hop_cap: int = 5,
     directions: tuple[str, ...] | None = None,
     constant_hops: bool = False,
+    with_paths: bool = False,
 ) -> CaseGraph:
     """Trace all cases, then build their edge and node tables.
 
     ``edges`` is the shared edge table; it is read for the neighbour pairs and once more
-    for the edges of the expanded nodes.
+    for the edges of the expanded nodes.  ``with_paths`` keeps the path of every node.
     """
     ways = _directions(cases, directions)
-    pairs = trace.neighbour_table(edges, ways, detail=True)
-    traced = trace.trace_with_budget(cases, pairs, max_transactions, max_nodes, hop_cap)
+    around = trace.neighbour_table(edges, ways, detail=True)
+    traced = trace.trace_with_budget(
+        cases, around, max_transactions, max_nodes, hop_cap, with_paths
+    )
     # Under a budget only edges between collected nodes belong to the case.
-    found = trace.trace_edges(edges, traced, ways)
+    found = trace.trace_edges(edges, traced, around, ways)
     if max_transactions is not None or max_nodes is not None:
         for end in ("source", "target"):
             kept = traced.select("case_id", F.col("node").alias(end))
@@ -61,12 +64,12 @@ def case_graph(
     if max_transactions is not None:
         spent = traced.groupBy("case_id").agg(F.count_distinct("first.tx_hash").alias("n"))
         hit = spent.filter(F.col("n") >= max_transactions).select("case_id")
-    bounded = stage(trace.with_boundaries(traced, pairs, hit), "traced")
+    bounded = stage(trace.with_boundaries(traced, around, hit), "traced")
     case_edges = stage(
         graph.annotate_edges(found, bounded, cases, constant_hops), "case-edges"
     )
     nodes = graph.node_table(cases, case_edges, labels, bounded)
-    return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), pairs)
+    return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), around)
 
 
 def roots(cases: DataFrame) -> DataFrame:
@@ -92,17 +95,20 @@ def investigate(
     directions: tuple[str, ...] | None = None,
 ) -> Investigation:
     """Trace, graph, entity resolution and service attribution for every case."""
-    edges = graph.edge_table(first_rows(transfers, ["transfer_id"], ["ts", "tx_hash"]))
-    g = case_graph(roots(cases), edges, labels, max_transactions, max_nodes, directions=directions)
+    once = first_rows(transfers, ["transfer_id"], ["ts", "tx_hash"])
+    edges = stage(graph.edge_table(once), "edges")
+    g = case_graph(
+        roots(cases),
+        edges,
+        labels,
+        max_transactions,
+        max_nodes,
+        directions=directions,
+        with_paths=True,
+    )
     summary = trace.trace_summary(g.cases, g.traced, g.edges, max_transactions, max_nodes)
     resolutions = entities.resolve_registry(g.nodes.select("case_id", "chain", "address"), registry)
-    way_pairs = trace.neighbour_table(
-        g.edges,
-        _directions(g.cases, directions),
-        scope=("case_id", "chain"),
-        detail=True,
-    )
-    trees = paths.path_trees(g.cases, way_pairs)
+    trees = paths.with_transfer_ids(g.traced)
     attributions = entities.attribute_services(g.nodes, registry, trees, g.cases)
     return Investigation(g, summary, resolutions, attributions)
 

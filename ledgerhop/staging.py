@@ -59,8 +59,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As :func:`stage`, and the row count observed while writing (no extra job)."""
+def stage_counted(
+    df: DataFrame, label: str, total: str | None = None
+) -> tuple[DataFrame, int]:
+    """As :func:`stage`, with the row count (or the sum of column ``total``) seen while
+    writing, so it costs no extra job."""
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
-    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return staged, int(seen.get.get("rows") or 0)
+    measure = F.count(F.lit(1)) if total is None else F.sum(total)
+    staged = stage(df.observe(seen, measure.alias("n")), label)
+    return staged, int(seen.get.get("n") or 0)
