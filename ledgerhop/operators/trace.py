@@ -85,7 +85,7 @@ def neighbour_table(
     """
     keys = [*scope, "direction", "node"]
     pairs, total = stage_counted(
-        neighbours(edges, directions, scope, detail, any_expand), "pairs", total="edges"
+        neighbours(edges, directions, scope, detail, any_expand), "pairs", F.sum("edges")
     )
     if total <= hot_rows:
         return Neighbours(salt_known_keys(pairs.drop("edges"), keys, ["nxt"], None), None)
@@ -118,12 +118,14 @@ def trace_nodes(cases: DataFrame, neighbours: Neighbours, hop_cap: int = 5) -> D
             .distinct()
         )
         fresh = reached.join(visited.select("case_id", "node"), ["case_id", "node"], "left_anti")
-        frontier, found = stage_counted(
-            fresh.select(*CASE_COLUMNS, "node", F.lit(hop).alias("hop")), f"hop{hop}"
+        frontier, open_ends = stage_counted(
+            fresh.select(*CASE_COLUMNS, "node", F.lit(hop).alias("hop")),
+            f"hop{hop}",
+            F.count_if(F.col("max_hops") > hop),
         )
-        if found == 0:
-            break
         visited = visited.unionByName(frontier)
+        if open_ends == 0:
+            break
     return visited
 
 
@@ -176,10 +178,12 @@ def trace_with_budget(
             fresh = _within_transactions(stage(fresh, "reached"), visited, max_transactions)
         if max_nodes is not None:
             fresh = _within_nodes(fresh, visited, max_nodes)
-        frontier, found = stage_counted(fresh.select(*visited.columns), f"hop{hop}")
-        if found == 0:
-            break
+        frontier, open_ends = stage_counted(
+            fresh.select(*visited.columns), f"hop{hop}", F.count_if(F.col("max_hops") > hop)
+        )
         visited = visited.unionByName(frontier)
+        if open_ends == 0:
+            break
     return visited
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SESSION_CONF = {
@@ -60,11 +60,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def stage_counted(
-    df: DataFrame, label: str, total: str | None = None
+    df: DataFrame, label: str, measure: Column | None = None
 ) -> tuple[DataFrame, int]:
-    """As :func:`stage`, with the row count (or the sum of column ``total``) seen while
-    writing, so it costs no extra job."""
+    """As :func:`stage`, with a number seen while writing (the row count unless another
+    aggregate is given), so it costs no extra job."""
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
-    measure = F.count(F.lit(1)) if total is None else F.sum(total)
-    staged = stage(df.observe(seen, measure.alias("n")), label)
+    counted = F.count(F.lit(1)) if measure is None else measure
+    staged = stage(df.observe(seen, counted.alias("n")), label)
     return staged, int(seen.get.get("n") or 0)
