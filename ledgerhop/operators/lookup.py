@@ -160,18 +160,35 @@ def list_cases(cases: DataFrame, text: str | None = None) -> DataFrame:
     return found.orderBy(F.desc("created_at"), "case_id")
 
 
+def _substrings(text: Column) -> Column:
+    """All substrings of a short text such as a case id."""
+    size = F.length(text)
+    starts = F.sequence(F.lit(1), size)
+    cut = F.transform(
+        starts,
+        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: text.substr(i, n)),
+    )
+    return F.explode(F.array_distinct(F.flatten(cut)))
+
+
 def case_by_alias(case_transfers: DataFrame, wanted: DataFrame) -> DataFrame:
     """Transfers per wanted case: exact alias, else the first alias containing it or contained.
 
-    ``case_transfers`` carries ``alias``; ``wanted(case_id)``.  Aliases and cases are
-    names of input files, a few per file.
+    ``case_transfers`` carries ``alias``; ``wanted(case_id)``.  "Contains" is an equi join
+    on the substrings of these short names, so no case meets every alias.
     """
     aliases = case_transfers.select("alias").distinct()
     exact = wanted.join(aliases, F.col("case_id") == F.col("alias"))
-    rest = wanted.join(exact.select("case_id"), "case_id", "left_anti")
-    a, c = F.lower("alias"), F.lower("case_id")
-    partial = rest.join(F.broadcast(aliases), a.contains(c) | c.contains(a)).groupBy("case_id").agg(
-        F.min("alias").alias("alias")
+    rest = wanted.join(exact.select("case_id"), "case_id", "left_anti").filter("case_id <> ''")
+    cases = rest.withColumn("_c", F.lower("case_id"))
+    names = aliases.filter("alias <> ''").withColumn("_a", F.lower("alias"))
+    inside = cases.select("case_id", _substrings(F.col("_c")).alias("_a")).join(names, "_a")
+    around = names.select("alias", _substrings(F.col("_a")).alias("_c")).join(cases, "_c")
+    partial = (
+        inside.select("case_id", "alias")
+        .unionByName(around.select("case_id", "alias"))
+        .groupBy("case_id")
+        .agg(F.min("alias").alias("alias"))
     )
     chosen = exact.select("case_id", "alias").unionByName(partial)
     rows = case_transfers.drop("case_id") if "case_id" in case_transfers.columns else case_transfers

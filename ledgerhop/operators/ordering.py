@@ -45,7 +45,8 @@ def _running(
     )
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        ranged.groupBy(*keys, "_part")
+        ranged.join(F.broadcast(_spanning_keys(ranged, keys)), list(keys), "left_semi")
+        .groupBy(*keys, "_part")
         .agg(fold(F.col(value)).alias("_total"))
         .withColumn("_shift", fold(F.col("_total")).over(before))
         .filter(F.col("_shift").isNotNull())
@@ -59,6 +60,24 @@ def _running(
     )
 
 
+def _spanning_keys(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys present in several range partitions.
+
+    Ranges are ordered, so such a key is the smallest or largest of its partitions: the
+    list has at most two rows per partition.
+    """
+    key = F.struct(*keys)
+    ends = ranged.groupBy("_part").agg(F.array(F.min(key), F.max(key)).alias("_ends"))
+    return (
+        ends.select("_part", F.explode("_ends").alias("_k"))
+        .select("_part", "_k.*")
+        .groupBy(*keys)
+        .agg((F.min("_part") < F.max("_part")).alias("_several"))
+        .filter("_several")
+        .select(*keys)
+    )
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str
 ) -> DataFrame:

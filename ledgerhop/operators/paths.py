@@ -11,12 +11,12 @@ from ledgerhop.staging import stage, stage_counted
 
 
 
-def path_trees(cases: DataFrame, neighbours: Neighbours, hop_cap: int = 5) -> DataFrame:
+def path_trees(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
     """Breadth-first path from the root to every node of a case, with transfer ids.
 
     One run serves all targets of all cases.  ``neighbours`` needs the ``first`` edges.
     """
-    return with_transfer_ids(trace_with_budget(cases, neighbours, hop_cap=hop_cap, paths=True))
+    return with_transfer_ids(trace_with_budget(cases, neighbours, paths=True))
 
 
 def with_transfer_ids(traced: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ neighbour table is scanned where it lies; a large round meets it in a shuffle jo
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerhop.operators.graph import EDGE_ORDER
 from ledgerhop.operators.ordering import first_rows, top_rows
-from ledgerhop.operators.skew import HOT_ROWS, SaltedTable, salt_hot_keys, salt_known_keys
-from ledgerhop.staging import stage, stage_counted
+from ledgerhop.operators.skew import HOT_ROWS, SALT, SaltedTable, salt_hot_keys, salt_known_keys
+from ledgerhop.staging import stage, stage_bucketed, stage_counted
 
 CASE_COLUMNS = ["case_id", "chain", "direction", "max_hops"]
 _EDGE = "struct<ts:timestamp,tx_hash:string,transfer_id:string>"
@@ -77,41 +78,50 @@ def neighbour_table(
     detail: bool = False,
     any_expand: str = "to",
     hot_rows: int = HOT_ROWS,
+    buckets: int | None = None,
 ) -> Neighbours:
     """The neighbour pairs written once, with hot nodes spread over salts.
 
     The number of edges is summed while writing.  No node can be hot when all edges
     together are fewer than ``hot_rows``; only then the search for hot nodes is skipped.
+
+    ``buckets`` writes the pairs a second time, bucketed on the join keys.  It pays for
+    deep traces of many cases: rounds too large to broadcast then shuffle only themselves,
+    not the pairs.
     """
     keys = [*scope, "direction", "node"]
     pairs, total = stage_counted(
         neighbours(edges, directions, scope, detail, any_expand), "pairs", F.sum("edges")
     )
-    if total <= hot_rows:
-        return Neighbours(salt_known_keys(pairs.drop("edges"), keys, ["nxt"], None), None)
-    loads = pairs.groupBy(*keys).agg(
-        F.sum("edges").alias("_edges"), F.count(F.lit(1)).alias("_pairs")
-    )
-    busy, found = stage_counted(loads.filter(F.col("_edges") > hot_rows), "busy-nodes")
-    if found == 0:
-        return Neighbours(salt_known_keys(pairs.drop("edges"), keys, ["nxt"], None), None)
-    wide = busy.filter(F.col("_pairs") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    busy = wide = None
+    if total > hot_rows:
+        loads = pairs.groupBy(*keys).agg(
+            F.sum("edges").alias("_edges"), F.count(F.lit(1)).alias("_pairs")
+        )
+        found, rows = stage_counted(loads.filter(F.col("_edges") > hot_rows), "busy-nodes")
+        if rows:
+            busy = found.select(*keys, F.lit(True).alias("_hot"))
+            wide = found.filter(F.col("_pairs") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     salted = salt_known_keys(pairs.drop("edges"), keys, ["nxt"], wide)
-    return Neighbours(salted, busy.select(*keys, F.lit(True).alias("_hot")))
+    if buckets is not None:
+        joined_on = [*keys, SALT] if wide is not None else keys
+        table = stage_bucketed(salted.table, "pairs-bucketed", joined_on, buckets)
+        salted = replace(salted, table=table)
+    return Neighbours(salted, busy)
 
 
 def start_nodes(cases: DataFrame) -> DataFrame:
     return cases.select(*CASE_COLUMNS, F.col("root").alias("node"), F.lit(0).alias("hop"))
 
 
-def trace_nodes(cases: DataFrame, neighbours: Neighbours, hop_cap: int = 5) -> DataFrame:
+def trace_nodes(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
     """Every node within ``max_hops`` of a case root with its smallest hop.
 
     ``cases(case_id, chain, root, direction, max_hops)``.  Runs as many rounds as the
-    longest case needs, ``hop_cap`` at most.
+    deepest case needs.
     """
     visited = frontier = stage(start_nodes(cases), "hop0")
-    for hop in range(1, hop_cap + 1):
+    for hop in count(1):
         reached = (
             neighbours.pairs.join(frontier.filter(F.col("max_hops") >= hop))
             .select(*CASE_COLUMNS, F.col("nxt").alias("node"))
@@ -134,7 +144,6 @@ def trace_with_budget(
     neighbours: Neighbours,
     max_transactions: int | None = None,
     max_nodes: int | None = None,
-    hop_cap: int = 5,
     paths: bool = False,
 ) -> DataFrame:
     """As :func:`trace_nodes`, with the edge ``first`` that reached each node, and budgets.
@@ -160,7 +169,7 @@ def trace_with_budget(
             F.concat("path", F.array("nxt")).alias("path"),
         )
     ) if paths else None
-    for hop in range(1, hop_cap + 1):
+    for hop in count(1):
         probe = frontier.filter(F.col("max_hops") >= hop).select(*CASE_COLUMNS, "node", *carried)
         measures = [F.min("first").alias("first")]
         if best is not None:
@@ -393,7 +402,7 @@ def forward_closure(edges: DataFrame, roots: DataFrame, rounds: int = 5) -> Data
     cases = roots.select(
         "case_id", "chain", "root", F.lit("outgoing").alias("direction"), F.lit(rounds).alias("max_hops")
     )
-    reached = trace_nodes(cases, neighbour_table(edges), rounds).select("case_id", "chain", "node")
+    reached = trace_nodes(cases, neighbour_table(edges)).select("case_id", "chain", "node")
     ends = [
         salt_hot_keys(edges.withColumn("node", F.col(end)), ["chain", "node"], ["transfer_id"])
         .join(reached)

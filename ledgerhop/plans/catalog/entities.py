@@ -65,7 +65,8 @@ def _(spark, sf):
 SELECT case_id, u.node, entity_name, entity_type FROM u JOIN lb ON lb.node = u.node""",
 )
 def _(spark, sf):
-    found = entities.label_map(traced_graph(spark, sf).edges, labels_table(spark, sf))
+    g = traced_graph(spark, sf)
+    found = entities.label_map(g.edges, g.labels)
     return found.select("case_id", "node", "entity_name", "entity_type")
 
 

@@ -8,6 +8,7 @@ from ledgerhop.plans.catalog.registry import GRAPH, TR, TRACE, query
 from ledgerhop.plans.catalog.shared import base_edges, labels_table, traced_graph
 from ledgerhop.plans.investigate import case_graph
 from ledgerhop.sources import bench_tables as tables
+from ledgerhop.staging import stage
 
 
 def _double(name):
@@ -40,7 +41,8 @@ SELECT CASE WHEN n = 1 THEN transfer_id ELSE transfer_id || '_' || n END AS edge
 FROM c GROUP BY 1""",
 )
 def _(spark, sf):
-    li = tables.order_transfers(spark, sf)
+    # The joined input is read several times, so it is written once.
+    li = stage(tables.order_transfers(spark, sf), "order-transfers")
     # The natural key equals ``{tx}_{index}`` here, so repeats end in a running number.
     keyed = graph.unique_edge_keys(li, ["chain"], ["ts", "part_key", "to_address", "amount"])
     return keyed.groupBy("edge_key").agg(F.count(F.lit(1)).alias("edges"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerhop.operators import evidence, graph, risk, scoring
 from ledgerhop.plans.catalog.registry import GRAPH, TR, query
 from ledgerhop.plans.catalog.scores import SCORES
-from ledgerhop.plans.catalog.shared import base_edges, labels_table, traced_graph
+from ledgerhop.plans.catalog.shared import base_edges, traced_graph
 from ledgerhop.plans.investigate import assess
 from ledgerhop.sources import bench_tables as tables
 
@@ -110,7 +110,7 @@ FROM cases c LEFT JOIN f3 ON f3.case_id = c.case_id GROUP BY c.case_id""",
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    return assess(g, labels_table(spark, sf)).risk
+    return assess(g, g.labels).risk
 
 
 @query(
@@ -256,7 +256,7 @@ SELECT case_id, entity, count(*) AS transfers FROM s JOIN tr ON tr.tx_hash = s.t
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    support = scoring.supporting_transactions(g.nodes, g.edges, labels_table(spark, sf))
+    support = scoring.supporting_transactions(g.nodes, g.edges, g.labels)
     found = evidence.factor_evidence(support, tables.event_transfers(spark, sf))
     return found.groupBy("case_id", "entity").agg(F.count(F.lit(1)).alias("transfers"))
 
@@ -272,9 +272,8 @@ FROM cases c LEFT JOIN sc ON sc.case_id = c.case_id AND rank = 1 LEFT JOIN h ON
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    labels = labels_table(spark, sf)
-    result = assess(g, labels)
-    support = scoring.supporting_transactions(g.nodes, g.edges, labels)
+    result = assess(g, g.labels)
+    support = scoring.supporting_transactions(g.nodes, g.edges, g.labels)
     digests = evidence.snapshot(g.edges.select("case_id", "transfer_id", "amount"))
     found = evidence.dossier(g.cases, result.scores, support, result.risk, digests)
     return found.select(

@@ -4,8 +4,6 @@ Raw records are derived from the test tables row by row: nested arrays are built
 one row, so nothing is grouped to make them.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerhop.functions import amounts, text, times
@@ -14,7 +12,7 @@ from ledgerhop.functions.digests import row_digest
 from ledgerhop.operators import explorer, normalize, risk, scoring
 from ledgerhop.plans.catalog.registry import TR, query
 from ledgerhop.plans.catalog.scores import SCORES
-from ledgerhop.plans.catalog.shared import labels_table, traced_graph
+from ledgerhop.plans.catalog.shared import traced_graph
 from ledgerhop.schema import (
     EXPLORER_TRANSACTION,
     EXPLORER_TRANSFER,
@@ -26,16 +24,12 @@ from ledgerhop.schema import (
 )
 from ledgerhop.sources import bench_tables as tables
 from ledgerhop.sources import files, sinks
-from ledgerhop.staging import stage_root
-
-
-def _folder(spark, label):
-    return f"{stage_root(spark)}/stage/{label}-{uuid.uuid4().hex}"
+from ledgerhop.staging import stage_path
 
 
 def _json_lines(df, label):
     """Write rows as JSON lines and return the folder."""
-    path = _folder(df.sparkSession, label)
+    path = stage_path(df.sparkSession, label)
     df.write.json(path)
     return path
 
@@ -203,7 +197,7 @@ def _(spark, sf):
 SELECT count(DISTINCT id) AS rows_stored, count(DISTINCT id) AS ids FROM x""",
 )
 def _(spark, sf):
-    root = _folder(spark, "db")
+    root = stage_path(spark, "db")
     sinks.reset_tables(spark, root)
     rows = tables.order_transfers(spark, sf).withColumns(
         {c: _none() for c in ("asset_type", "token_contract", "raw_amount", "transfer_type", "evidence_ref")}
@@ -221,7 +215,7 @@ def _(spark, sf):
     """SELECT 'cases' AS name, CAST(0 AS BIGINT) AS rows_after, count(*) AS rows_before FROM orders""",
 )
 def _(spark, sf):
-    root = _folder(spark, "db")
+    root = stage_path(spark, "db")
     sinks.reset_tables(spark, root)
     cases = tables.load(spark, sf, "orders").select(
         F.concat(F.lit("order"), "o_orderkey").alias("case_id"),
@@ -241,8 +235,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    scores = scoring.score_cases(g.cases, g.nodes, g.edges, labels_table(spark, sf))
-    path = _folder(spark, "attributions")
+    scores = scoring.score_cases(g.cases, g.nodes, g.edges, g.labels)
+    path = stage_path(spark, "attributions")
     sinks.write_case_results(scores.select("case_id", "entity", "rank", "score", "band"), path, 2)
     return spark.read.parquet(path).groupBy("case_id").agg(
         F.count(F.lit(1)).alias("attributions"), F.max("score").alias("best")

@@ -49,7 +49,7 @@ fac AS (
 
 def _scores(spark, sf, weights=None, constant=False):
     g = traced_graph(spark, sf, constant_hops=constant)
-    return g, scoring.score_cases(g.cases, g.nodes, g.edges, labels_table(spark, sf), weights)
+    return g, scoring.score_cases(g.cases, g.nodes, g.edges, g.labels, weights)
 
 
 def _factors(spark, sf):
@@ -62,14 +62,14 @@ def _factors(spark, sf):
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    found = scoring.score_inputs(g.cases, g.nodes, g.edges, labels_table(spark, sf))
+    found = scoring.score_inputs(g.cases, g.nodes, g.edges, g.labels)
     return found.select("case_id", "entity", "has_deposit", "has_hot", "has_mixer", "has_bridge")
 
 
 @query("g2_root_outflow", f"WITH RECURSIVE {SCORES} SELECT case_id, outflow FROM flow")
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    return scoring.case_flags(g.cases, g.nodes, g.edges, labels_table(spark, sf)).select("case_id", "outflow")
+    return scoring.case_flags(g.cases, g.nodes, g.edges, g.labels).select("case_id", "outflow")
 
 
 @query(
@@ -87,7 +87,7 @@ FROM mem JOIN ce ON ce.case_id = mem.case_id AND ce.t = mem.node GROUP BY mem.ca
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    found = scoring.supporting_transactions(g.nodes, g.edges, labels_table(spark, sf))
+    found = scoring.supporting_transactions(g.nodes, g.edges, g.labels)
     return found.groupBy("case_id", "entity").agg(F.count(F.lit(1)).alias("transactions"))
 
 
@@ -221,7 +221,7 @@ SELECT case_id, entity, round(CAST(s AS DOUBLE), 1) AS score FROM z""",
 )
 def _(spark, sf):
     g = traced_graph(spark, sf)
-    inputs = scoring.score_inputs(g.cases, g.nodes, g.edges, labels_table(spark, sf))
+    inputs = scoring.score_inputs(g.cases, g.nodes, g.edges, g.labels)
     relay = risk.last_inflow(g.edges, ["case_id"]).groupBy("case_id").agg(
         F.min(risk.held_seconds()).alias("held_seconds")
     )

@@ -6,6 +6,7 @@ from ledgerhop.operators import graph
 from ledgerhop.plans.investigate import CaseGraph, case_graph
 from ledgerhop.sources import bench_tables as tables
 from ledgerhop.sources import files
+from ledgerhop.staging import stage
 
 MIN_AMOUNT = 100
 
@@ -17,7 +18,8 @@ def base_edges(spark: SparkSession, sf: str, min_amount: int | None = MIN_AMOUNT
 
 
 def labels_table(spark: SparkSession, sf: str) -> DataFrame:
-    return files.knowledge_base(tables.wallet_labels(spark, sf))
+    """The label base, written once: several joins of a query read it."""
+    return stage(files.knowledge_base(tables.wallet_labels(spark, sf)), "labels")
 
 
 def registry_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,6 +23,7 @@ class CaseGraph:
     edges: DataFrame
     nodes: DataFrame
     neighbours: Neighbours
+    labels: DataFrame
 
 
 def _directions(cases: DataFrame, directions: tuple[str, ...] | None) -> tuple[str, ...]:
@@ -39,7 +40,6 @@ def case_graph(
     labels: DataFrame,
     max_transactions: int | None = None,
     max_nodes: int | None = None,
-    hop_cap: int = 5,
     directions: tuple[str, ...] | None = None,
     constant_hops: bool = False,
     with_paths: bool = False,
@@ -51,9 +51,7 @@ def case_graph(
     """
     ways = _directions(cases, directions)
     around = trace.neighbour_table(edges, ways, detail=True)
-    traced = trace.trace_with_budget(
-        cases, around, max_transactions, max_nodes, hop_cap, with_paths
-    )
+    traced = trace.trace_with_budget(cases, around, max_transactions, max_nodes, with_paths)
     # Under a budget only edges between collected nodes belong to the case.
     found = trace.trace_edges(edges, traced, around, ways)
     if max_transactions is not None or max_nodes is not None:
@@ -69,7 +67,7 @@ def case_graph(
         graph.annotate_edges(found, bounded, cases, constant_hops), "case-edges"
     )
     nodes = graph.node_table(cases, case_edges, labels, bounded)
-    return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), around)
+    return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), around, labels)
 
 
 def roots(cases: DataFrame) -> DataFrame:

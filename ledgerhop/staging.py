@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,32 @@ def stage_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """New folder for one written table, grouped by application for later clean-up."""
+    app = spark.sparkContext.applicationId
+    return f"{stage_root(spark)}/ledgerhop/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back with its own schema."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/stage/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` bucketed on ``keys``: joins on them need no further shuffle of this side.
+
+    One repartition puts each bucket into one task, so there is one file per bucket.
+    """
+    spark = df.sparkSession
+    name = f"ledgerhop_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", stage_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def stage_counted(
     df: DataFrame, label: str, measure: Column | None = None
 ) -> tuple[DataFrame, int]:

@@ -37,6 +37,19 @@ def test_running_sums_match_brute_force(spark, rows):
         assert ranks[r["id"]] == len(before)
 
 
+def test_groups_spanning_partitions_are_shifted(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.row_numbers(df, ["k"], ["id"], "n")
+        assert got.filter("k = 'hot'").agg(F.max("n"), F.count_distinct("n")).first()[:] == (1667, 1667)
+        assert got.groupBy("k").agg((F.max("n") == F.count("*")).alias("ok")).filter("not ok").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_running_max_ignores_null(spark):
     df = spark.createDataFrame([("k", n, v) for n, v in enumerate([None, 5, None, 3, 9])], "k string, n int, v int")
     got = ordering.running_max(df, ["k"], ["n"], "v", "m").orderBy("n").collect()
@@ -57,9 +70,7 @@ def test_first_and_top_rows(spark, rows):
     first = {r["k"]: r["id"] for r in ordering.first_rows(df, ["k"], ["s", "id"]).collect()}
     top = ordering.top_rows(df, ["k"], ["s", "id"], 2, "n").collect()
     for k in {r[1] for r in rows}:
-        ordered = [x[0] for x in sorted((x[4], x[0]) for x in rows if x[1] == k)] if False else [
-            i for _, i in sorted((x[4], x[0]) for x in rows if x[1] == k)
-        ]
+        ordered = [i for _, i in sorted((x[4], x[0]) for x in rows if x[1] == k)]
         assert first[k] == ordered[0]
         assert [r["id"] for r in sorted(top, key=lambda r: r["n"]) if r["k"] == k] == ordered[:2]
 

@@ -79,6 +79,24 @@ def test_salted_tables_give_the_same_trace(spark):
     assert sorted(x.collect()) == sorted(y.collect())
 
 
+def test_bucketed_pairs_are_not_shuffled_again(spark):
+    rng = random.Random(5)
+    rows = [(f"t{n}", f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", 1) for n in range(200)]
+    e = edges(spark, rows)
+    cases = case(spark, "n1", 4)
+    bucketed = trace.neighbour_table(e, buckets=4)
+    want = nodes_of(trace.trace_nodes(cases, trace.neighbour_table(e)))
+    assert nodes_of(trace.trace_nodes(cases, bucketed)) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probe = trace.start_nodes(cases).repartition(4)
+        plan = bucketed.pairs.join(probe)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == 1
+        assert nodes_of(trace.trace_nodes(cases, trace.neighbour_table(e, hot_rows=5, buckets=4))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
 def test_any_direction_expands_to_recipients(spark):
     rows = [("t1", "x", "root", 1), ("t2", "root", "a", 1), ("t3", "w", "x", 1)]
     e = edges(spark, rows)
