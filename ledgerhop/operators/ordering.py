@@ -151,26 +151,23 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 
 
 def trailing_counts(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, sums: Sequence[str]
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, value: str
 ) -> DataFrame:
-    """For each distinct (keys, time): sums of the columns over the last ``seconds``.
+    """For each distinct (keys, time): sum of ``value`` over the last ``seconds``, inclusive.
 
-    Rows of equal time are combined first.  Time is cut into slices of the window's
-    length and every row is shown to its own and the next slice, so a hot key spreads
-    over its slices instead of forming one window.
+    Rows of equal time are combined first.  The sum is the difference of two running
+    sums, at the time itself and just before the window opens, so neither a hot key nor a
+    burst inside one window has to fit into one task.
     """
     micros = seconds * 1_000_000
-    times = df.groupBy(*keys, ts).agg(*[F.sum(c).alias(c) for c in sums])
-    at = times.withColumn("_at", F.unix_micros(ts)).withColumn(
-        "_slice", F.floor(F.col("_at") / micros).cast("bigint")
+    times = df.groupBy(*keys, F.unix_micros(ts).alias("_of")).agg(F.sum(value).alias("_n"))
+    marks = F.array(
+        F.struct(F.col("_of").alias("_at"), F.lit(1).alias("_kind"), F.col("_n").alias("_n")),
+        F.struct((F.col("_of") - micros).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_n")),
     )
-    shown = at.withColumn("_view", F.explode(F.array("_slice", F.col("_slice") + 1)))
-    window = Window.partitionBy(*keys, "_view").orderBy("_at").rangeBetween(-micros, 0)
-    summed = shown.select(
-        *keys,
-        ts,
-        "_slice",
-        "_view",
-        *[F.sum(c).over(window).alias(c) for c in sums],
+    moments = times.select(*keys, "_of", F.explode(marks).alias("_m")).select(*keys, "_of", "_m.*")
+    summed = running_sum(moments, keys, ["_at", "_kind"], "_n", "_upto")
+    opened = F.when(F.col("_kind") == 0, -F.col("_upto")).otherwise(F.col("_upto"))
+    return summed.groupBy(*keys, "_of").agg(F.sum(opened).alias(value)).select(
+        *keys, F.timestamp_micros("_of").alias(ts), value
     )
-    return summed.filter(F.col("_slice") == F.col("_view")).drop("_slice", "_view")

@@ -112,14 +112,15 @@ def highest_value_paths(
         )
         known = state.withColumn("fresh", F.lit(False))
         # On equal cost the known path stays (false sorts before true).
-        state, _ = stage_counted(
+        state, improved = stage_counted(
             known.unionByName(offers)
             .groupBy(*carried, "node")
             .agg(F.min(F.struct("cost_so_far", "fresh", "path")).alias("b"))
             .select(*carried, "node", "b.cost_so_far", "b.path", "b.fresh"),
             "value",
+            F.count_if("fresh"),
         )
-        if state.filter("fresh").isEmpty():
+        if improved == 0:
             break
     cost = F.col("cost_so_far")
     return state.drop("fresh").withColumnRenamed("cost_so_far", "cost") if not bottleneck else (

@@ -162,7 +162,7 @@ def fan_out_bursts(
     """Times at which a sender made ``at_least`` transfers within the last ``seconds``."""
     ones = edges.select(*scope, "source", "ts", F.lit(1).cast("bigint").alias("transfers"))
     return trailing_counts(
-        ones.filter(F.col("ts").isNotNull()), [*scope, "source"], "ts", seconds, ["transfers"]
+        ones.filter(F.col("ts").isNotNull()), [*scope, "source"], "ts", seconds, "transfers"
     ).filter(F.col("transfers") >= at_least)
 
 
@@ -181,7 +181,7 @@ def smurfing(
         F.when(is_dust(F.col("amount"), below), 1).otherwise(0).cast("bigint").alias("small"),
     ).filter(F.col("ts").isNotNull())
     funded = edges.select(*scope, F.col("target").alias("node")).distinct()
-    counted = trailing_counts(small, [*scope, "node"], "ts", seconds, ["small"])
+    counted = trailing_counts(small, [*scope, "node"], "ts", seconds, "small")
     return counted.filter(F.col("small") >= at_least).join(funded, [*scope, "node"], "left_semi")
 
 
