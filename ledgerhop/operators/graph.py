@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, filled
-from ledgerhop.operators.ordering import first_rows, row_numbers
-from ledgerhop.staging import stage
+from ledgerhop.operators.ordering import first_rows, row_numbers, row_numbers_upto
+from ledgerhop.staging import stage_counted
 
 EDGE_ORDER = ["ts", "tx_hash", "transfer_id"]
 
@@ -51,18 +51,21 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
 
     ``order`` must be unique per ``scope`` and decides which copy keeps the plain id.
     Ids seen once, usually nearly all, only meet the list of repeated ids; the repeats are
-    numbered in a way that stands a group of any size.
+    numbered by a window, or over range partitions when one id has very many copies.
     """
     by_position = F.concat_ws("_", "tx_hash", "transfer_index")
     key = [*scope, "_key"]
     plain = edges.withColumn("_key", F.coalesce(filled(F.col("transfer_id")), by_position))
-    repeated = stage(
-        plain.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "repeats"
-    )
+    counts = plain.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated, largest = stage_counted(counts, "repeats", F.max("_n"))
     alone = plain.join(repeated, key, "left_anti")
-    copies = row_numbers(plain.join(repeated, key, "left_semi"), key, order, "_copy")
+    copies = row_numbers_upto(
+        plain.join(repeated, key, "left_semi"), key, order, "_copy", largest
+    )
     first = copies.filter("_copy = 1").drop("_copy")
-    later = stage(copies.filter("_copy > 1").withColumn("_key", by_position), "copies")
+    later, moved = stage_counted(
+        copies.filter("_copy > 1").withColumn("_key", by_position), "copies"
+    )
     # A position may itself be the plain id of another edge; then numbering starts at 2.
     held = (
         alone.select(*key)
@@ -70,7 +73,8 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
         .join(later.select(*key).distinct(), key, "left_semi")
         .withColumn("_held", F.lit(1))
     )
-    numbered = row_numbers(later, key, ["_copy", *order], "_again").join(held, key, "left")
+    again = row_numbers_upto(later, key, ["_copy", *order], "_again", moved)
+    numbered = again.join(held, key, "left")
     number = F.col("_again") + F.coalesce("_held", F.lit(0))
     named = numbered.withColumn(
         "edge_key",

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerhop.staging import stage
 
+# Groups above this many rows are never put into one task.
+HOT_ROWS = 1_000_000
+
 
 def _name(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
@@ -110,6 +113,16 @@ def row_numbers(
     return running_sum(counted, keys, order, "_one", out).drop("_one")
 
 
+def row_numbers_upto(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, largest: int
+) -> DataFrame:
+    """Row numbers when the largest group is known: a plain window below ``HOT_ROWS`` rows."""
+    if largest > HOT_ROWS:
+        return row_numbers(df, keys, order, out)
+    window = Window.partitionBy(*keys).orderBy(*[_name(c) for c in order])
+    return df.withColumn(out, F.row_number().over(window).cast("bigint"))
+
+
 def top_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, out: str
 ) -> DataFrame:

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerhop.operators.ordering import HOT_ROWS
 from ledgerhop.staging import stage_counted
 
 SALT = "_salt"
-HOT_ROWS = 1_000_000
 BUCKETS = 64
 
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerhop.operators import graph, noise, paths, trace
+from ledgerhop.operators import graph, noise, ordering, paths, trace
 from ledgerhop.plans.investigate import case_graph, investigate
 from ledgerhop.sources import files
 from samples import case, edges, labels, nodes_of, transfers
@@ -179,7 +179,9 @@ def test_node_table_keeps_first_spelling_and_labels(spark):
     assert g.edges.count() == 3
 
 
-def test_edge_keys_stay_unique(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_edge_keys_stay_unique(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(ordering, "HOT_ROWS", hot_rows)
     rows = [("t1", "a", "b", 1, 0, "x"), ("t1", "a", "b", 2, 1, "x"), ("t1", "a", "b", 3, 2, "x"), ("x_0", "a", "b", 4, 3, "x"),
             ("", "a", "b", 5, 4, "y"), ("t2", "a", "c", 6, 5, "z")]
     got = graph.unique_edge_keys(edges(spark, rows), ["chain"], ["ts", "amount"])
