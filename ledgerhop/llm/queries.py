@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerhop.llm import decontamination, language, packing, token_counts
+from ledgerhop.llm import decision_list, decontamination, language, packing, token_counts
 from ledgerhop.llm.common import load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(load(spark, sf, "documents"))
+
+
+@query("op4_decision_list")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Base statistics and the verdict of a learned decision list for every document."""
+    return decision_list.judge(load(spark, sf, "documents"), load(spark, sf, "labels"))
