@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerhop.llm import decision_list, decontamination, language, packing, token_counts
+from ledgerhop.llm import decision_list, decontamination, language, lm_scoring, packing, token_counts
 from ledgerhop.llm.common import load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Base statistics and the verdict of a learned decision list for every document."""
     return decision_list.judge(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query("op9_bloom_language_model")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram and filter-model log probabilities of every document."""
+    return lm_scoring.score(load(spark, sf, "documents"))
