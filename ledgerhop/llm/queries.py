@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerhop.llm import decision_list, decontamination, language, lm_scoring, packing, token_counts
+from ledgerhop.llm import decision_list, decontamination, language, lm_scoring, near_duplicates, packing, token_counts
 from ledgerhop.llm.common import load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Unigram and filter-model log probabilities of every document."""
     return lm_scoring.score(load(spark, sf, "documents"))
+
+
+@query("op10_weighted_near_duplicates")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document by weighted MinHash."""
+    return near_duplicates.near_duplicates(load(spark, sf, "documents"))
