@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ledgerhop.llm import decision_list, decontamination, language, lm_scoring, near_duplicates, packing, token_counts
+from pyspark.sql import functions as F
+
+from ledgerhop.llm import (
+    decision_list,
+    decontamination,
+    language,
+    line_dedup,
+    lm_scoring,
+    near_duplicates,
+    packing,
+    token_counts,
+)
 from ledgerhop.llm.common import load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +82,13 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"))
 
 
+@query("op3_line_alignment")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut of the blocks of lines that an earlier one has; the text as a digest."""
+    cut = line_dedup.dedup_lines(load(spark, sf, "documents"))
+    return cut.select("doc_id", "n_deleted", "sources", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op4_decision_list")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Base statistics and the verdict of a learned decision list for every document."""
