@@ -16,6 +16,7 @@ from ledgerhop.llm import (
     near_duplicates,
     packing,
     token_counts,
+    weak_labels,
 )
 from ledgerhop.llm.common import load
 
@@ -105,3 +106,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document by weighted MinHash."""
     return near_duplicates.near_duplicates(load(spark, sf, "documents"))
+
+
+@query("op6_weak_labels")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality and toxicity of every document from weak labels."""
+    return weak_labels.classify(load(spark, sf, "documents"), load(spark, sf, "labels"))
