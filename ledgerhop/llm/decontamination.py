@@ -227,7 +227,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     ``max_coverage`` of the words are hit. Untouched texts stay as they are, byte for byte."""
     blocks = item_blocks(items, window)
     (name,) = fresh(docs.columns, "bytes")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -241,7 +241,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
             keep.append(hit <= max_coverage * len(words))
         columns = [*batch.columns[:-1]]
         columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays(columns, docs.columns).filter(pa.array(keep, pa.bool_()))
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
     # The text itself travels once, as bytes; its column holds a null until it is filled again.
     hollow = [F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]

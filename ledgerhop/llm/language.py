@@ -199,8 +199,8 @@ def keep_known(docs: DataFrame, margin: float = 0.0, fit_rows: int = FIT_ROWS) -
         texts, lettered = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         names, _, margins = predict_batch(shared.value, [t if ok else None for t, ok in zip(texts, lettered, strict=True)])
         keep = [n != UNKNOWN and m >= margin for n, m in zip(names, margins, strict=True)]
-        return batch.select(docs.columns).filter(pa.array(keep, pa.bool_()))
+        return batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
-    at = docs.columns.index("text")
+    columns, at = docs.columns, docs.columns.index("text")
     marked = docs.withColumn(name, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
     return map_batches(marked, run, docs.schema)

@@ -15,6 +15,7 @@ from ledgerhop.llm import (
     lm_scoring,
     near_duplicates,
     packing,
+    passages,
     token_counts,
     weak_labels,
 )
@@ -83,6 +84,12 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"))
 
 
+@query("op2_collinear_chains")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of every document that an earlier one has, by chained seeds."""
+    return passages.find_passages(load(spark, sf, "documents"))
+
+
 @query("op3_line_alignment")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Every document cut of the blocks of lines that an earlier one has; the text as a digest."""
