@@ -23,8 +23,9 @@ CHAIN_ALIASES = {
     "sol": "solana",
     "solana": "solana",
 }
+# The registry's shorter alias list, chains whose addresses ignore case, status words.
 REGISTRY_CHAIN_ALIASES = {"eth": "ethereum", "btc": "bitcoin", "trx": "tron"}
-CASE_FOLDED_CHAINS = ["ethereum", "polygon", "arbitrum", "bsc"]
+CASE_FOLDED_CHAINS = ["ethereum", "polygon", "arbitrum", "bnb", "bsc"]
 CONFIRMED_WORDS = ["success", "confirmed", "1", "true", "ok"]
 FAILED_WORDS = ["failed", "failure", "error", "0", "false"]
 PENDING_WORDS = ["pending", "queued", "mempool"]
@@ -37,7 +38,7 @@ CATEGORY_WORDS = [
     ("PAYMENT_PROVIDER", ["MIXER", "PRIVACY"]),
     ("MINER", ["MINER", "POOL"]),
 ]
-SERVICE_CATEGORIES = ["VASP", "EXCHANGE", "CUSTODIAN"]
+SERVICE_CATEGORIES = ["VASP", "EXCHANGE", "CUSTODIAN"]  # fixed values
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -62,6 +63,22 @@ def registry_chain(text: Column) -> Column:
     return F.coalesce(_lookup(REGISTRY_CHAIN_ALIASES, clean), clean)
 
 
+def key_chain(text: Column) -> Column:
+    """Chain name that all tables are joined on: the canonical one, else the name in lower case."""
+    return F.coalesce(canonical_chain(text), F.lower(F.trim(text)))
+
+
+def trace_direction(text: Column) -> Column:
+    """``outgoing``, ``incoming`` or ``any`` for the accepted spellings; anything else is an error."""
+    word = F.lower(F.trim(text))
+    return (
+        F.when(word.isin("outgoing", "out", "forward"), "outgoing")
+        .when(word.isin("incoming", "in", "backward"), "incoming")
+        .when(word.isin("any", "both", "all"), "any")
+        .otherwise(F.raise_error(F.concat(F.lit("unknown direction: "), F.coalesce(text, F.lit("NULL")))))
+    )
+
+
 def transaction_status(text: Column) -> Column:
     word = F.lower(F.trim(text))
     return (
@@ -81,7 +98,7 @@ def address_key(chain: Column, address: Column, fold_all: bool = False) -> Colum
     clean = F.trim(address)
     if fold_all:
         return F.lower(clean)
-    return F.when(registry_chain(chain).isin(CASE_FOLDED_CHAINS), F.lower(clean)).otherwise(clean)
+    return F.when(key_chain(chain).isin(CASE_FOLDED_CHAINS), F.lower(clean)).otherwise(clean)
 
 
 def entity_category(text: Column) -> Column:

@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.text import address_key, entity_category, filled, is_service, registry_chain
+from ledgerhop.functions.text import address_key, entity_category, filled, is_service, key_chain
 from ledgerhop.operators.graph import edge_ends
 from ledgerhop.operators.ordering import first_rows, top_rows
 from ledgerhop.operators.paths import attribution_paths
 
+# Names and references of the registry's answers.
 PROVIDER = "local_registry"
 
 
 def resolve_labels(addresses: DataFrame, labels: DataFrame) -> DataFrame:
-    """Label per ``addresses(address)``; a miss is an unlabelled intermediary.
+    """Label per ``addresses(address[, chain])``; a miss is an unlabelled intermediary.
 
-    ``labels`` holds one row per ``node``; its size decides whether it is broadcast.
+    ``labels`` holds one row per (chain, node); its size decides whether it is broadcast.
+    Addresses without a chain are Ethereum's.
     """
     known = labels.select(
+        F.col("chain").alias("_chain"),
         "node",
         "entity_name",
         F.coalesce("entity_type", F.lit("VASP")).alias("entity_type"),
         F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
         F.coalesce("label_source", F.lit("KNOWLEDGE_BASE")).alias("label_source"),
     )
-    joined = addresses.withColumn("node", F.lower("address")).join(known, "node", "left")
+    chain = F.col("chain") if "chain" in addresses.columns else F.lit("ethereum")
+    keyed = addresses.withColumn("_chain", key_chain(chain)).withColumn(
+        "node", address_key(chain, F.col("address"))
+    )
+    joined = keyed.join(known, ["_chain", "node"], "left")
     return joined.select(
         *addresses.columns,
         "entity_name",
@@ -38,9 +45,11 @@ def resolve_labels(addresses: DataFrame, labels: DataFrame) -> DataFrame:
 def label_map(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels with a name for all edge ends, once per (case, node)."""
     keep = [c for c in ("case_id",) if c in edges.columns]
-    ends = edge_ends(edges).select(*keep, "node").distinct()
+    ends = edge_ends(edges).select(*keep, "chain", "node").distinct()
     named = labels.filter(F.col("entity_name").isNotNull())
-    return ends.join(named.select("node", "entity_name", "entity_type", "confidence"), "node")
+    return ends.join(
+        named.select("chain", "node", "entity_name", "entity_type", "confidence"), ["chain", "node"]
+    )
 
 
 def _typed_records(registry: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def registry_status(registry: DataFrame) -> DataFrame:
 
 def resolve_registry(addresses: DataFrame, registry: DataFrame) -> DataFrame:
     """Resolution of ``addresses(chain, address)`` with status NOT_FOUND for misses."""
-    chain = registry_chain(F.col("chain"))
+    chain = key_chain(F.col("chain"))
     keyed = addresses.withColumn("node", address_key(F.col("chain"), F.col("address"))).withColumn(
         "_chain", chain
     )

@@ -30,7 +30,7 @@ def evidence_items(transfers: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def factor_evidence(support: DataFrame, transfers: DataFrame) -> DataFrame:
     """Drill-down: supporting transactions of each candidate with their transfers."""
-    return support.join(transfers, "tx_hash")
+    return support.join(transfers, ["chain", "tx_hash"])
 
 
 def _combine(parts: DataFrame, digits: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.text import address_key, filled
+from ledgerhop.functions.text import address_key, filled, key_chain, trace_direction
 from ledgerhop.operators.ordering import first_rows, row_numbers, row_numbers_upto
 from ledgerhop.staging import stage_counted
 
@@ -25,7 +25,7 @@ def edge_table(transfers: DataFrame, fold_all: bool = False, native: str = "ETH"
         *keep,
         "transfer_id",
         "tx_hash",
-        "chain",
+        key_chain(F.col("chain")).alias("chain"),
         address_key(F.col("chain"), F.col("from_address"), fold_all).alias("source"),
         address_key(F.col("chain"), F.col("to_address"), fold_all).alias("target"),
         "from_address",
@@ -103,8 +103,8 @@ def node_table(
 ) -> DataFrame:
     """Nodes of every case: its root plus all edge ends.
 
-    ``cases(case_id, chain, root)``; ``labels(node, entity_name, entity_type, confidence)``
-    with one row per node; ``traced(case_id, node, hop, boundary_reason)`` supplies hops.
+    ``cases(case_id, chain, root)``; ``labels(chain, node, entity_name, entity_type,
+    confidence)`` with one row per (chain, node); ``traced(case_id, node, hop, boundary_reason)`` supplies hops.
     The spelling first seen in edge order is kept as ``address``.
     """
     seen = edge_ends(edges).groupBy("case_id", "chain", "node").agg(
@@ -115,7 +115,7 @@ def node_table(
         "is_root", F.coalesce("is_root", F.lit(False))
     )
     named = joined.join(
-        labels.select("node", "entity_name", "entity_type", "confidence"), "node", "left"
+        labels.select("chain", "node", "entity_name", "entity_type", "confidence"), ["chain", "node"], "left"
     )
     root = F.col("is_root")
     nodes = named.select(
@@ -155,8 +155,8 @@ def annotate_edges(edges: DataFrame, traced: DataFrame, cases: DataFrame, consta
     """
     if constant:
         return edges.withColumn("hop", F.lit(1)).withColumn("is_boundary", F.lit(False))
-    about = cases.select("case_id", "root", F.lower("direction").alias("_way"))
-    incoming = F.col("_way").isin("incoming", "in", "backward")
+    about = cases.select("case_id", "root", trace_direction(F.col("direction")).alias("_way"))
+    incoming = F.col("_way") == "incoming"
     far = F.when(incoming, F.col("source")).otherwise(F.col("target"))
     near = F.when(incoming, F.col("target")).otherwise(F.col("source"))
     hops = traced.select(
@@ -233,13 +233,13 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
 def collapse_hubs(edges: DataFrame, degree_above: int, names: DataFrame, scope: list[str]) -> DataFrame:
     """Replace nodes with more than ``degree_above`` edges by one cluster node per entity.
 
-    ``names(node, entity_name)``; hubs without a name keep their own key.  Parallel
+    ``names(chain, node, entity_name)``; hubs without a name keep their own key.  Parallel
     edges between the new ends are combined per asset.
     """
     hubs = (
         degrees(edges, scope)
         .filter(F.col("in_degree") + F.col("out_degree") > degree_above)
-        .join(names.select("node", "entity_name"), "node", "left")
+        .join(names.select("chain", "node", "entity_name"), ["chain", "node"], "left")
         .select(*scope, "node", F.concat(F.lit("hub:"), F.coalesce("entity_name", "node")).alias("cluster"))
     )
     ends = edges

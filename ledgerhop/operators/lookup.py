@@ -117,7 +117,7 @@ def page(
     )
 
 
-def wallet_history(transactions: DataFrame, transfers: DataFrame, address: str, limit: int = 50) -> DataFrame:
+def wallet_history(transactions: DataFrame, transfers: DataFrame, address: str, limit: int) -> DataFrame:
     """First transactions of a wallet on either side, oldest first."""
     found = with_matching_transfer(transactions, transfers, touches(address))
     return found.orderBy("ts", "tx_hash").limit(limit)
@@ -129,9 +129,7 @@ def attach_transfers(page_rows: DataFrame, transfers: DataFrame) -> DataFrame:
     The page is small by construction, so the transfers are filtered by its hashes in one
     join.  Rows stay long: the number of transfers inside a transaction is not bounded.
     """
-    return page_rows.select("tx_hash").join(
-        transfers.drop("chain"), "tx_hash", "left"
-    )
+    return page_rows.select("chain", "tx_hash").join(transfers, ["chain", "tx_hash"], "left")
 
 
 def search_labels(

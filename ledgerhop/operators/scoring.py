@@ -32,13 +32,15 @@ def band(score: Column, high: float = HIGH_FROM, medium: float = MEDIUM_FROM) ->
 def entity_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Case nodes that belong to a named service; the label base decides, not the node type."""
     known = labels.select(
+        "chain",
         "node",
         F.col("entity_name").alias("entity"),
         F.coalesce("entity_type", F.lit("VASP")).alias("label_type"),
     )
     return (
-        nodes.select("case_id", "node", "address", "is_root")
-        .join(known, "node")
+        nodes.select("case_id", "chain", "node", "address", "is_root")
+        .join(known, ["chain", "node"])
+        .drop("chain")
         .filter(F.col("entity").isNotNull() & F.col("label_type").isin(SERVICE_TYPES))
     )
 
@@ -46,8 +48,8 @@ def entity_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def case_flags(cases: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Per case: mixer and bridge contact, sweep edges, outflow of the root (0 becomes 1)."""
     kinds = (
-        nodes.select("case_id", "node")
-        .join(labels.select("node", "entity_type"), "node")
+        nodes.select("case_id", "chain", "node")
+        .join(labels.select("chain", "node", "entity_type"), ["chain", "node"])
         .groupBy("case_id")
         .agg(
             F.bool_or(F.col("entity_type") == "MIXER").alias("has_mixer"),
@@ -200,13 +202,13 @@ def supporting_transactions(nodes: DataFrame, edges: DataFrame, labels: DataFram
     members = entity_nodes(nodes, labels)
     arriving = edges.join(
         members.select("case_id", F.col("node").alias("target"), "entity"), ["case_id", "target"]
-    ).select("case_id", "entity", "tx_hash")
+    ).select("case_id", "entity", "chain", "tx_hash")
     swept = (
         edges.filter(F.col("edge_type") == "SWEEP")
-        .select("case_id", "tx_hash")
+        .select("case_id", "chain", "tx_hash")
         .distinct()
         .join(members.select("case_id", "entity").distinct(), "case_id")
-        .select("case_id", "entity", "tx_hash")
+        .select("case_id", "entity", "chain", "tx_hash")
     )
     return arriving.unionByName(swept).distinct()
 
@@ -227,13 +229,13 @@ def sweep_edges_by_time(
 
     ``last_inflow`` is the edge table with ``inflow_ts`` (see the risk module).
     """
-    kinds = labels.select("node", "entity_type")
-    deposits = kinds.filter(F.col("entity_type").isin(DEPOSIT_TYPES)).select(F.col("node").alias("source"))
-    hot = kinds.filter(F.col("entity_type").isin(HOT_TYPES)).select(F.col("node").alias("target"))
+    kinds = labels.select("chain", "node", "entity_type")
+    deposits = kinds.filter(F.col("entity_type").isin(DEPOSIT_TYPES)).select("chain", F.col("node").alias("source"))
+    hot = kinds.filter(F.col("entity_type").isin(HOT_TYPES)).select("chain", F.col("node").alias("target"))
     held = (F.unix_micros("ts") - F.unix_micros("inflow_ts")) / 1e6
     return (
-        last_inflow.join(deposits, "source", "left_semi")
-        .join(hot, "target", "left_semi")
+        last_inflow.join(deposits, ["chain", "source"], "left_semi")
+        .join(hot, ["chain", "target"], "left_semi")
         .filter(held < hours * 3600)
         .withColumn("is_sweep", F.lit(True))
     )

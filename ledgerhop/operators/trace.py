@@ -16,6 +16,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerhop.functions.text import trace_direction
 from ledgerhop.operators.graph import EDGE_ORDER
 from ledgerhop.operators.ordering import first_rows, top_rows
 from ledgerhop.operators.skew import HOT_ROWS, SALT, SaltedTable, salt_hot_keys, salt_known_keys
@@ -111,7 +112,10 @@ def neighbour_table(
 
 
 def start_nodes(cases: DataFrame) -> DataFrame:
-    return cases.select(*CASE_COLUMNS, F.col("root").alias("node"), F.lit(0).alias("hop"))
+    """Roots with hop 0; directions in one spelling."""
+    way = trace_direction(F.col("direction")).alias("direction")
+    columns = [way if c == "direction" else F.col(c) for c in CASE_COLUMNS]
+    return cases.select(*columns, F.col("root").alias("node"), F.lit(0).alias("hop"))
 
 
 def trace_nodes(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
@@ -265,7 +269,8 @@ def fallback_edges(cases: DataFrame, edges: DataFrame, transactions: DataFrame)
     so it can be added to the edges before the neighbour table is built.
     """
     incoming = F.col("direction") == "incoming"
-    roots = cases.select("chain", "root", "direction").distinct()
+    way = trace_direction(F.col("direction")).alias("direction")
+    roots = cases.select("chain", "root", way).distinct()
     touched = edges.select("chain", F.col("source").alias("root"), F.lit(False).alias("_in")).union(
         edges.select("chain", F.col("target"), F.lit(True))
     )

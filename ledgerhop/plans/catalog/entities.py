@@ -209,7 +209,7 @@ FROM s LEFT JOIN m ON m.case_id = s.case_id LEFT JOIN a ON a.case_id = s.case_id
 def _(spark, sf):
     result = investigate(
         tables.nation_cases(spark, sf),
-        tables.event_transfers(spark, sf).filter("amount >= 100"),
+        tables.event_transfers(spark, sf),
         labels_table(spark, sf),
         registry_table(spark, sf),
         directions=("outgoing",),

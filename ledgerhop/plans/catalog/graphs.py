@@ -22,7 +22,7 @@ def _double(name):
   'TRANSFER' AS edge_type, 'ev_' || substr(tx_hash, 1, 10) AS evidence_ref FROM tr""",
 )
 def _(spark, sf):
-    return base_edges(spark, sf, None).select(
+    return base_edges(spark, sf).select(
         "transfer_id", "source", "target", "asset_id", "asset_symbol", _double("amount"),
         "transfer_type", "edge_type", "evidence_ref",
     )
@@ -120,7 +120,7 @@ def _(spark, sf):
 
 @query(
     "e6_backward_hop_distance",
-    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr WHERE amount >= 100),
+    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr),
 cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
 r(case_id, node, hop) AS (SELECT case_id, root, 0 FROM cases
   UNION SELECT r.case_id, e.f, hop + 1 FROM r JOIN e ON e.t = r.node WHERE hop < 5)
@@ -179,7 +179,7 @@ m AS (SELECT case_id, node, min(hop) AS hop FROM r GROUP BY case_id, node)
 SELECT case_id, hop, count(*) AS nodes FROM m GROUP BY case_id, hop""",
 )
 def _(spark, sf):
-    pairs = trace.neighbour_table(base_edges(spark, sf, None))
+    pairs = trace.neighbour_table(base_edges(spark, sf))
     return trace.hop_layers(trace.trace_nodes(tables.sender_cases(spark, sf), pairs))
 
 
@@ -201,7 +201,7 @@ def _(spark, sf):
 
 @query(
     "e8_trace_both_sides",
-    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr WHERE amount >= 100),
+    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr),
 p AS (SELECT f AS node, t AS nxt FROM e UNION SELECT t, f FROM e),
 r(case_id, node, hop) AS (SELECT 'case' || n_nationkey, 'a' || n_nationkey, 0 FROM nation
   UNION SELECT r.case_id, p.nxt, hop + 1 FROM r JOIN p ON p.node = r.node WHERE hop < 2),
@@ -217,7 +217,7 @@ def _(spark, sf):
 # One hop with a budget of 3 transactions: the first three hashes in edge order win.
 @query(
     "e9_transaction_budget",
-    f"""WITH {TR}, e AS (SELECT * FROM tr WHERE amount >= 50),
+    f"""WITH {TR}, e AS (SELECT * FROM tr),
 cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
 p AS (SELECT case_id, t AS node, ts, tx_hash, transfer_id,
   row_number() OVER (PARTITION BY case_id, t ORDER BY ts, tx_hash, transfer_id) AS k
@@ -229,7 +229,7 @@ SELECT d.case_id, d.node, d.tx_hash FROM d JOIN x ON x.case_id = d.case_id AND x
 )
 def _(spark, sf):
     cases = tables.nation_cases(spark, sf, max_hops=1)
-    pairs = trace.neighbour_table(base_edges(spark, sf, 50), detail=True)
+    pairs = trace.neighbour_table(base_edges(spark, sf), detail=True)
     traced = trace.trace_with_budget(cases, pairs, max_transactions=3)
     return traced.filter("hop = 1").select("case_id", "node", F.col("first.tx_hash").alias("tx_hash"))
 
@@ -253,7 +253,7 @@ def _(spark, sf):
         F.col("root").alias("case_id"), F.lit("ethereum").alias("chain"), "root",
         F.lit("outgoing").alias("direction"), F.lit(1).alias("max_hops"),
     )
-    found = trace.fallback_edges(roots, base_edges(spark, sf, None), transactions)
+    found = trace.fallback_edges(roots, base_edges(spark, sf), transactions)
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("transfers"))
 
 
@@ -279,13 +279,15 @@ def _(spark, sf):
 
 @query(
     "e12_empty_wallets",
-    f"""WITH {TR}, x AS (SELECT DISTINCT f FROM tr WHERE amount >= 200)
+    f"""WITH {TR}, x AS (SELECT DISTINCT f FROM tr)
 SELECT 'case' || n_nationkey AS case_id, 'EMPTY_WALLET' AS termination_reason, 1 AS nodes, 0 AS edges
-FROM nation WHERE 'a' || n_nationkey NOT IN (SELECT f FROM x)""",
+FROM nation WHERE 'a' || (n_nationkey * 97) NOT IN (SELECT f FROM x)""",
 )
 def _(spark, sf):
-    cases = tables.nation_cases(spark, sf, max_hops=1)
-    g = case_graph(cases, base_edges(spark, sf, 200), labels_table(spark, sf), directions=("outgoing",))
+    # Some of these wallets exist at every size, most do not.
+    number = F.substring("root", 2, 20).cast("bigint") * 97
+    cases = tables.nation_cases(spark, sf, max_hops=1).withColumn("root", F.concat(F.lit("a"), number))
+    g = case_graph(cases, base_edges(spark, sf), labels_table(spark, sf), directions=("outgoing",))
     summary = trace.trace_summary(g.cases, g.traced, g.edges)
     return summary.filter("termination_reason = 'EMPTY_WALLET'").select(
         "case_id", "termination_reason", F.col("nodes").cast("int").alias("nodes"), F.col("edges").cast("int").alias("edges")
@@ -353,7 +355,7 @@ def _(spark, sf):
 FROM (SELECT f AS node, 0 AS i, 1 AS o FROM tr UNION ALL SELECT t, 1, 0 FROM tr) x GROUP BY node""",
 )
 def _(spark, sf):
-    return graph.degrees(base_edges(spark, sf, None), ["chain"]).drop("chain")
+    return graph.degrees(base_edges(spark, sf), ["chain"]).drop("chain")
 
 
 # Shortest paths with the smallest edge sequence, level by level.
@@ -413,7 +415,7 @@ v{i} AS (SELECT case_id, node, min(cost) AS cost, arg_min(path, cost) AS path FR
 
 @query(
     "e18_highest_value_paths",
-    f"""WITH {TR}, e AS (SELECT * FROM tr WHERE amount >= 100),
+    f"""WITH {TR}, e AS (SELECT * FROM tr),
 vp AS (SELECT f AS node, t AS nxt, max(CAST(amount AS DOUBLE)) AS a FROM e GROUP BY f, t),
 v0 AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS node, CAST(0 AS DOUBLE) AS cost,
   ['a' || n_nationkey] AS path FROM nation),
@@ -430,7 +432,7 @@ def _(spark, sf):
 
 @query(
     "e18_widest_paths",
-    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr WHERE amount >= 100),
+    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr),
 vp AS (SELECT f AS node, t AS nxt, max(CAST(amount AS DOUBLE)) AS a FROM e GROUP BY f, t),
 lv AS (SELECT DISTINCT a FROM vp),
 r(root, node, w) AS (SELECT 'a' || n_nationkey, 'a' || n_nationkey, CAST('inf' AS DOUBLE) FROM nation

@@ -146,7 +146,7 @@ WHERE tx_hash IN (SELECT tx_hash FROM tr WHERE f = 'a5' OR t = 'a5') ORDER BY ts
 )
 def _(spark, sf):
     found = lookup.wallet_history(
-        tables.event_transactions(spark, sf), tables.event_transfers(spark, sf), "a5"
+        tables.event_transactions(spark, sf), tables.event_transfers(spark, sf), "a5", limit=50
     )
     return found.select("tx_hash", _us())
 
@@ -183,7 +183,7 @@ def _(spark, sf):
 
 @query(
     "d10_forward_closure",
-    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr WHERE amount >= 100),
+    f"""WITH RECURSIVE {TR}, e AS (SELECT * FROM tr),
 cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
 r(case_id, node, h) AS (SELECT case_id, root, 0 FROM cases
   UNION SELECT r.case_id, e.t, h + 1 FROM r JOIN e ON e.f = r.node WHERE h < 5),

@@ -52,9 +52,9 @@ lb AS (
       ELSE 'BRIDGE' END AS entity_type
   FROM w JOIN nation ON n % 25 = n_nationkey WHERE n % 10 <= 3)"""
 
-# Transfers of 100 and more, and the 3-hop forward trace of one case per nation.
+# All transfers, and the 3-hop forward trace of one case per nation.
 TRACE = f"""{TR},
-e AS (SELECT * FROM tr WHERE amount >= 100),
+e AS (SELECT * FROM tr),
 pairs AS (SELECT DISTINCT f AS node, t AS nxt FROM e),
 cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
 r(case_id, node, hop) AS (

@@ -119,7 +119,7 @@ def _(spark, sf):
   SELECT DISTINCT f, ts, count(*) OVER (PARTITION BY f ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW) AS n FROM tr) x WHERE n >= 4""",
 )
 def _(spark, sf):
-    found = risk.fan_out_bursts(base_edges(spark, sf, None), ["chain"], 4, 12 * 3600)
+    found = risk.fan_out_bursts(base_edges(spark, sf), ["chain"], 4, 12 * 3600)
     return found.select("source", F.unix_micros("ts").alias("ts_us"), "transfers")
 
 
@@ -133,7 +133,7 @@ li AS (SELECT tr.transfer_id, tr.f, tr.t, tr.amount, tr.ts, i.ts AS inflow_ts FR
     f"WITH {_HELD} SELECT transfer_id, epoch_us(ts) - epoch_us(inflow_ts) AS held_us FROM li",
 )
 def _(spark, sf):
-    found = risk.last_inflow(base_edges(spark, sf, None), ["chain"])
+    found = risk.last_inflow(base_edges(spark, sf), ["chain"])
     return found.select(
         "transfer_id", (F.unix_micros("ts") - F.unix_micros("inflow_ts")).alias("held_us")
     )
@@ -145,7 +145,7 @@ def _(spark, sf):
   FROM li WHERE inflow_ts IS NOT NULL GROUP BY f) SELECT node, round(median_held, 4) AS median_held FROM m WHERE median_held <= 4 * 3600""",
 )
 def _(spark, sf):
-    edges = risk.last_inflow(base_edges(spark, sf, None), ["chain"])
+    edges = risk.last_inflow(base_edges(spark, sf), ["chain"])
     found = risk.rapid_relays(edges, ["chain"], 4 * 3600)
     return found.select("node", F.round("median_held", 4).alias("median_held"))
 
@@ -157,7 +157,7 @@ FROM li WHERE inflow_ts IS NOT NULL GROUP BY f, inflow_ts
 HAVING count(*) >= 3 AND sum(amount) > 0 AND (max(CAST(amount AS DOUBLE)) - min(CAST(amount AS DOUBLE))) * count(*) <= 1.5 * CAST(sum(amount) AS DOUBLE)""",
 )
 def _(spark, sf):
-    edges = risk.last_inflow(base_edges(spark, sf, None), ["chain"])
+    edges = risk.last_inflow(base_edges(spark, sf), ["chain"])
     found = risk.fragmentation(edges, ["chain"], parts=3, spread=1.5)
     return found.select("node", F.unix_micros("inflow_ts").alias("inflow_us"), "parts", "total")
 
@@ -169,7 +169,7 @@ k3 AS (SELECT c.transfer_id, c.ts, max(s) AS s FROM tr c JOIN k2 ON k2.t = c.f A
 SELECT transfer_id, epoch_us(ts) - epoch_us(s) AS elapsed_us FROM k3 WHERE epoch_us(ts) - epoch_us(s) < 4 * 3600 * 1000000 :: BIGINT""",
 )
 def _(spark, sf):
-    found = risk.rapid_layering(base_edges(spark, sf, None), ["chain"], 3, 4 * 3600)
+    found = risk.rapid_layering(base_edges(spark, sf), ["chain"], 3, 4 * 3600)
     return found.select(
         "transfer_id", (F.unix_micros("ts") - F.unix_micros("started")).alias("elapsed_us")
     )
@@ -182,24 +182,24 @@ def _(spark, sf):
 SELECT f AS node, epoch_us(ts) AS ts_us, CAST(n AS BIGINT) AS small FROM x WHERE n >= 3 AND f IN (SELECT t FROM tr)""",
 )
 def _(spark, sf):
-    found = risk.smurfing(base_edges(spark, sf, None), ["chain"], "20", 3, 12 * 3600)
+    found = risk.smurfing(base_edges(spark, sf), ["chain"], "20", 3, 12 * 3600)
     return found.select("node", F.unix_micros("ts").alias("ts_us"), "small")
 
 
 @query(
     "r13_peel_chains",
-    f"""WITH {TR}, e AS (SELECT * FROM tr WHERE amount >= 180),
+    f"""WITH {TR}, e AS (SELECT * FROM tr),
 s AS (SELECT f AS node, arg_max(t, (amount, t)) AS nxt FROM e GROUP BY f HAVING count(*) = 2 AND CAST(max(amount) AS DOUBLE) >= 0.5 * CAST(sum(amount) AS DOUBLE))
 SELECT a.node AS head, b.node AS second, b.nxt AS change_address FROM s a JOIN s b ON b.node = a.nxt WHERE b.node <> a.node""",
 )
 def _(spark, sf):
-    found = risk.peel_chains(base_edges(spark, sf, 180), ["chain"], steps=2, major=0.5)
+    found = risk.peel_chains(base_edges(spark, sf), ["chain"], steps=2, major=0.5)
     return found.select("head", F.element_at("nodes", 2).alias("second"), "change_address")
 
 
 @query(
     "r14_reconvergence",
-    f"""WITH {TR}, p AS (SELECT DISTINCT f, t FROM tr WHERE amount >= 100 AND f <> t)
+    f"""WITH {TR}, p AS (SELECT DISTINCT f, t FROM tr WHERE f <> t)
 SELECT a.f AS source, b.t AS target, count(*) AS middles FROM p a JOIN p b ON b.f = a.t AND a.f <> b.t
 GROUP BY 1, 2 HAVING count(*) > 3""",
 )
@@ -215,7 +215,7 @@ c AS (SELECT median(q) AS mq, median(m) AS mm FROM x), d AS (SELECT median(abs(q
 SELECT node, round(greatest(abs(0.6745 * (q - mq) / dq), abs(0.6745 * (m - mm) / dm)), 6) AS anomaly_score FROM x, c, d""",
 )
 def _(spark, sf):
-    found = risk.wallet_anomalies(base_edges(spark, sf, None), ["chain"])
+    found = risk.wallet_anomalies(base_edges(spark, sf), ["chain"])
     return found.select("node", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 

@@ -8,13 +8,10 @@ from ledgerhop.sources import bench_tables as tables
 from ledgerhop.sources import files
 from ledgerhop.staging import stage
 
-MIN_AMOUNT = 100
 
-
-def base_edges(spark: SparkSession, sf: str, min_amount: int | None = MIN_AMOUNT) -> DataFrame:
-    """Edge table of the event transfers at or above the minimum amount."""
-    edges = graph.edge_table(tables.event_transfers(spark, sf))
-    return edges if min_amount is None else edges.filter(f"amount >= {min_amount}")
+def base_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge table of all event transfers."""
+    return graph.edge_table(tables.event_transfers(spark, sf))
 
 
 def labels_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.text import address_key
+from ledgerhop.functions.text import address_key, key_chain, trace_direction
 from ledgerhop.operators import entities, graph, paths, risk, scoring, trace
 from ledgerhop.operators.ordering import first_rows
 from ledgerhop.operators.trace import Neighbours
@@ -27,10 +27,10 @@ class CaseGraph:
 
 
 def _directions(cases: DataFrame, directions: tuple[str, ...] | None) -> tuple[str, ...]:
-    """Directions in use: at most three values leave the cluster."""
+    """Directions in use: there are three at most, whatever their spellings."""
     if directions is not None:
         return directions
-    found = cases.select("direction").distinct().limit(3).collect()
+    found = cases.select(trace_direction(F.col("direction"))).distinct().collect()
     return tuple(sorted(r[0] for r in found))
 
 
@@ -71,8 +71,14 @@ def case_graph(
 
 
 def roots(cases: DataFrame) -> DataFrame:
-    """Case table with the root in key form."""
-    return cases.withColumn("root", address_key(F.col("chain"), F.col("root")))
+    """Case table with chain, root and direction in the form that tables are joined on."""
+    return cases.withColumns(
+        {
+            "root": address_key(F.col("chain"), F.col("root")),
+            "chain": key_chain(F.col("chain")),
+            "direction": trace_direction(F.col("direction")),
+        }
+    )
 
 
 @dataclass(frozen=True)
@@ -93,7 +99,7 @@ def investigate(
     directions: tuple[str, ...] | None = None,
 ) -> Investigation:
     """Trace, graph, entity resolution and service attribution for every case."""
-    once = first_rows(transfers, ["transfer_id"], ["ts", "tx_hash"])
+    once = first_rows(transfers.withColumn("chain", key_chain(F.col("chain"))), ["chain", "transfer_id"], ["ts", "tx_hash"])
     edges = stage(graph.edge_table(once), "edges")
     g = case_graph(
         roots(cases),

@@ -124,8 +124,8 @@ TRANSACTIONS = _struct(
 TABLES = {
     "cases": (CASES, ["case_id"]),
     "entity_labels": (LABELS, ["address", "chain"]),
-    "transactions": (TRANSACTIONS, ["tx_hash"]),
-    "transfers": (TRANSFERS, ["transfer_id"]),
+    "transactions": (TRANSACTIONS, ["chain", "tx_hash"]),
+    "transfers": (TRANSFERS, ["chain", "transfer_id"]),
     "attributions": (ATTRIBUTIONS, ["case_id", "entity_name"]),
     "risk_events": (RISK_EVENTS, ["case_id", "typology_code", "affected_address"]),
     "snapshots": (SNAPSHOTS, ["case_id", "digest"]),

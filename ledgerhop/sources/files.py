@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerhop.functions.text import address_key, filled, registry_chain
+from ledgerhop.functions.text import address_key, filled, key_chain
 from ledgerhop.operators.ordering import first_rows
 from ledgerhop.schema import CASES, LABELS, RAW_RECORD, TRUTH, envelope
 
@@ -73,17 +73,23 @@ def read_label_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def knowledge_base(records: DataFrame) -> DataFrame:
-    """One label per address: the last record wins, records without address drop out."""
-    keyed = records.withColumn("node", F.lower(filled(F.col("address")))).filter(
-        F.col("node").isNotNull()
+    """One label per chain and address: the last record wins, records without address drop out.
+
+    ``chain`` and ``node`` are the keys that edges and nodes have (chain-aware, canonical).
+    """
+    chain = F.coalesce(filled(F.col("chain")), F.lit("ethereum"))
+    keyed = (
+        records.filter(filled(F.col("address")).isNotNull())
+        .withColumn("node", address_key(chain, F.col("address")))
+        .withColumn("chain", key_chain(chain))
     )
     newest = keyed.withColumn("_file", -F.col("file_no")).withColumn("_pos", -F.col("position"))
-    return first_rows(newest, ["node"], ["_file", "_pos"]).drop("_file", "_pos")
+    return first_rows(newest, ["chain", "node"], ["_file", "_pos"]).drop("_file", "_pos")
 
 
 def registry(records: DataFrame) -> DataFrame:
     """All records, keyed by canonical chain and chain-aware address."""
-    chain = registry_chain(F.coalesce("chain", F.lit("ethereum")))
+    chain = key_chain(F.coalesce("chain", F.lit("ethereum")))
     return (
         records.filter(filled(F.col("address")).isNotNull())
         .withColumn("registry_chain", chain)

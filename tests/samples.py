@@ -38,10 +38,10 @@ def case(spark, root, max_hops=3, direction="outgoing", case_id="c1", chain="eth
 
 
 def labels(spark, rows):
-    """Rows are (node, name, type)."""
+    """Rows are (node, name, type) of Ethereum."""
     return spark.createDataFrame(
         rows, "node string, entity_name string, entity_type string"
-    ).withColumns({"confidence": F.lit(0.95), "label_source": F.lit("test")})
+    ).withColumns({"chain": F.lit("ethereum"), "confidence": F.lit(0.95), "label_source": F.lit("test")})
 
 
 def nodes_of(traced):

@@ -118,7 +118,7 @@ def test_label_files(spark, tmp_path):
         paths.append(str(tmp_path / name))
     records = files.read_label_files(spark, paths)
     base = {r["node"]: r["entity_name"] for r in files.knowledge_base(records).collect()}
-    assert base == {"0xaa": "New", "tzz": "T"}
+    assert base == {"0xaa": "New", "TzZ": "T"}  # Base58 keys keep their case
     registry = files.registry(records)
     asked = spark.createDataFrame([("eth", "0xAA"), ("tron", "TzZ"), ("tron", "tzz")], "chain string, address string")
     got = {r["address"]: r["resolution_status"] for r in entities.resolve_registry(asked, registry).collect()}
