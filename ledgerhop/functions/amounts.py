@@ -72,5 +72,20 @@ def to_raw(amount: Column, decimals: Column) -> Column:
     return F.coalesce(F.regexp_replace(signed, "^-0$", "0"), F.lit("0"))
 
 
+def raw_units(raw: Column, amount: Column, decimals: Column) -> Column:
+    """Base-unit text of a raw amount with its parsed ``amount``.
+
+    A whole number keeps its own digits, however many they are; other text is converted, and kept
+    as it is where the amount has no representation.
+    """
+    text = F.trim(raw)
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    return (
+        F.when(text.rlike(r"^[+-]?\d+$"), F.regexp_replace(bare, "^-0$", "0"))
+        .when(raw.isNotNull() & amount.isNull(), text)
+        .otherwise(to_raw(amount, decimals))
+    )
+
+
 def is_dust(amount: Column, threshold: float | str) -> Column:
     return amount < F.lit(str(threshold)).cast(AMOUNT)

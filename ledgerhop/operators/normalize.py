@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.functions.amounts import let, to_amount, to_raw
+from ledgerhop.functions.amounts import let, raw_units, to_amount
 from ledgerhop.functions.digests import row_digest
 from ledgerhop.functions.text import canonical_chain, filled, transaction_status
 from ledgerhop.functions.times import parse_time, parse_tron_time
@@ -55,10 +55,12 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
         symbol = F.coalesce(filled(t["asset"], t["token_symbol"]), coin)
         places = F.coalesce(t["token_decimals"], F.when(bitcoin, 8).otherwise(18))
         token = t["token_contract"].isNotNull() | ~symbol.isin(NATIVE_SYMBOLS)
-        value = to_amount(F.coalesce(t["amount"], F.lit("0.0")), places)
-        return let(value, lambda amount: filled_in(t, i, own, symbol, places, token, amount))
+        raw = F.coalesce(t["amount"], F.lit("0.0"))
+        return let(
+            to_amount(raw, places), lambda amount: filled_in(t, i, own, symbol, places, token, amount, raw)
+        )
 
-    def filled_in(t, i, own, symbol, places, token, amount) -> Column:
+    def filled_in(t, i, own, symbol, places, token, amount, raw) -> Column:
         return _transfer(
             transfer_id=F.concat_ws("_", own, i),
             tx_hash=own,
@@ -70,7 +72,7 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
             asset_symbol=symbol,
             token_contract=t["token_contract"],
             token_decimals=places,
-            raw_amount=to_raw(amount, places),
+            raw_amount=raw_units(raw, amount, places),
             amount=amount,
             transfer_type=F.when(token, "token").otherwise("native"),
             transfer_index=i,
@@ -80,7 +82,8 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
 
     places = F.when(bitcoin, 8).otherwise(18)
     symbol = F.coalesce("asset", coin)
-    amount = to_amount(F.coalesce("amount", F.lit("0.0")), places)
+    raw = F.coalesce("amount", F.lit("0.0"))
+    amount = to_amount(raw, places)
     single = _transfer(
         transfer_id=F.concat(tx, F.lit("_0")),
         tx_hash=tx,
@@ -92,7 +95,7 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
         asset_symbol=symbol,
         token_contract=F.lit(None).cast("string"),
         token_decimals=F.lit(None).cast("int"),
-        raw_amount=to_raw(amount, places),
+        raw_amount=raw_units(raw, amount, places),
         amount=amount,
         transfer_type=F.lit("native"),
         transfer_index=F.lit(0),
@@ -148,24 +151,26 @@ def normalize_utxo(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
                 i["txid"].alias("tx_hash"),
                 i["vout"].alias("output_index"),
                 filled(i["prevout"]["scriptpubkey_address"], i["address"]).alias("address"),
-                F.when(amount.isNotNull(), to_raw(amount, places)).alias("raw_amount"),
+                F.when(value.isNotNull(), raw_units(value, amount, places)).alias("raw_amount"),
                 amount.alias("amount"),
                 i["coinbase"].alias("coinbase"),
             ),
         )
 
     def as_output(o: Column, n: Column) -> Column:
+        value = F.coalesce(_first_filled(o["value"]), F.lit("0"))
         return let(
-            to_amount(F.coalesce(_first_filled(o["value"]), F.lit("0")), places),
+            to_amount(value, places),
             lambda amount: F.struct(
                 F.coalesce(o["n"], n).alias("output_index"),
                 F.coalesce(filled(o["scriptpubkey_address"], o["address"]), F.lit("")).alias("address"),
-                to_raw(amount, places).alias("raw_amount"),
+                raw_units(value, amount, places).alias("raw_amount"),
                 amount.alias("amount"),
             ),
         )
 
-    direct = to_amount(F.coalesce("amount", F.lit("0")), places)
+    direct_text = F.coalesce("amount", F.lit("0"))
+    direct = to_amount(direct_text, places)
     listed_in = F.coalesce(F.transform("vin", as_input), F.array())
     listed_out = F.coalesce(F.transform("vout", as_output), F.array())
     nothing = F.lit(None).cast("string")
@@ -173,14 +178,14 @@ def normalize_utxo(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
         nothing.alias("tx_hash"),
         F.lit(None).cast("int").alias("output_index"),
         F.col("from_address").alias("address"),
-        to_raw(direct, places).alias("raw_amount"),
+        raw_units(direct_text, direct, places).alias("raw_amount"),
         direct.alias("amount"),
         nothing.alias("coinbase"),
     )
     single_out = F.struct(
         F.lit(0).alias("output_index"),
         F.col("to_address").alias("address"),
-        to_raw(direct, places).alias("raw_amount"),
+        raw_units(direct_text, direct, places).alias("raw_amount"),
         direct.alias("amount"),
     )
     inputs = F.when(
@@ -254,10 +259,10 @@ def _token_transfers(
         digits = F.coalesce(
             F.nullif(t["decimals"], F.lit(0)), F.nullif(t["token_decimals"], F.lit(0)), F.lit(places)
         )
-        value = to_amount(F.coalesce(_first_filled(t["amount"], t["value"]), F.lit("0")), digits)
-        return let(value, lambda amount: token(t, index, contract, sym, digits, amount))
+        raw = F.coalesce(_first_filled(t["amount"], t["value"]), F.lit("0"))
+        return let(to_amount(raw, digits), lambda amount: token(t, index, contract, sym, digits, amount, raw))
 
-    def token(t, index, contract, sym, digits, amount) -> Column:
+    def token(t, index, contract, sym, digits, amount, raw) -> Column:
         return _transfer(
             transfer_id=F.concat_ws("_", tx, index),
             tx_hash=tx,
@@ -269,7 +274,7 @@ def _token_transfers(
             asset_symbol=sym,
             token_contract=contract,
             token_decimals=digits,
-            raw_amount=to_raw(amount, digits),
+            raw_amount=raw_units(raw, amount, digits),
             amount=amount,
             transfer_type=F.lit("token"),
             transfer_index=index,
@@ -281,7 +286,7 @@ def _token_transfers(
 
 
 def _native_transfer(
-    tx: Column, ts: Column, chain: Column, ends: tuple[Column, Column], coin: Column, places: int, amount: Column, tag: str
+    tx: Column, ts: Column, chain: Column, ends: tuple[Column, Column], coin: Column, places: int, amount: Column, raw: Column, tag: str
 ) -> Column:
     return _transfer(
         transfer_id=F.concat(tx, F.lit("_0")),
@@ -294,7 +299,7 @@ def _native_transfer(
         asset_symbol=coin,
         token_contract=F.lit(None).cast("string"),
         token_decimals=F.lit(places),
-        raw_amount=to_raw(amount, F.lit(places)),
+        raw_amount=raw_units(raw, amount, F.lit(places)),
         amount=amount,
         transfer_type=F.lit("native"),
         transfer_index=F.lit(0),
@@ -325,7 +330,8 @@ def normalize_account(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
     listed = F.coalesce(
         F.when(F.size("token_transfers") > 0, F.col("token_transfers")), F.col("tokenTransfers"), F.array()
     )
-    value = to_amount(F.coalesce(_first_filled(F.col("value")), F.col("amount"), F.lit("0")), F.lit(18))
+    value_text = F.coalesce(_first_filled(F.col("value")), F.col("amount"), F.lit("0"))
+    value = to_amount(value_text, F.lit(18))
     staged = raw.select(
         "*",
         chain.alias("_chain"),
@@ -336,9 +342,11 @@ def normalize_account(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
         ends[1].alias("_to"),
         listed.alias("_tokens"),
         value.alias("_value"),
+        value_text.alias("_value_text"),
     )
     some = F.size("_tokens") > 0
-    native = (F.col("_value") > 0) | ~some
+    # A number too large for an amount is still a transfer.
+    native = F.coalesce(F.col("_value") > 0, F.trim("_value_text").rlike(r"^\d+$")) | ~some
     sides = (F.col("_from"), F.col("_to"))
     tokens = _token_transfers(
         F.col("_tokens"), F.col("_tx"), F.col("_ts"), F.col("_chain"), sides, "TOKEN", 18,
@@ -346,7 +354,7 @@ def normalize_account(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
         F.when(native, 1).otherwise(0),
     )
     first = _native_transfer(
-        F.col("_tx"), F.col("_ts"), F.col("_chain"), sides, F.col("_coin"), 18, F.col("_value"), "call"
+        F.col("_tx"), F.col("_ts"), F.col("_chain"), sides, F.col("_coin"), 18, F.col("_value"), F.col("_value_text"), "call"
     )
     kind = (
         F.when(some & (F.col("_value") > 0), "mixed")
@@ -387,7 +395,8 @@ def normalize_tron(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
     listed = F.coalesce(
         F.when(F.size("trc20_transfers") > 0, F.col("trc20_transfers")), F.col("token_transfers"), F.array()
     )
-    value = to_amount(F.coalesce(_first_filled(F.col("amount")), F.col("value"), F.lit("0")), F.lit(6))
+    value_text = F.coalesce(_first_filled(F.col("amount")), F.col("value"), F.lit("0"))
+    value = to_amount(value_text, F.lit(6))
     staged = raw.select(
         "*",
         tx.alias("_tx"),
@@ -396,16 +405,18 @@ def normalize_tron(raw: DataFrame, provider: str = "PROVIDER") -> DataFrame:
         F.coalesce(filled(F.col("to_address")), F.col("to"), F.lit("")).alias("_to"),
         listed.alias("_tokens"),
         value.alias("_value"),
+        value_text.alias("_value_text"),
     )
     some = F.size("_tokens") > 0
-    native = (F.col("_value") > 0) | ~some
+    # A number too large for an amount is still a transfer.
+    native = F.coalesce(F.col("_value") > 0, F.trim("_value_text").rlike(r"^\d+$")) | ~some
     sides, chain = (F.col("_from"), F.col("_to")), F.lit("tron")
     tokens = _token_transfers(
         F.col("_tokens"), F.col("_tx"), F.col("_ts"), chain, sides, "USDT", 6, F.lit("trc20"),
         "trc20", F.when(native, 1).otherwise(0),
     )
     first = _native_transfer(
-        F.col("_tx"), F.col("_ts"), chain, sides, F.lit("TRX"), 6, F.col("_value"), "trx"
+        F.col("_tx"), F.col("_ts"), chain, sides, F.lit("TRX"), 6, F.col("_value"), F.col("_value_text"), "trx"
     )
     return staged.select(
         F.col("_tx").alias("tx_hash"),
@@ -568,7 +579,8 @@ def decode_transfer_logs(logs: DataFrame) -> DataFrame:
     """``logs(tx_hash, log_index, contract, decimals, topics array<string>, data string)`` to transfers.
 
     Addresses are the last 40 digits of their padded topics.  The amount is a sum over
-    16-digit limbs in decimal(38,0); values beyond 38 digits give NULL.
+    16-digit limbs in decimal(38,0).  Values beyond 38 digits have no amount: ``raw_amount``
+    then keeps the hexadecimal text, and ``amount_overflow`` is true wherever an amount is missing.
     """
     digits = F.regexp_replace(F.lower("data"), "^0x", "")
     padded = F.lpad(digits, 64, "0")
@@ -588,6 +600,6 @@ def decode_transfer_logs(logs: DataFrame) -> DataFrame:
         F.col("contract").alias("token_contract"),
         F.concat(F.lit("0x"), F.lower(F.right(F.get("topics", F.lit(1)), F.lit(40)))).alias("from_address"),
         F.concat(F.lit("0x"), F.lower(F.right(F.get("topics", F.lit(2)), F.lit(40)))).alias("to_address"),
-        units.cast("string").alias("raw_amount"),
+        F.coalesce(units.cast("string"), F.concat(F.lit("0x"), digits)).alias("raw_amount"),
         F.when(units.isNotNull(), to_amount(units.cast("string"), F.col("decimals"))).alias("amount"),
-    )
+    ).withColumn("amount_overflow", F.col("amount").isNull())

@@ -106,3 +106,62 @@ def test_address_audit(spark):
         assert (row["valid"], row["checksum_valid"], row["format_type"]) == (valid, checked, kind), address
     assert got[ADDRESSES[2][1]]["canonical"] == ADDRESSES[0][1]
     assert rejected(audit_addresses(df)).count() == 5
+
+
+def test_raw_amounts_keep_their_digits(spark):
+    from ledgerhop.functions.amounts import plain_text, raw_units, to_amount
+
+    rows = [("9" * 45, 18), ("1234567890123456789012345", 24), ("+007", 2), ("-0", 3), ("1.5", 3), ("x", 2), (None, 2), ("000", 0)]
+    raw, places = F.col("raw"), F.col("places")
+    df = spark.createDataFrame(rows, "raw string, places int").select(
+        "raw", raw_units(raw, to_amount(raw, places), places).alias("units"), plain_text(to_amount(raw, places)).alias("amount")
+    )
+    got = [r["units"] for r in df.collect()]
+    assert got == ["9" * 45, "1234567890123456789012345", "7", "0", "1500", "x", "0", "0"]
+
+
+def test_label_keys_follow_their_chain(spark):
+    from ledgerhop.functions.text import address_key, key_chain, trace_direction
+    from ledgerhop.operators import entities
+    from ledgerhop.sources import files
+
+    fields = "address string, chain string, entity_name string, entity_type string, confidence double, label_source string, file_no int, position int"
+    records = [
+        ("1NDyJtNTjmwk5xPNhjgAMu4HDHigtobu1s", "btc", "Binance", "VASP_DEPOSIT", 0.9, "t", 0, 0),
+        ("0xRoot", "bsc", "Pool", "VASP_HOT", 0.9, "t", 0, 1),
+        ("TzZ", "trx", "Tron one", "VASP_HOT", 0.9, "t", 0, 2),
+    ]
+    base = files.knowledge_base(spark.createDataFrame(records, fields))
+    assert {(r["chain"], r["node"]) for r in base.collect()} == {
+        ("bitcoin", records[0][0]), ("bnb", "0xroot"), ("tron", "TzZ")
+    }
+    asked = [("BTC", records[0][0]), ("btc", records[0][0].lower()), ("BNB", "0xROOT"), ("tron", "tzz"), ("tron", "TzZ")]
+    found = entities.resolve_labels(spark.createDataFrame(asked, "chain string, address string"), base)
+    names = {(r["chain"], r["address"]): r["entity_name"] for r in found.collect()}
+    assert [names[a] for a in asked] == ["Binance", None, "Pool", None, "Tron one"]
+    words = ["out", "Forward", "IN", "backward", "both", "any", "incoming"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(trace_direction(F.col("w")))
+    assert [r[0] for r in df.collect()] == ["outgoing", "outgoing", "incoming", "incoming", "any", "any", "incoming"]
+    with pytest.raises(Exception, match="unknown direction"):
+        spark.createDataFrame([("up",)], "w string").select(trace_direction(F.col("w"))).collect()
+    keys = spark.createDataFrame([("BSC", "0xA")], "c string, a string").select(key_chain(F.col("c")), address_key(F.col("c"), F.col("a")))
+    assert tuple(keys.first()) == ("bnb", "0xa")
+
+
+def test_same_id_on_two_chains(spark):
+    from samples import labels, transfers
+
+    from ledgerhop.plans.investigate import investigate
+    from ledgerhop.sources import files
+
+    both = transfers(spark, [("t1", "0xroot", "0xb", 5)]).union(transfers(spark, [("t1", "0xRoot", "0xc", 7)], chain="bnb"))
+    cases = spark.createDataFrame(
+        [("c1", "ETH", "0xRoot", "out", 2), ("c2", "bsc", "0xROOT", "forward", 2), ("c3", "ethereum", "0xb", "IN", 2),
+         ("c4", "eth", "0xb", "any", 2), ("c5", "eth", "0xb", "incoming", 2)],
+        "case_id string, chain string, root string, direction string, max_hops int",
+    )
+    known = labels(spark, [("none", "N", "VASP")])
+    records = spark.createDataFrame([], "address string, chain string, entity_id string, entity_name string, name string, entity_type string, vasp_status boolean, confidence double, label_source string, source string, source_reference string, notes string, file_no int, position int")
+    result = investigate(cases, both, known, files.registry(records))
+    edges = {(r["case_id"], r["target"]) for r in result.graph.edges.collect()}
+    assert edges == {("c1", "0xb"), ("c2", "0xc"), ("c3", "0xb"), ("c4", "0xb"), ("c5", "0xb")}
