@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -85,46 +86,97 @@ def vocabulary_digest(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class WordTokens:
-    """Token ids of whole texts through a cache of their words.
+#: Words whose parts may be encoded apart: ASCII and precomposed Latin letters (without the dotted
+#: capital I, whose lower case ends in a mark), no apostrophe, no beginning of a special token.
+PLAIN = re.compile(r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*")
+PARTS = re.compile(rb"[a-z\x80-\xFF]+|[0-9]|[^a-z0-9\x80-\xFF]+")
+
 
-    For a tokenizer that drops white space and never merges across it, the ids of a text are
-    the ids of its words in order, so each word is encoded once and then looked up. The cache
-    is emptied when it is full; words over ``longest`` bytes are not kept.
+class WordTokens:
+    """Token ids of whole texts through caches of their words and of the parts of words.
+
+    For a tokenizer that drops white space and never merges across it, the ids of a text are the
+    ids of its words in order. One that lower-cases and cuts between letters, digits and other
+    signs gives a plain word the ids of these parts in order, so words that differ in capitals or
+    punctuation share them. Only parts (and words that are not plain) seen for the first time are
+    encoded: parts by the tokenizer's own byte-level merges, without the normaliser and pattern that
+    do nothing to them. A cache is emptied when it is full; words over ``longest`` bytes are not kept.
     """
 
-    def __init__(self, vocabulary: str, size: int = 300_000, longest: int = 64):
+    def __init__(self, vocabulary: str, words: int = 700_000, parts: int = 900_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.encoder.no_truncation()
         self.encoder.no_padding()
-        self.size, self.longest = size, longest
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each word."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.encoder.encode_batch(texts, add_special_tokens=False)
+        self.merges = Tokenizer(self.encoder.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.sizes, self.longest = (words, parts), longest
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def encode_whole(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian uint32 ids of each word, as the library gives them."""
+        found = self.encoder.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The same for parts of plain words, all in one call."""
+        texts = [p.decode().lower() for p in parts]
+        found = self.merges.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        of = np.asarray(found.word_ids, np.int64)
+        cuts = (4 * np.searchsorted(of, np.arange(len(parts) + 1))).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def learn(self, missing: list[bytes]) -> None:
+        """Add words to the cache."""
+        whole, plain = [], []
+        for w in missing:
+            ok = b"'" not in w and b"<|" not in w and (w.isascii() or PLAIN.fullmatch(w.decode("utf-8", "replace")))
+            (plain if ok else whole).append(w)
+        self.words.update(zip(whole, self.encode_whole(whole), strict=True))
+        cuts = [PARTS.findall(w.translate(LOWER)) for w in plain]
+        new = {p for parts in cuts for p in parts}.difference(self.parts)
+        if len(self.parts) + len(new) > self.sizes[1]:
+            self.parts = {}
+            new = {p for parts in cuts for p in parts}
+        order = list(new)
+        self.parts.update(zip(order, self.encode_parts(order), strict=True))
+        part = self.parts.__getitem__
+        self.words.update((w, b"".join(map(part, parts))) for w, parts in zip(plain, cuts, strict=True))
+        for p in order:
+            if len(p) > self.longest:
+                del self.parts[p]
+
+    def ids(self, texts: list[bytes | None], together: int = 64) -> Iterator[bytes]:
         """For each text (null: empty) the bytes of its ids."""
-        for text in texts:
-            words = (text or b"").split()
-            missing = set(words).difference(self.known)
+        for at in range(0, len(texts), together):
+            split = [folded(t or b"").split() for t in texts[at : at + together]]
+            words = [w for ws in split for w in ws]
+            ids = list(map(self.words.get, words))
+            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
             if missing:
-                if len(self.known) + len(missing) > self.size:
-                    self.known = {}
+                if len(self.words) + len(missing) > self.sizes[0]:
+                    self.words = {}
                     missing = set(words)
-                order = list(missing)
-                self.known.update(zip(order, self.encode(order), strict=True))
-            yield b"".join(map(self.known.__getitem__, words))
-            if missing:
-                for word in missing:
-                    if len(word) > self.longest:
-                        del self.known[word]
+                self.learn(list(missing))
+                known = self.words
+                ids = [known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                for w in missing:
+                    if len(w) > self.longest:
+                        del known[w]
+            begin = 0
+            for ws in split:
+                yield b"".join(ids[begin : begin + len(ws)])
+                begin += len(ws)
+
+
+def folded(text: bytes) -> bytes:
+    """The text with a-z for A-Z where this can't change its ids: it holds no special token (their
+    case counts), and no combining mark that composes with a capital (U+0300 to U+037F)."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
 
 
 _TOKENS: dict[str, WordTokens] = {}
