@@ -81,7 +81,25 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
         F.when(number == 1, F.col("_key")).otherwise(F.concat_ws("_", "_key", number.cast("string"))),
     )
     kept = alone.unionByName(first).withColumn("edge_key", F.col("_key"))
-    return kept.unionByName(named.drop("_copy", "_again", "_held")).drop("_key")
+    return kept.unionByName(
+        _apart(named.drop("_copy", "_again", "_held"), plain.select(*key), scope, order)
+    ).drop("_key")
+
+
+def _apart(named: DataFrame, plain: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """Made-up keys that some edge has as its own id, or that were made twice, get a digest of
+    their order columns behind them."""
+    made = named.select(*scope, "edge_key")
+    own = plain.withColumnRenamed("_key", "edge_key").join(made.distinct(), [*scope, "edge_key"], "left_semi")
+    numbered = named.filter(F.col("edge_key") != F.col("_key")).select(*scope, "edge_key")
+    twice = made.groupBy(*scope, "edge_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    clash = (
+        own.join(numbered.distinct(), [*scope, "edge_key"], "left_semi").unionByName(twice).distinct()
+    ).withColumn("_clash", F.lit(True))
+    tail = F.hex(F.xxhash64(*order))
+    return named.join(clash, [*scope, "edge_key"], "left").withColumn(
+        "edge_key", F.when(F.col("_clash"), F.concat_ws("~", "edge_key", tail)).otherwise(F.col("edge_key"))
+    ).drop("_clash")
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:

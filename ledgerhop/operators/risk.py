@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerhop.functions.amounts import is_dust
 from ledgerhop.operators.graph import EDGE_ORDER
 from ledgerhop.operators.ordering import exact_median, running_max, top_rows, trailing_counts
+from ledgerhop.staging import stage
 
 SEVERITY = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 LAYERING_HOPS = 3
@@ -262,7 +263,10 @@ def rapid_layering(edges: DataFrame, scope: Sequence[str], hops: int = 3, second
     keys = [*scope, "node"]
     chains = edges.filter(F.col("ts").isNotNull()).withColumn("started", F.col("ts"))
     base = chains.columns
-    for _ in range(hops - 1):
+    for step in range(hops - 1):
+        if step:
+            # Read by both sides, the join and the range bounds: written once.
+            chains = stage(chains, "layering")
         arrivals = chains.select(
             *scope, F.col("target").alias("node"), "ts", "started"
         )

@@ -131,7 +131,9 @@ def trace_nodes(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
             .select(*CASE_COLUMNS, F.col("nxt").alias("node"))
             .distinct()
         )
-        fresh = reached.join(visited.select("case_id", "node"), ["case_id", "node"], "left_anti")
+        # The columns of a case hang on its id; joining on all of them keeps the partitioning of
+        # the distinct rows, so a round has one shuffle.
+        fresh = reached.join(visited.select(*CASE_COLUMNS, "node"), [*CASE_COLUMNS, "node"], "left_anti")
         frontier, open_ends = stage_counted(
             fresh.select(*CASE_COLUMNS, "node", F.lit(hop).alias("hop")),
             f"hop{hop}",
@@ -183,7 +185,7 @@ def trace_with_budget(
             .groupBy(*CASE_COLUMNS, F.col("nxt").alias("node"))
             .agg(*measures)
         )
-        fresh = reached.join(visited.select("case_id", "node"), ["case_id", "node"], "left_anti")
+        fresh = reached.join(visited.select(*CASE_COLUMNS, "node"), [*CASE_COLUMNS, "node"], "left_anti")
         fresh = fresh.withColumn("hop", F.lit(hop))
         if best is not None:
             fresh = fresh.select("*", "_best.path", "_best.steps").drop("_best")

@@ -4,4 +4,4 @@ from ledgerhop.plans.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
 
-from ledgerhop.plans.catalog import entities, graphs, lookups, risks, rows, scores  # noqa: E402, F401
+from ledgerhop.plans.catalog import entities, graphs, lookups, risks, rows, scores, streams  # noqa: E402, F401

@@ -17,13 +17,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transfer per event; two neighbouring events share a transaction hash."""
+def event_transfers(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One transfer per event (of the table, or of a stream of it); two neighbouring events share a
+    transaction hash."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     receiver = F.get_json_object("props", "$.k")
     event_id = F.col("event_id")
     pair = F.floor(event_id / 2).cast("bigint")
-    return load(spark, sf_dir, "events").select(
+    source = load(spark, sf_dir, "events") if events is None else events
+    return source.select(
         F.concat(F.lit("t"), event_id).alias("transfer_id"),
         F.concat(F.lit("x"), pair).alias("tx_hash"),
         F.lit("ethereum").alias("chain"),

@@ -239,3 +239,28 @@ def test_batch_investigation_mixes_directions(spark):
     assert sizes == {"c1": (4, 3), "c2": (3, 2)}
     statuses = {r["address"]: r["resolution_status"] for r in result.resolutions.collect()}
     assert statuses["svc"] == "RESOLVED" and statuses["a"] == "NOT_FOUND"
+
+
+def test_made_up_edge_keys_never_meet_plain_ids(spark):
+    rows = [("x_0", "x", i, n) for n, i in enumerate([0, 0, 0, 0])] + [("x_0_2", "x", 1, 9), ("x_0_3", "y", 1, 10)]
+    edges = spark.createDataFrame(rows, "transfer_id string, tx_hash string, transfer_index int, n int").withColumn("chain", F.lit("e"))
+    keys = [r["edge_key"] for r in graph.unique_edge_keys(edges, ["chain"], ["n"]).collect()]
+    assert len(keys) == len(set(keys)) == 6
+    assert {"x_0", "x_0_2", "x_0_3"} <= set(keys)
+
+
+def test_one_exchange_of_reached_nodes_per_hop(spark):
+    e = edges(spark, [("t1", "a", "b", 5), ("t2", "b", "c", 5)])
+    around = trace.neighbour_table(e)
+    start = trace.start_nodes(case(spark, "a"))
+    reached = around.pairs.join(start).select(*trace.CASE_COLUMNS, F.col("nxt").alias("node")).distinct()
+    keys = [*trace.CASE_COLUMNS, "node"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = reached.join(start.select(*keys), keys, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # One for each side of the neighbour join, one for the distinct rows, one for what was visited.
+    assert plan.count("Exchange hashpartitioning") == 4
