@@ -11,19 +11,25 @@ from ledgerhop.staging import stage, stage_counted
 def classes(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links(a, b)``; root is the least node of its component.
 
-    Each round every node takes the least label of its neighbours, then the label of that label, so
-    chains halve. Rounds are written tables; rows combine before each shuffle, so hubs do no harm.
+    Each round every node takes the least node among its neighbours and itself, and the links are
+    redrawn between what their ends took; links within one go. A star is done in a round, a chain
+    halves at least. Rounds are written tables; rows combine before each shuffle, so hubs do no harm.
     """
-    both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    edges = links.filter("a != b")
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
-        up = labels.select(F.col("node").alias("next"), F.col("root").alias("over"))
-        jumped = lower.join(up, "next").select("node", F.least("next", "over").alias("root"), "next", F.col("root").alias("old"))
-        labels, changed = stage_counted(
-            jumped.select("node", "root", "old"), "labels", F.sum((F.col("root") != F.col("old")).cast("long"))
+        ends = edges.select("a", "b").union(edges.select("b", "a"))
+        took = stage(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "took")
+        if labels is None:
+            labels = took.withColumnRenamed("to", "root")
+        else:
+            labels = labels.join(took, labels.root == took.node, "left").select(
+                labels.node, F.coalesce("to", "root").alias("root")
+            )
+        a, b = took.toDF("a", "to_a"), took.toDF("b", "to_b")
+        edges, left = stage_counted(
+            edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b").distinct(),
+            "links",
         )
-        labels = labels.drop("old")
-        if not changed:
+        if not left:
             return labels

@@ -9,9 +9,10 @@ frequency; all rarer ones share the frequency below it, so the broadcast has a b
 Improved consistent weighted sampling draws (shingle, level) pairs that two texts share with the
 probability of their weighted Jaccard similarity. Draws are grouped in bands. Rows with the same text
 are one node. Within a bucket of a band every node is compared with the least one, by the exact
-weighted Jaccard similarity of the whole texts; nodes that are not similar to it form the bucket anew,
-until none is left, and once few pairs remain all of them are compared. No bucket is cut and none is
-paired with itself. Verified links make classes.
+weighted Jaccard similarity of the whole texts; all nodes of a bucket where somebody was unlike it are
+compared again with the least node of each finer bucket, of two bands together. So the comparisons grow
+with the number of texts, no bucket is cut and none is paired with itself; a link can be missed only where
+both texts are unlike the first one of every bucket they share. Verified links make classes.
 
 Defined cases: null texts and texts without words are classes of their own; rows with the same text
 and id are one class like other copies; a null id belongs to a class but never names it unless
@@ -36,7 +37,9 @@ from ledgerhop.staging import stage, stage_counted
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 8, 3
+#: Distances of the two bands that make a finer bucket.
+FINE_STEPS = (1, 2)
 HEAD_WORDS = 1_000_000
 #: Sizes of the table of random numbers that all draws share, and of a task's word counts.
 TABLE_BITS = 16
@@ -193,10 +196,11 @@ def own_id() -> Column:
 
 
 def signatures(docs: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """(id, node, keys) of every row; keys is empty for a text without words."""
+    """(id, node, weight, keys) of every row: total weight of its shingles and a key for each band;
+    keys is empty for a text without words."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sampler, keys, sizes = WeightedSampler(bands * rows), [], []
+        sampler, keys, sizes, total = WeightedSampler(bands * rows), [], [], []
         texts = [lower_words(t) for t in batch.column(2).to_pylist()]
         for at in range(0, len(texts), 200):
             part = texts[at : at + 200]
@@ -208,18 +212,20 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int) -> DataFrame:
             for words in part:
                 end = begin + len(words)
                 if words:
-                    keys.append(band_keys(sampler.draw(*weighted_shingles(h[begin:end], w[begin:end])), bands, rows))
+                    weighted = weighted_shingles(h[begin:end], w[begin:end])
+                    keys.append(band_keys(sampler.draw(*weighted), bands, rows))
                 sizes.append(bands if words else 0)
+                total.append(float(weighted[1].sum(dtype=np.float64)) if words else 0.0)
                 begin = end
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
         values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-            ["id", "node", "keys"],
-        )
+            [batch.column(0), batch.column(1), pa.array(total, pa.float64()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "node", "weight", "keys"]
+        )
 
     columns = docs.select(own_id().alias("id"), node_of().alias("node"), as_bytes())
-    return map_batches(columns, sign, "id bigint, node bigint, keys array<bigint>")
+    return map_batches(columns, sign, "id bigint, node bigint, weight double, keys array<bigint>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -232,70 +238,90 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total else 0.0
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
-    """(a, b, similar) of ``pairs(a, b)`` by the exact similarity of the texts."""
+def verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose texts are similar enough, by exact comparison."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
         for batch in batches:
-            a, b, own, other = (c.to_pylist() for c in batch.columns)
-            out = []
+            _, b, own, other = (c.to_pylist() for c in batch.columns)
+            similar = []
             for node, text, text_b in zip(b, own, other, strict=True):
                 if node != hub:
                     hub, hub_set = node, shingles(text_b, weights.value)
-                out.append(weighted_jaccard(shingles(text, weights.value), hub_set) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "similar"])
+                similar.append(weighted_jaccard(shingles(text, weights.value), hub_set) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    return both.select("a", "b", "own", "other").mapInArrow(compare, "a bigint, b bigint, similar boolean")
+    return both.select("a", "b", "own", "other").mapInArrow(compare, "a bigint, b bigint")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, weights, similarity: float, n_nodes: int) -> DataFrame:
-    """Links (a, b) between nodes that share a bucket of ``members(band, key, node)``."""
-    spark = members.sparkSession
-    tested = spark.createDataFrame([], "a bigint, b bigint, similar boolean")
+def against_first(members: DataFrame, similarity: float) -> DataFrame:
+    """Every node of a bucket with the least node of it, which is its hub.
+
+    Weighted Jaccard similarity is never over the quotient of the total weights; ``possible`` tells
+    the pairs that may be similar.
+    """
     bucket = ["band", "key"]
-    while True:
-        hubs = members.groupBy(*bucket).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        hubs = stage(hubs, "hubs")
-        sizes = hubs.agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-        if not sizes["buckets"]:
-            return tested.filter("similar").select("a", "b")
-        last = sizes["pairs"] <= 2 * n_nodes
-        if last:
-            # Few pairs are left: all of them, each once.
-            other = members.withColumnRenamed("node", "hub")
-            against = members.join(other, bucket).filter("node > hub")
-        else:
-            against = members.join(hubs.select(*bucket, "hub"), bucket).filter("node != hub")
-        pairs = against.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        tested = stage(tested.unionByName(verify(pairs, texts, weights, similarity)), "tested")
-        if last:
-            return tested.filter("similar").select("a", "b")
-        failed = tested.filter("not similar").select(F.col("a").alias("node"), F.col("b").alias("hub"))
-        members = stage(against.join(failed, ["node", "hub"], "left_semi").select(*bucket, "node"), "members")
+    hubs = members.groupBy(*bucket).agg(
+        F.min("node").alias("hub"), F.min_by("id", "node").alias("hub_id"),
+        F.min_by("weight", "node").alias("hub_weight"), F.count(F.lit(1)).alias("n"),
+    ).filter("n > 1").drop("n")
+    possible = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * (similarity - 1e-6)
+    return members.join(hubs, bucket).filter("node != hub").withColumn("possible", possible)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, weights, similarity: float, bands: int) -> DataFrame:
+    """Links (a, b) between similar nodes of ``nodes(node, id, weight, keys)``.
+
+    First every node is compared with the hub of each of its buckets. Nodes of a bucket in which
+    somebody was not like the hub are then compared with the hubs of finer buckets, those of two
+    bands together: hardly anybody shares such a bucket without being similar.
+    """
+    narrow = ["node", "id", "weight"]
+    coarse = against_first(nodes.select(*narrow, F.posexplode("keys").alias("band", "key")), similarity)
+    against = stage(coarse, "members")
+    texts = stage(candidate_texts(against, docs), "texts")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.filter("possible").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        return stage(verified(wanted, texts, weights, similarity), "found")
+
+    links = links_of(against)
+    mixed = against.join(links.toDF("node", "hub"), ["node", "hub"], "left_anti").select("band", "key").distinct()
+    inside = against.join(mixed, ["band", "key"], "left_semi")
+    open_nodes, left = stage_counted(
+        nodes.join(inside.select("node").union(inside.select("hub")).distinct(), "node", "left_semi"), "open"
+    )
+    for step in FINE_STEPS if left else ():
+        both = F.transform("keys", lambda key, i: F.xxhash64(key, F.get("keys", (i + step) % bands), F.lit(step)))
+        fine = against_first(open_nodes.select(*narrow, F.posexplode(both).alias("band", "key")), similarity)
+        seen = links.toDF("node", "hub")
+        links = links.unionByName(links_of(fine.join(seen, ["node", "hub"], "left_anti")))
+    return links
+
+
+def candidate_texts(against: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of every node in a pair, from the row of its least id."""
+    nodes = against.select("node", F.col("id").alias("own_id")).union(against.select("hub", "hub_id")).distinct()
+    texts = docs.select(node_of().alias("node"), own_id().alias("own_id"), as_bytes())
+    # Repeated rows of the same id and text pass more than once: one of them is enough.
+    return texts.join(nodes, ["node", "own_id"], "left_semi").dropDuplicates(["node"]).drop("own_id")
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                            head_words: int = HEAD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(id, node, root) of every row, and (root, class_id, first_node, class_size) of every class."""
+    """(id, node, root) of every row, and (root, class_id, class_size) of every class."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(word_weights(docs, head_words))
-    signed, n_rows = stage_counted(signatures(docs, weights, bands, rows), "signatures")
-    nodes = signed.filter(F.size("keys") > 0).groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    spread = nodes.select("node", "id", F.posexplode("keys").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = stage(spread.join(shared, ["band", "key"]), "members")
-    wanted = members.select("node", "id").distinct()
-    texts = docs.select(node_of().alias("node"), own_id().alias("id"), as_bytes())
-    # Repeated rows of the same id and text pass more than once: one of them is enough.
-    texts = stage(texts.join(wanted, ["node", "id"], "left_semi").dropDuplicates(["node"]).drop("id"), "texts")
-    links = stage(similar_links(members.select("band", "key", "node"), texts, weights, similarity, n_rows), "links")
-    roots = classes(links)
+    signed = stage(signatures(docs, weights, bands, rows), "signatures")
+    nodes = signed.filter(F.size("keys") > 0).groupBy("node").agg(
+        F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("keys").alias("keys")
+    )
+    roots = classes(similar_links(stage(nodes, "nodes"), docs, weights, similarity, bands))
     placed = stage(
         signed.select("id", "node", (F.size("keys") == 0).alias("alone")).join(roots, "node", "left").select(
-            # A text without words is a class of its own, by id; the sign keeps these apart.
             "id", "node", "alone", F.when(~F.col("alone"), F.coalesce("root", "node")).alias("root"),
         ),
         "placed",
