@@ -227,3 +227,26 @@ def _(spark, sf):
         F.coalesce("hop_sum", F.lit(0)).alias("hop_sum"),
     )
 
+
+
+# Two wallets that never send and one that does; the transactions name s1 and s4 as senders.
+@query(
+    "e23_root_fallback",
+    f"""WITH {TR}, tx AS (SELECT DISTINCT tx_hash, 's' || (event_id // 2 % 7) AS sender FROM tr),
+fe AS (SELECT f, t FROM tr UNION ALL SELECT sender, t FROM tx JOIN tr USING (tx_hash) WHERE sender IN ('s1', 's4'))
+SELECT f AS case_id, count(DISTINCT CASE WHEN t <> f THEN t END) + 1 AS nodes, count(*) AS edges
+FROM fe WHERE f IN ('s1', 's4', 'a3') GROUP BY f""",
+)
+def _(spark, sf):
+    number = F.substring("tx_hash", 2, 20).cast("bigint")
+    transactions = tables.event_transactions(spark, sf).select(
+        "tx_hash", "chain", F.concat(F.lit("s"), number % 7).alias("sender"), F.lit("nobody").alias("recipient")
+    )
+    cases = spark.createDataFrame([("s1",), ("s4",), ("a3",)], "root string").select(
+        F.col("root").alias("case_id"), F.lit("eth").alias("chain"), "root",
+        F.lit("forward").alias("direction"), F.lit(1).alias("max_hops"),
+    )
+    result = investigate(
+        cases, tables.event_transfers(spark, sf), labels_table(spark, sf), registry_table(spark, sf), transactions=transactions
+    )
+    return result.summary.select("case_id", "nodes", "edges")

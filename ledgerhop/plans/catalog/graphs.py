@@ -324,6 +324,19 @@ def _(spark, sf):
     )
 
 
+# A limit of 40 edges for each case: the first by hop, then edge order.
+@query(
+    "e14_edge_limit",
+    f"""WITH RECURSIVE {GRAPH}, x AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY hop, ts, tx_hash, transfer_id) AS n FROM ce)
+SELECT case_id, transfer_id, hop FROM x WHERE n <= 40""",
+)
+def _(spark, sf):
+    g = case_graph(
+        tables.nation_cases(spark, sf), base_edges(spark, sf), labels_table(spark, sf), directions=("outgoing",), max_edges=40
+    )
+    return g.edges.select("case_id", "transfer_id", "hop")
+
+
 @query(
     "e16_subgraph",
     f"""WITH RECURSIVE {GRAPH} SELECT case_id, 'node' AS kind, node AS id FROM nd

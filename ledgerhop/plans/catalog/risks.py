@@ -186,15 +186,19 @@ def _(spark, sf):
     return found.select("node", F.unix_micros("ts").alias("ts_us"), "small")
 
 
+# Over all transfers no wallet has just two, so chains are looked for within each day and asset.
 @query(
     "r13_peel_chains",
-    f"""WITH {TR}, e AS (SELECT * FROM tr),
-s AS (SELECT f AS node, arg_max(t, (amount, t)) AS nxt FROM e GROUP BY f HAVING count(*) = 2 AND CAST(max(amount) AS DOUBLE) >= 0.5 * CAST(sum(amount) AS DOUBLE))
-SELECT a.node AS head, b.node AS second, b.nxt AS change_address FROM s a JOIN s b ON b.node = a.nxt WHERE b.node <> a.node""",
+    f"""WITH {TR}, e AS (SELECT *, CAST(ts AS DATE) AS day FROM tr),
+s AS (SELECT day, asset_id, f AS node, arg_max(t, (amount, t)) AS nxt FROM e GROUP BY day, asset_id, f
+  HAVING count(*) = 2 AND CAST(max(amount) AS DOUBLE) >= 0.5 * CAST(sum(amount) AS DOUBLE))
+SELECT a.day, a.asset_id, a.node AS head, b.node AS second, b.nxt AS change_address
+FROM s a JOIN s b ON b.node = a.nxt AND b.day = a.day AND b.asset_id = a.asset_id WHERE b.node <> a.node""",
 )
 def _(spark, sf):
-    found = risk.peel_chains(base_edges(spark, sf), ["chain"], steps=2, major=0.5)
-    return found.select("head", F.element_at("nodes", 2).alias("second"), "change_address")
+    edges = base_edges(spark, sf).withColumn("day", F.to_date("ts"))
+    found = risk.peel_chains(edges, ["chain", "day", "asset_id"], steps=2, major=0.5)
+    return found.select("day", "asset_id", "head", F.element_at("nodes", 2).alias("second"), "change_address")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, key_chain, trace_direction
 from ledgerhop.operators import entities, graph, paths, risk, scoring, trace
-from ledgerhop.operators.ordering import first_rows
+from ledgerhop.operators.ordering import first_rows, top_rows
 from ledgerhop.operators.trace import Neighbours
 from ledgerhop.staging import stage
 
@@ -43,11 +43,13 @@ def case_graph(
     directions: tuple[str, ...] | None = None,
     constant_hops: bool = False,
     with_paths: bool = False,
+    max_edges: int | None = None,
 ) -> CaseGraph:
     """Trace all cases, then build their edge and node tables.
 
     ``edges`` is the shared edge table; it is read for the neighbour pairs and once more
     for the edges of the expanded nodes.  ``with_paths`` keeps the path of every node.
+    ``max_edges`` keeps the first edges of each case by hop, then edge order.
     """
     ways = _directions(cases, directions)
     around = trace.neighbour_table(edges, ways, detail=True)
@@ -63,9 +65,11 @@ def case_graph(
         spent = traced.groupBy("case_id").agg(F.count_distinct("first.tx_hash").alias("n"))
         hit = spent.filter(F.col("n") >= max_transactions).select("case_id")
     bounded = stage(trace.with_boundaries(traced, around, hit), "traced")
-    case_edges = stage(
-        graph.annotate_edges(found, bounded, cases, constant_hops), "case-edges"
-    )
+    annotated = graph.annotate_edges(found, bounded, cases, constant_hops)
+    if max_edges is not None:
+        order = ["hop", *graph.EDGE_ORDER]
+        annotated = top_rows(annotated, ["case_id"], order, max_edges, "_nth").drop("_nth")
+    case_edges = stage(annotated, "case-edges")
     nodes = graph.node_table(cases, case_edges, labels, bounded)
     return CaseGraph(cases, bounded, case_edges, stage(nodes, "nodes"), around, labels)
 
@@ -87,6 +91,7 @@ class Investigation:
     summary: DataFrame
     resolutions: DataFrame
     attributions: DataFrame
+    annotated_nodes: DataFrame
 
 
 def investigate(
@@ -97,24 +102,42 @@ def investigate(
     max_transactions: int | None = None,
     max_nodes: int | None = None,
     directions: tuple[str, ...] | None = None,
+    max_edges: int | None = None,
+    transactions: DataFrame | None = None,
 ) -> Investigation:
-    """Trace, graph, entity resolution and service attribution for every case."""
+    """Trace, graph, entity resolution and service attribution for every case.
+
+    ``transactions(tx_hash, chain, sender, recipient)`` gives roots without an edge of their own
+    the transfers of the transactions that name them.
+    """
     once = first_rows(transfers.withColumn("chain", key_chain(F.col("chain"))), ["chain", "transfer_id"], ["ts", "tx_hash"])
     edges = stage(graph.edge_table(once), "edges")
+    wanted = roots(cases)
+    if transactions is not None:
+        keyed = transactions.withColumns(
+            {
+                "sender": address_key(F.col("chain"), F.col("sender")),
+                "recipient": address_key(F.col("chain"), F.col("recipient")),
+                "chain": key_chain(F.col("chain")),
+            }
+        )
+        edges = stage(edges.unionByName(trace.fallback_edges(wanted, edges, keyed)), "edges-fallback")
     g = case_graph(
-        roots(cases),
+        wanted,
         edges,
         labels,
         max_transactions,
         max_nodes,
         directions=directions,
         with_paths=True,
+        max_edges=max_edges,
     )
     summary = trace.trace_summary(g.cases, g.traced, g.edges, max_transactions, max_nodes)
     resolutions = entities.resolve_registry(g.nodes.select("case_id", "chain", "address"), registry)
     trees = paths.with_transfer_ids(g.traced)
     attributions = entities.attribute_services(g.nodes, registry, trees, g.cases)
-    return Investigation(g, summary, resolutions, attributions)
+    annotated = entities.annotate_nodes(g.nodes, registry)
+    return Investigation(g, summary, resolutions, attributions, annotated)
 
 
 @dataclass(frozen=True)
