@@ -10,9 +10,11 @@ Improved consistent weighted sampling draws (shingle, level) pairs that two text
 probability of their weighted Jaccard similarity. Draws are grouped in bands. Rows with the same text
 are one node. Within a bucket of a band every node is compared with the least one, by the exact
 weighted Jaccard similarity of the whole texts; all nodes of a bucket where somebody was unlike it are
-compared again with the least node of each finer bucket, of two bands together. So the comparisons grow
-with the number of texts, no bucket is cut and none is paired with itself; a link can be missed only where
-both texts are unlike the first one of every bucket they share. Verified links make classes.
+compared again with the least node of each finer bucket, of two bands together. These links make classes,
+and in the buckets that still hold several of them every pair of nodes of two classes is decided by the same
+exact similarity, block against block through an inverted index. So each pair that shares a bucket is
+either verified or in one class already; what can be missed are pairs that share none (of a pair at
+0.8, 1 - (1 - 0.8^3)^8 = 99.7 % share one).
 
 Defined cases: null texts and texts without words are classes of their own; rows with the same text
 and id are one class like other copies; a null id belongs to a class but never names it unless
@@ -40,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 #: Distances of the two bands that make a finer bucket.
 FINE_STEPS = (1, 2)
+#: Nodes of a block that is compared as a whole, and the weight of their shingles that starts another one.
+BLOCK_NODES, BLOCK_WEIGHT = 256, 1e7
 HEAD_WORDS = 1_000_000
 #: Sizes of the table of random numbers that all draws share, and of a task's word counts.
 TABLE_BITS = 16
@@ -272,12 +276,13 @@ def against_first(members: DataFrame, similarity: float) -> DataFrame:
     return members.join(hubs, bucket).filter("node != hub").withColumn("possible", possible)
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, weights, similarity: float, bands: int) -> DataFrame:
-    """Links (a, b) between similar nodes of ``nodes(node, id, weight, keys)``.
+def linked_classes(nodes: DataFrame, docs: DataFrame, weights, similarity: float, bands: int) -> DataFrame:
+    """(node, root) of every linked node of ``nodes(node, id, weight, keys)``.
 
     First every node is compared with the hub of each of its buckets. Nodes of a bucket in which
     somebody was not like the hub are then compared with the hubs of finer buckets, those of two
-    bands together: hardly anybody shares such a bucket without being similar.
+    bands together: hardly anybody shares such a bucket without being similar. The pairs of a bucket
+    that are in different classes after that are all compared.
     """
     narrow = ["node", "id", "weight"]
     coarse = against_first(nodes.select(*narrow, F.posexplode("keys").alias("band", "key")), similarity)
@@ -299,7 +304,136 @@ def similar_links(nodes: DataFrame, docs: DataFrame, weights, similarity: float,
         fine = against_first(open_nodes.select(*narrow, F.posexplode(both).alias("band", "key")), similarity)
         seen = links.toDF("node", "hub")
         links = links.unionByName(links_of(fine.join(seen, ["node", "hub"], "left_anti")))
-    return links
+    roots = classes(links)
+    if not left:
+        return roots
+    roots = stage(roots, "roots")
+    places = blocks(open_nodes.select(*narrow, F.posexplode("keys").alias("band", "key")).join(roots, "node", "left"))
+    more, left = stage_counted(between_classes(places, texts, weights, similarity).distinct(), "between")
+    if not left:
+        return roots
+    merged = classes(more).toDF("root", "least")
+    known = roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    single = merged.join(roots, merged.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("least").alias("root"))
+    return known.unionByName(single)
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(band, key, i, j, side, node, root) of ``members(band, key, node, weight, root)``: every node once for
+    each two blocks of its bucket that are compared, with its own block's side.
+
+    The nodes of the bucket's largest class (side 1) are not compared with each other, all others (side 0)
+    also among themselves. A bucket of two has been decided with its hub, and one of a single class needs
+    nothing.
+    """
+    bucket = ["band", "key"]
+    members = stage(members.withColumn("root", F.coalesce("root", "node")), "open-members")
+    sizes = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    n_blocks = lambda n, weight: F.ceil(F.greatest(n / BLOCK_NODES, weight / BLOCK_WEIGHT))
+    found = sizes.groupBy(*bucket).agg(
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("roots"),
+        F.max(F.struct("n", "weight", "root")).alias("top"),
+    ).filter("n > 2 and roots > 1").select(
+        *bucket, F.col("top.root").alias("top"), n_blocks(F.col("top.n"), F.col("top.weight")).alias("large"),
+        n_blocks(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("others"),
+    )
+    side = (F.col("root") == F.col("top")).cast("int")
+    placed = members.join(found, bucket).withColumn("side", side).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("side") == 1, F.col("large")).otherwise(F.col("others")))
+    )
+    # Blocks of the others are numbered from 0, those of the large class on from there.
+    behind = F.sequence(F.col("own"), F.col("others") + F.col("large") - 1).cast("array<bigint>")
+    before = F.sequence(F.lit(0).cast("bigint"), F.col("own"))
+    others = placed.filter("side = 0")
+    first = others.select(*bucket, F.col("own").alias("i"), F.explode(behind).alias("j"), F.lit(0).alias("side"), "node", "root")
+    second = others.filter("own > 0").select(
+        *bucket, F.explode(before).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "root"
+    ).filter("i < j")
+    large = placed.filter("side = 1").select(
+        *bucket, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)).alias("i"),
+        (F.col("others") + F.col("own")).alias("j"), F.lit(1).alias("side"), "node", "root",
+    )
+    return first.unionByName(second).unionByName(large)
+
+
+class Block:
+    """Shingle sets with an inverted index: exact weighted Jaccard similarity with all of them at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets = sets
+        owners = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
+        keys, values = (np.concatenate(c) for c in zip(*sets, strict=True))
+        order = np.argsort(keys, kind="stable")
+        self.owners, self.values = owners[order], values[order]
+        self.keys, self.start = np.unique(keys[order], return_index=True)
+        self.end = np.append(self.start[1:], len(keys))
+        self.totals = np.asarray([w.sum(dtype=np.float64) for _, w in sets])
+
+    def similar(self, one: tuple[np.ndarray, np.ndarray], similarity: float, near: float = 1e-6) -> list[int]:
+        """Numbers of the sets that are similar to ``one``."""
+        keys, values = one
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        at, values = at[hit], values[hit]
+        n = self.end[at] - self.start[at]
+        places = np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        least = np.minimum(np.repeat(values, n), self.values[places])
+        shared = np.bincount(self.owners[places], least, len(self.sets))
+        union = self.totals + one[1].sum(dtype=np.float64) - shared
+        likely = np.flatnonzero(shared >= (similarity - near) * union).tolist()
+        # The sums above are in another order: close to the limit the plain comparison decides.
+        return [i for i in likely if shared[i] > (similarity + near) * union[i] or weighted_jaccard(one, self.sets[i]) >= similarity]
+
+
+def between_classes(places: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """(a, b): roots of classes that a similar pair of nodes of ``places`` links."""
+    unit = ["band", "key", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, waiting, to = None, None, [], {}
+
+        def top(root: int) -> int:
+            while root in to:
+                root = to[root]
+            return root
+
+        def link(root: int, one: tuple[np.ndarray, np.ndarray], block: Block, roots: list[int]) -> Iterator[tuple[int, int]]:
+            for k in block.similar(one, similarity):
+                a, b = sorted((top(root), top(roots[k])))
+                if a != b:
+                    to[b] = a
+                    yield a, b
+
+        def among() -> Iterator[tuple[int, int]]:
+            """Links within the first block, which is compared with itself."""
+            roots = [r for r, _ in waiting]
+            whole = Block([s for _, s in waiting])
+            for root, one in waiting:
+                yield from link(root, one, whole, roots)
+
+        for batch in batches:
+            *key, side, root, text = (c.to_pylist() for c in batch.columns)
+            found: list[tuple[int, int]] = []
+            for own, second, r, t in zip(zip(*key, strict=True), side, root, text, strict=True):
+                if own != now:
+                    if now is not None and now[2] == now[3]:
+                        found.extend(among())
+                    now, block, waiting, to = own, None, [], {}
+                one = shingles(t, weights.value)
+                if not second:
+                    waiting.append((r, one))
+                elif waiting:
+                    if block is None:
+                        block, roots = Block([s for _, s in waiting]), [r for r, _ in waiting]
+                    found.extend(link(r, one, block, roots))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+        if now is not None and now[2] == now[3] and (found := list(among())):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    rows = places.join(texts, "node").select(*unit, "side", "root", "text")
+    sorted_rows = rows.repartition(*unit).sortWithinPartitions(*unit, "side")
+    return sorted_rows.mapInArrow(compare, "a bigint, b bigint")
 
 
 def candidate_texts(against: DataFrame, docs: DataFrame) -> DataFrame:
@@ -319,7 +453,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, band
     nodes = signed.filter(F.size("keys") > 0).groupBy("node").agg(
         F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("keys").alias("keys")
     )
-    roots = classes(similar_links(stage(nodes, "nodes"), docs, weights, similarity, bands))
+    roots = linked_classes(stage(nodes, "nodes"), docs, weights, similarity, bands)
     placed = stage(
         signed.select("id", "node", (F.size("keys") == 0).alias("alone")).join(roots, "node", "left").select(
             "id", "node", "alone", F.when(~F.col("alone"), F.coalesce("root", "node")).alias("root"),

@@ -80,6 +80,58 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(kept) == len(classes)
 
 
+def star_rows(n=1000):
+    """A base and copies of it: each is similar to the base, hardly any to another copy."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        words = list(base)
+        for at in rng.sample(range(0, 400, 5), 7):
+            words[at] = rng.choice(base)  # as frequent as the others: all shingles weigh the same
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_star_of_copies_is_one_class(spark):
+    rows = star_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    weights = near_duplicates.word_weights(df)
+    sets = [near_duplicates.shingles(t.encode(), weights) for _, t in rows]
+    # Brute force: all pairs that share a bucket.
+    sampler = near_duplicates.WeightedSampler(near_duplicates.BANDS * near_duplicates.ROWS)
+    keys = np.stack([near_duplicates.band_keys(sampler.draw(*s), near_duplicates.BANDS, near_duplicates.ROWS) for s in sets])
+    whole = near_duplicates.Block(sets)
+    pairs = [(a, b) for a, s in enumerate(sets) for b in whole.similar(s, 0.8) if a < b and (keys[a] == keys[b]).any()]
+    assert all(near_duplicates.weighted_jaccard(sets[a], sets[b]) >= 0.8 for a, b in pairs[::10])
+    near_base = sum(a == 0 for a, _ in pairs)
+    assert near_base > 900 and len(pairs) < 0.05 * len(rows) ** 2
+    root = components(range(len(rows)), pairs)
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df).collect()}
+    assert got == root
+    assert len(near_duplicates.keep_first(df).collect()) == len(set(root.values()))
+
+
+def test_blocks_equal_single_comparisons():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
+    sets = []
+    for _ in range(80):
+        keys = np.sort(rng.choice(pool, rng.integers(40, 58), replace=False))
+        sets.append((keys, rng.integers(1, 3, len(keys)).astype(np.float32)))
+    for limit in (0.5, 0.6, 2 / 3, 0.8):
+        for one in sets[:20]:
+            want = [i for i, s in enumerate(sets) if near_duplicates.weighted_jaccard(one, s) >= limit]
+            assert near_duplicates.Block(sets).similar(one, limit) == want
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    df = spark.createDataFrame(star_rows(60), "doc_id bigint, text string").repartition(3)
+    want = sorted(map(str, near_duplicates.near_duplicates(df).collect()))
+    monkeypatch.setattr(near_duplicates, "BLOCK_NODES", 7)
+    assert sorted(map(str, near_duplicates.near_duplicates(df).collect())) == want
+
+
 def test_weighted_draws_follow_similarity():
     rng = np.random.default_rng(6)
     sampler = near_duplicates.WeightedSampler(600)
