@@ -189,7 +189,7 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def keep_known(docs: DataFrame, margin: float = 0.0, fit_rows: int = FIT_ROWS) -> DataFrame:
+def keep_known(docs: DataFrame, margin: float = MARGIN, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose language is decided: not ``und``, and with at least ``margin``
     between the two best languages. Columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, learnable(), fit_rows))

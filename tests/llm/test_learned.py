@@ -1,6 +1,7 @@
 """Language codes, decision lists, weak labels and language-model scores."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,8 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerhop.llm import decision_list, language, lm_scoring, weak_labels
 from ledgerhop.llm.common import LOWER
+from .conftest import prose
 
 
 def fold(i, modulus):
@@ -52,6 +55,20 @@ def test_languages(docs, corpus, empty, clashing):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in corpus if r[1] and re.search(r"[^\W\d_]", r[1])}
 
 
+def test_ambiguous_texts_are_rejected(spark):
+    rng = random.Random(5)
+    rows = [(3 * i, prose(rng, lang, 120), lang) for i, lang in enumerate(["en", "de", "fr"] * 15)]
+    clean = [(1000 + 3 * i, prose(rng, lang, 120), lang) for i, lang in enumerate(["en", "de", "fr"] * 5)]
+    # Not learned from, for want of a label: two languages in many shares, so some are between both.
+    mixed = [(2002 + 3 * i, prose(rng, "en", 60 + 3 * i) + " " + prose(rng, "de", 180 - 3 * i), None) for i in range(40)]
+    docs = spark.createDataFrame(rows + clean + mixed, "doc_id bigint, text string, lang string").repartition(2)
+    torn = {r.doc_id for r in language.identify(docs).collect() if r.ambiguous}
+    assert torn and torn <= {i for i, *_ in mixed}
+    kept = {r.doc_id for r in language.keep_known(docs).collect()}
+    assert kept == {i for i, *_ in rows + clean + mixed} - torn
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()} == kept
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(docs).collect()] == [("und", 0.0)]
