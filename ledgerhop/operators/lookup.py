@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerhop.functions.text import address_key, filled, key_chain
 from ledgerhop.operators.ordering import first_rows, running_sum, top_rows
 from ledgerhop.operators.skew import salt_hot_keys
+from ledgerhop.operators.trace import forward_closure
+from ledgerhop.staging import stage, stage_path
 
 NATIVE_WORDS = ["eth", "ether", "native"]
 
@@ -99,15 +104,20 @@ def block_by(blocks: DataFrame, number: int | None = None, block_hash: str | Non
     return blocks.filter(F.col("block_hash") == block_hash)
 
 
+def page_order() -> list[Column]:
+    """Newest block first, then transaction, then transfer index."""
+    return [F.desc("block_number"), F.desc("tx_index"), F.asc("transfer_index")]
+
+
 def page(
     df: DataFrame, limit: int, offset: int = 0, order: Sequence[Column | str] | None = None
 ) -> DataFrame:
-    """One page: newest block first, then transaction, then transfer index.
+    """One page near the beginning: newest block first, then transaction, then transfer index.
 
     ``has_more`` comes from fetching one row beyond the page.  Only ``offset + limit + 1``
-    rows leave the tasks (a top-k plan, not a full sort).
+    rows leave the tasks (a top-k plan, not a full sort); deep pages are for :func:`ordered_table`.
     """
-    keys = list(order or [F.desc("block_number"), F.desc("tx_index"), F.asc("transfer_index")])
+    keys = list(order or page_order())
     head = df.orderBy(*keys).limit(offset + limit + 1)
     ranked = top_rows(head.withColumn("_page", F.lit(0)), ["_page"], keys, offset + limit + 1, "position")
     return (
@@ -117,6 +127,48 @@ def page(
     )
 
 
+@dataclass(frozen=True)
+class OrderedTable:
+    """A table written in the order of its pages: range parts, the rows of each, and how many stand before.
+
+    Any page, however deep, reads the parts it lies in, one or two of them.
+    """
+
+    rows: DataFrame
+    order: list[Column | str]
+    #: (part, rows before it, rows) in order; one entry per range part.
+    parts: list[tuple[int, int, int]]
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows offset + 1 to offset + limit with ``position`` and ``has_more``."""
+        total = self.parts[-1][1] + self.parts[-1][2] if self.parts else 0
+        wanted = [(part, before) for part, before, n in self.parts if before < offset + limit and before + n > offset]
+        held = self.rows.filter(F.col("_part").isin([part for part, _ in wanted]))
+        shift = F.lit(0).cast("bigint")
+        for part, before in wanted:
+            shift = F.when(F.col("_part") == part, F.lit(before)).otherwise(shift)
+        nth = F.row_number().over(Window.partitionBy("_part").orderBy(*self.order))
+        return (
+            held.withColumn("position", (nth + shift).cast("bigint"))
+            .filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
+            .withColumn("has_more", F.lit(total > offset + limit))
+            .drop("_part")
+        )
+
+
+def ordered_table(df: DataFrame, order: Sequence[Column | str] | None = None) -> OrderedTable:
+    """Writes ``df`` once in ranges of its page order; ``order`` should be unique, so that pages repeat."""
+    spark = df.sparkSession
+    keys = list(order or page_order())
+    path = stage_path(spark, "ordered")
+    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    ranged.write.partitionBy("_part").parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
+    before = [0, *accumulate(n for _, n in counts)]
+    return OrderedTable(rows, keys, [(part, b, n) for (part, n), b in zip(counts, before)])
+
+
 def wallet_history(transactions: DataFrame, transfers: DataFrame, address: str, limit: int) -> DataFrame:
     """First transactions of a wallet on either side, oldest first."""
     found = with_matching_transfer(transactions, transfers, touches(address))
@@ -158,41 +210,106 @@ def list_cases(cases: DataFrame, text: str | None = None) -> DataFrame:
     return found.orderBy(F.desc("created_at"), "case_id")
 
 
-def _substrings(text: Column) -> Column:
-    """All substrings of a short text such as a case id."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), size)
-    cut = F.transform(
-        starts,
-        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: text.substr(i, n)),
+def _grams(text: Column, size: int, shorter: bool) -> Column:
+    """Distinct substrings of length ``size``; with ``shorter`` those of every length up to it."""
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        cut = F.transform(starts, lambda i: F.substring(text, i, n))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    cuts = [of_length(n) for n in (range(1, size + 1) if shorter else [size])]
+    return F.array_distinct(F.concat(*cuts))
+
+
+def containing_names(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+    """Pairs (inner, outer) of the non-empty names where the outer one contains the inner one.
+
+    An n-gram index of the outer names is joined once.  An inner name asks it for its rarest gram only
+    (a name shorter than a gram: for itself), and not at all when one of its grams is in no outer
+    name, so the rows grow with the lengths of the names and with true answers to rare grams.
+    """
+    held = outer.select("outer", F.explode(_grams(F.col("outer"), size, True)).alias("gram"))
+    load = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_names"))
+    own = F.when(F.length("inner") < size, F.array("inner")).otherwise(_grams(F.col("inner"), size, False))
+    asked = inner.filter("inner <> ''").withColumn("_own", own)
+    rarest = (
+        asked.select("inner", F.size("_own").alias("_all"), F.explode("_own").alias("gram"))
+        .join(load, "gram")
+        .groupBy("inner", "_all")
+        .agg(F.min_by("gram", F.struct("_names", "gram")).alias("gram"), F.count(F.lit(1)).alias("_found"))
+        .filter(F.col("_found") == F.col("_all"))
+    )
+    return (
+        rarest.select("inner", "gram")
+        .join(held, "gram")
+        .filter(F.col("outer").contains(F.col("inner")))
+        .select("inner", "outer")
+    )
+
+
+def case_aliases(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(case_id, alias, answered_by) of the wanted cases that an alias answers: the exact one, else the
+    first in order that contains the case id or lies in it, whatever the case of letters."""
+    names = aliases.select("alias").filter("alias is not null").distinct()
+    cases = wanted.select("case_id").filter("case_id is not null").distinct()
+    exact = cases.join(names, F.col("case_id") == F.col("alias"))
+    rest = cases.join(exact.select("case_id"), "case_id", "left_anti").filter("case_id <> ''")
+    rest = rest.withColumn("_c", F.lower("case_id"))
+    names = names.filter("alias <> ''").withColumn("_a", F.lower("alias"))
+    low_cases, low_names = rest.select("_c").distinct(), names.select("_a").distinct()
+    inside = containing_names(low_names.toDF("inner"), low_cases.toDF("outer")).toDF("_a", "_c")
+    around = containing_names(low_cases.toDF("inner"), low_names.toDF("outer")).toDF("_c", "_a")
+    partial = (
+        inside.unionByName(around).join(names, "_a").groupBy("_c").agg(F.min("alias").alias("alias"))
+        .join(rest, "_c")
+    )
+    return exact.select("case_id", "alias", F.lit("ALIAS").alias("answered_by")).unionByName(
+        partial.select("case_id", "alias", F.lit("NAME").alias("answered_by"))
     )
-    return F.explode(F.array_distinct(F.flatten(cut)))
 
 
 def case_by_alias(case_transfers: DataFrame, wanted: DataFrame) -> DataFrame:
     """Transfers per wanted case: exact alias, else the first alias containing it or contained.
 
-    ``case_transfers`` carries ``alias``; ``wanted(case_id)``.  "Contains" is an equi join
-    on the substrings of these short names, so no case meets every alias.
+    ``case_transfers`` carries ``alias``; ``wanted(case_id)``.
     """
-    aliases = case_transfers.select("alias").distinct()
-    exact = wanted.join(aliases, F.col("case_id") == F.col("alias"))
-    rest = wanted.join(exact.select("case_id"), "case_id", "left_anti").filter("case_id <> ''")
-    cases = rest.withColumn("_c", F.lower("case_id"))
-    names = aliases.filter("alias <> ''").withColumn("_a", F.lower("alias"))
-    inside = cases.select("case_id", _substrings(F.col("_c")).alias("_a")).join(names, "_a")
-    around = names.select("alias", _substrings(F.col("_a")).alias("_c")).join(cases, "_c")
-    partial = (
-        inside.select("case_id", "alias")
-        .unionByName(around.select("case_id", "alias"))
-        .groupBy("case_id")
-        .agg(F.min("alias").alias("alias"))
-    )
-    chosen = exact.select("case_id", "alias").unionByName(partial)
+    chosen = case_aliases(wanted, case_transfers).drop("answered_by")
     rows = case_transfers.drop("case_id") if "case_id" in case_transfers.columns else case_transfers
     return chosen.join(rows, "alias")
 
 
+def case_edges_of(cases: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """Edges of each case by the first of five answers that has any, named in ``answered_by``.
+
+    ``cases(case_id, chain, suspect)``, both optional; ``edges`` carry ``alias`` (NULL: none).  ALIAS and
+    NAME as in :func:`case_aliases`; CLOSURE: edges of the case's chain that touch a node within
+    ``rounds`` forward steps of its suspect; CHAIN: all edges of its chain; ALL: all edges, for a case
+    without a chain.  Each level sees only the cases that the ones before left.
+    """
+    named = stage(case_aliases(cases, edges), "case-names")
+    own = salt_hot_keys(edges.filter("alias is not null"), ["alias"], ["transfer_id"]).join(named)
+    known = cases.filter("case_id is not null").select(
+        "case_id", key_chain(filled(F.col("chain"))).alias("chain"),
+        address_key(F.col("chain"), filled(F.col("suspect"))).alias("root"),
+    ).dropDuplicates(["case_id"])
+    rest = known.join(named.select("case_id"), "case_id", "left_anti")
+    followed = stage(
+        forward_closure(edges, rest.filter("chain is not null and root is not null"), rounds), "case-closures"
+    )
+    rest = rest.join(followed.select("case_id").distinct(), "case_id", "left_anti")
+    scopes = stage(rest.select("case_id", F.coalesce("chain", F.lit("*")).alias("_scope")), "case-scopes")
+    # A scope holds a chain's edges, or all: few cases meet them, and nothing is copied that no case asks for.
+    wide = edges.withColumn("_scope", F.explode(F.array("chain", F.lit("*"))))
+    whole = (
+        salt_hot_keys(wide.join(scopes.select("_scope").distinct(), "_scope", "left_semi"), ["_scope"], ["transfer_id"])
+        .join(scopes)
+        .withColumn("answered_by", F.when(F.col("_scope") == "*", "ALL").otherwise("CHAIN"))
+    )
+    columns = ["case_id", "answered_by", *[c for c in edges.columns if c != "case_id"]]
+    parts = [own, followed.withColumn("answered_by", F.lit("CLOSURE")), whole]
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))
+
+
 def first_transfer_of(transactions: DataFrame, transfers: DataFrame) -> DataFrame:
     """Evidence view: each transaction with its first transfer."""
     first = first_rows(transfers, ["chain", "tx_hash"], ["transfer_index", "transfer_id"])

@@ -10,11 +10,12 @@ partition, so the table of shifts is small whatever the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerhop.staging import stage
+from ledgerhop.staging import stage, stage_counted
 
 # Groups above this many rows are never put into one task.
 HOT_ROWS = 1_000_000
@@ -144,6 +145,21 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
+def first_of_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As :func:`first_rows` for a written table where few keys repeat.
+
+    Keys are counted alone; only rows whose key repeats are then grouped whole, all others stay where
+    they are.  NULL is a key like any other.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated, n = stage_counted(counts.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
+    if not n:
+        return df
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    alone = df.join(repeated, same, "left_anti")
+    return alone.unionByName(first_rows(df.join(repeated, same, "left_semi"), keys, order))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Median per group, the mean of both middle values for even counts.
 

@@ -1,7 +1,10 @@
-"""Paths from case roots; path arrays grow by one element per round."""
+"""Paths from case roots: breadth-first ones with arrays that grow by a node per round, cheapest ones by
+relaxation with parents."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,55 +77,84 @@ def value_pairs(edges: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
+#: Deltas of the relaxation are merged into one table after so many rounds.
+MERGE_ROUNDS = 8
+
+
 def highest_value_paths(
     cases: DataFrame, edges: DataFrame, scope: list[str] | None = None, bottleneck: bool = False
 ) -> DataFrame:
     """Cheapest path from each root to every node by the sum of ``1 / amount``.
 
-    ``bottleneck`` ranks by the largest smallest amount instead.  Rounds repeat until no
-    node improves; costs are positive, so that happens.  Only improved nodes are joined
-    again.
+    ``bottleneck`` ranks by the largest smallest amount instead.  A round joins only the nodes that
+    improved in the one before and writes only those that improve now, as (case, node, cost, parent); of
+    equal offers the least parent counts, and a known cost stays.  Costs never fall along a path and a
+    node changes only for a lower one, so rounds end and parents never form a circle.  The paths are built
+    once, at the end.
     """
     scope = scope or ["chain"]
     pairs = salt_hot_keys(stage(value_pairs(edges, scope), "value-pairs"), [*scope, "node"], ["nxt"])
     # One comparable number, smaller is better, in both modes.
     initial = F.lit(float("-inf")) if bottleneck else F.lit(0.0)
     step = (
-        F.greatest(F.col("cost_so_far"), -F.col("value"))
-        if bottleneck
-        else F.col("cost_so_far") + F.col("cost")
+        F.greatest(F.col("cost"), -F.col("value")) if bottleneck else F.col("cost") + F.col("step")
     )
     carried = list(dict.fromkeys(["case_id", *scope]))
-    state = stage(
-        cases.select(*carried, F.col("root").alias("node")).select(
-            *carried, "node", initial.alias("cost_so_far"), F.array("node").alias("path"), F.lit(True).alias("fresh")
-        ),
-        "value0",
-    )
+    key = [*carried, "node"]
+    start = cases.select(*carried, F.col("root").alias("node"), initial.alias("cost"), F.lit(None).cast("string").alias("parent"))
+    fresh = stage(start, "value0")
+    deltas, number = [fresh], 0
     while True:
-        ahead = pairs.join(state.filter("fresh").drop("fresh")).filter(
-            ~F.array_contains("path", F.col("nxt"))
+        number += 1
+        ahead = pairs.join(fresh.drop("parent").withColumnRenamed("cost", "_so_far")).withColumnRenamed("cost", "step")
+        offers = ahead.withColumnRenamed("_so_far", "cost").filter(F.col("nxt") != F.col("node")).select(
+            *carried, F.col("nxt").alias("node"), F.struct(step.alias("cost"), F.col("node").alias("parent")).alias("offer"),
+            F.lit(None).cast("double").alias("held"),
+        )
+        known = reduce(DataFrame.unionByName, deltas).select(
+            *key, F.lit(None).cast(offers.schema["offer"].dataType).alias("offer"), F.col("cost").alias("held")
         )
-        offers = ahead.select(
-            *carried,
-            F.col("nxt").alias("node"),
-            step.alias("cost_so_far"),
-            F.concat("path", F.array("nxt")).alias("path"),
-            F.lit(True).alias("fresh"),
+        best = known.unionByName(offers).groupBy(*key).agg(F.min("offer").alias("offer"), F.min("held").alias("held"))
+        fresh, improved = stage_counted(
+            best.filter("offer is not null and (held is null or offer.cost < held)").select(*key, "offer.*"), f"value{number}"
         )
-        known = state.withColumn("fresh", F.lit(False))
-        # On equal cost the known path stays (false sorts before true).
-        state, improved = stage_counted(
-            known.unionByName(offers)
-            .groupBy(*carried, "node")
-            .agg(F.min(F.struct("cost_so_far", "fresh", "path")).alias("b"))
-            .select(*carried, "node", "b.cost_so_far", "b.path", "b.fresh"),
-            "value",
-            F.count_if("fresh"),
-        )
-        if improved == 0:
+        if not improved:
             break
-    cost = F.col("cost_so_far")
-    return state.drop("fresh").withColumnRenamed("cost_so_far", "cost") if not bottleneck else (
-        state.withColumn("value", -cost).drop("fresh", "cost_so_far")
-    )
+        deltas.append(fresh)
+        if len(deltas) > MERGE_ROUNDS:
+            deltas = [stage(_last_offers(deltas, key), "value-merged")]
+    found = rebuilt_paths(_last_offers(deltas, key), key, "node", "parent")
+    return found.drop("parent") if not bottleneck else found.withColumn("value", -F.col("cost")).drop("cost", "parent")
+
+
+def _last_offers(deltas: list[DataFrame], key: list[str]) -> DataFrame:
+    """The cheapest row of each node: its last one."""
+    best = reduce(DataFrame.unionByName, deltas).groupBy(*key).agg(F.min(F.struct("cost", "parent")).alias("_b"))
+    return best.select(*key, "_b.*")
+
+
+def rebuilt_paths(tree: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
+    """Add ``path``, the nodes from the root (NULL parent) down to each node.
+
+    Pointer tripling: in a round every unfinished path puts the two that end above it in front, so the
+    longest path takes a logarithm of its length in rounds.  Finished ones are not written again.
+    """
+    scope = [c for c in key if c != node]
+    rows = tree.withColumns({"path": F.array(node), "_up": F.col(parent)})
+    written, left = stage_counted(rows, "paths0", F.count_if(F.col("_up").isNotNull()))
+    done, number = [written.filter("_up is null")], 0
+    open_ = written.filter("_up is not null")
+    while left:
+        number += 1
+        above = reduce(DataFrame.unionByName, [*done, open_]).select(
+            *scope, F.col(node).alias("_up"), F.col("path").alias("_path"), F.col("_up").alias("_next")
+        )
+        once = open_.join(above, [*scope, "_up"]).withColumn("path", F.concat("_path", "path"))
+        once = once.withColumn("_up", F.col("_next")).drop("_path", "_next")
+        twice = once.join(above, [*scope, "_up"], "left").withColumn("path", F.concat(F.coalesce("_path", F.array().cast("array<string>")), "path"))
+        written, left = stage_counted(
+            twice.withColumn("_up", F.col("_next")).select(*rows.columns), f"paths{number}", F.count_if(F.col("_up").isNotNull())
+        )
+        done.append(written.filter("_up is null"))
+        open_ = written.filter("_up is not null")
+    return reduce(DataFrame.unionByName, done).drop("_up")

@@ -7,14 +7,15 @@ only lists with a fixed length are arrays.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerhop.functions.amounts import is_dust
 from ledgerhop.operators.graph import EDGE_ORDER
-from ledgerhop.operators.ordering import exact_median, running_max, top_rows, trailing_counts
-from ledgerhop.staging import stage
+from ledgerhop.operators.ordering import exact_median, row_numbers_upto, running_max, top_rows, trailing_counts
+from ledgerhop.staging import stage, stage_counted
 
 SEVERITY = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 LAYERING_HOPS = 3
@@ -326,40 +327,198 @@ def peel_chains(edges: DataFrame, scope: Sequence[str], steps: int = 3, major: f
     return chain.select(*scope, "head", "nodes", F.col("nxt").alias("change_address"))
 
 
-def reconvergence(edges: DataFrame, scope: Sequence[str], more_than: int = 5) -> DataFrame:
+def next_splits(splits: DataFrame, scope: Sequence[str], period: str | None = None) -> DataFrame:
+    """Links ``(id, nxt)`` from each split to the next one along its large branch: that of the receiver,
+    the first in the same or a later ``period``.  ``nxt`` is NULL where the chain ends.
+
+    ``splits(scope…, node, nxt, period)`` as of :func:`split_shapes`; an id is the struct of its columns.
+    """
+    at = [period] if period else []
+    key = F.struct(*scope, *at, "node")
+    rows = splits.select(*scope, *at, "node", "nxt", key.alias("id"))
+    if not period:
+        ahead = rows.select(*scope, F.col("node").alias("nxt"), F.col("id").alias("_next"))
+        return rows.join(ahead, [*scope, "nxt"], "left").select("id", F.col("_next").alias("nxt"))
+    # One row per receiver and period asks, however many senders a receiver has.
+    asks = rows.select(*scope, F.col("nxt").alias("node"), period).distinct()
+    marks = rows.select(*scope, "node", period, F.col("id").alias("_split")).unionByName(
+        asks.withColumn("_split", F.lit(None).cast(rows.schema["id"].dataType))
+    )
+    later = Window.partitionBy(*scope, "node").orderBy(period).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = marks.withColumn("_next", F.min("_split").over(later)).filter("_split is null")
+    onward = found.select(*scope, F.col("node").alias("nxt"), period, "_next")
+    return rows.join(onward, [*scope, "nxt", period], "left").select("id", F.col("_next").alias("nxt"))
+
+
+def _doubled(links: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Where each id's chain ends: (id, at, steps, least) and the rows that still run after ``rounds``.
+
+    Pointer doubling: a round joins every running row with the row of the id it has reached, so chains
+    of length n take log n rounds.  Only running rows are joined and written; ``least`` is the
+    smallest id passed on the way.
+    """
+    start = links.select(
+        "id", F.coalesce("nxt", "id").alias("at"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("bigint").alias("steps"),
+        F.col("id").alias("least"), F.col("nxt").isNull().alias("done"),
+    )
+    written, running = stage_counted(start, "chains0", F.count_if(~F.col("done")))
+    done, number = [written.filter("done")], 0
+    active = written.filter("not done")
+    while running and (rounds is None or number < rounds):
+        number += 1
+        ahead = reduce(DataFrame.unionByName, [*done, active]).select(
+            F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"),
+            F.col("least").alias("_least"), F.col("done").alias("_done"),
+        )
+        written, running = stage_counted(
+            active.join(ahead, "at").select(
+                "id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"),
+                F.least("least", "_least").alias("least"), F.col("_done").alias("done"),
+            ),
+            f"chains{number}", F.count_if(~F.col("done")),
+        )
+        done.append(written.filter("done"))
+        active = written.filter("not done")
+    ends = reduce(DataFrame.unionByName, done).drop("done")
+    return ends, active.drop("done") if running else None
+
+
+def maximal_chains(links: DataFrame) -> DataFrame:
+    """(head, last, steps, looped) of every maximal chain of ``links(id, nxt)``, ``steps`` its ids.
+
+    A chain starts at an id that none leads to and ends where there is no next one, or where it would
+    meet itself again.  A loop that nothing leads into starts at its least id.
+    """
+    links, total = stage_counted(links, "links")
+    ends, running = _doubled(links, max(1, total).bit_length())
+    straight = ends.select("id", F.col("at").alias("last"), (F.col("steps") + 1).alias("steps"), F.lit(False).alias("looped"))
+    heads = links.select("id").join(links.select(F.col("nxt").alias("id")), "id", "left_anti")
+    if running is None:
+        return straight.join(heads, "id").withColumnRenamed("id", "head")
+    # After as many steps as there are ids every running row stands on a loop, and on each of its ids
+    # stands the row of some id of the loop.
+    on_loop = stage(
+        running.select(F.col("at").alias("id")).distinct().join(running.select("id", F.col("least").alias("loop")), "id"), "loops"
+    )
+    size = on_loop.groupBy("loop").agg(F.count(F.lit(1)).alias("_size"))
+    before = links.join(on_loop.select("id"), "id").select(F.col("nxt").alias("at"), F.col("id").alias("last"))
+    cut = links.join(on_loop.select("id", "loop"), "id", "left").join(running.select("id"), "id", "left_semi").select(
+        "id", F.when(F.col("loop").isNull(), F.col("nxt")).alias("nxt")
+    )
+    entries, _ = _doubled(cut)
+    looped = (
+        entries.join(on_loop.select(F.col("id").alias("at"), "loop"), "at").join(size, "loop").join(before, "at")
+        .select("id", "last", (F.col("steps") + F.col("_size")).alias("steps"), F.lit(True).alias("looped"))
+    )
+    entered = links.join(on_loop.select("id"), "id", "left_anti").select(F.col("nxt").alias("id")).join(on_loop, "id").select("loop")
+    alone = on_loop.filter("id = loop").join(entered, "loop", "left_anti").select("id")
+    found = straight.unionByName(looped).join(heads.unionByName(alone), "id")
+    return found.withColumnRenamed("id", "head")
+
+
+def maximal_peel_chains(
+    edges: DataFrame, scope: Sequence[str], period: str | None = None, at_least: int = 3, major: float = 0.9
+) -> DataFrame:
+    """Peel chains of any length from ``at_least`` splits on, each sender passing the ``major`` part on.
+
+    With ``period``, a column of the edges such as the day, a sender splits once per period and the chain
+    goes on with the receiver's next split.  Returns (head, last, steps, looped, change_address); head
+    and last are structs of scope, period and node.
+    """
+    keys = [*scope, *([period] if period else [])]
+    splits = stage(split_shapes(edges, keys, major).select(*keys, "node", "nxt"), "splits")
+    chains = maximal_chains(next_splits(splits, scope, period)).filter(F.col("steps") >= at_least)
+    change = splits.select(F.struct(*keys, "node").alias("last"), F.col("nxt").alias("change_address"))
+    return chains.join(change, "last").select("head", "last", "steps", "looped", "change_address")
+
+
+#: Middle nodes with so many two-step rows are packed into words.
+HUB_LOAD = 256
+#: Two-step rows of a word per task, before its senders are dealt over several.
+WORD_ROWS = 2_000_000
+
+
+def _hub_words(pairs: DataFrame, load: DataFrame, scope: Sequence[str], hub_load: int) -> DataFrame:
+    """(scope, mid, word, bit) of the busy middle nodes whose word pays.
+
+    Hubs with like senders come next to each other (by the least hash of their senders), 63 to a word.
+    A word pays where its senders times its receivers are fewer than the two-step rows of its hubs.
+    """
+    hubs, n = stage_counted(load.filter(F.col("_load") >= hub_load), "hubs")
+    if not n:
+        return hubs.select(*scope, "mid", F.lit(0).cast("bigint").alias("word"), F.lit(0).alias("bit"), F.lit(1).alias("_split")).limit(0)
+    numbered = row_numbers_upto(hubs, list(scope), ["_like", "mid"], "_n", n)
+    words = stage(
+        numbered.select(*scope, "mid", "_load", F.floor((F.col("_n") - 1) / 63).alias("word"), ((F.col("_n") - 1) % 63).cast("int").alias("bit")),
+        "hub-words",
+    )
+    rows = words.groupBy(*scope, "word").agg(F.sum("_load").alias("_rows"))
+    for near, far, out in (("source", "target", "_senders"), ("target", "source", "_receivers")):
+        ends = pairs.select(*scope, F.col(near).alias("_end"), F.col(far).alias("mid")).join(words, [*scope, "mid"])
+        rows = rows.join(ends.select(*scope, "word", "_end").distinct().groupBy(*scope, "word").agg(F.count(F.lit(1)).alias(out)), [*scope, "word"])
+    pays = rows.filter(F.col("_senders") * F.col("_receivers") < F.col("_rows"))
+    split = F.ceil(F.col("_senders") * F.col("_receivers") / WORD_ROWS).cast("int")
+    return stage(words.drop("_load").join(pays.select(*scope, "word", split.alias("_split")), [*scope, "word"]), "words-that-pay")
+
+
+def reconvergence(edges: DataFrame, scope: Sequence[str], more_than: int = 5, hub_load: int = HUB_LOAD) -> DataFrame:
     """Pairs (source, target) joined by more than ``more_than`` different middle nodes.
 
-    A qualifying pair still shares a middle node when the source's ``more_than`` busiest
-    middles are left out, so candidates come from the other middles only; busy hubs never
-    multiply.  Candidates are then counted over all middles.
+    Heavy and light middles part.  Hubs are packed 63 to a word: a sender's hubs, and a receiver's, are
+    one number per word, so a pair costs one row per word whatever number of hubs it shares, and
+    no word is used that would cost more than its two-step rows.  Of the other middles each
+    sender's ``more_than`` busiest make no candidates: a pair that shares no packed hub still meets in
+    another one.  What candidates share of those few is looked up, so counts are exact.
     """
-    pairs = (
-        edges.filter(F.col("source") != F.col("target"))
-        .select(*scope, "source", "target")
-        .distinct()
+    scope = list(scope)
+    wide = edges.filter(F.col("source") != F.col("target")).select(*scope, "source", "target").distinct()
+    pairs = stage(wide, "two-step-pairs")
+    fan_in = pairs.groupBy(*scope, F.col("target").alias("mid")).agg(
+        F.count(F.lit(1)).alias("_in"), F.min(F.xxhash64("source")).alias("_like")
+    )
+    fan_out = pairs.groupBy(*scope, F.col("source").alias("mid")).agg(F.count(F.lit(1)).alias("_out"))
+    load = stage(
+        fan_in.join(fan_out, [*scope, "mid"]).select(*scope, "mid", "_like", (F.col("_in") * F.col("_out")).alias("_load")), "middles"
     )
+    words = _hub_words(pairs, load, scope, hub_load)
     first = pairs.select(*scope, "source", F.col("target").alias("mid"))
     second = pairs.select(*scope, F.col("source").alias("mid"), "target")
-    fan_in = first.groupBy(*scope, "mid").agg(F.count(F.lit(1)).alias("_in"))
-    fan_out = second.groupBy(*scope, "mid").agg(F.count(F.lit(1)).alias("_out"))
-    load = fan_in.join(fan_out, [*scope, "mid"]).select(
-        *scope, "mid", (F.col("_in") * F.col("_out")).alias("_load")
-    )
-    useful = first.join(load, [*scope, "mid"])
-    busiest = top_rows(
-        useful, [*scope, "source"], [F.desc("_load"), F.asc("mid")], more_than, "_n"
-    ).select(*scope, "source", "mid")
-    light = useful.join(busiest, [*scope, "source", "mid"], "left_anti").drop("_load")
     elsewhere = F.col("source") != F.col("target")
-    candidates = light.join(second, [*scope, "mid"]).filter(elsewhere).select(
-        *scope, "source", "target"
-    ).distinct()
-    counted = (
-        candidates.join(first, [*scope, "source"])
-        .join(second, [*scope, "mid", "target"])
-        .groupBy(*scope, "source", "target")
-        .agg(F.count(F.lit(1)).alias("middles"))
-    )
+
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")))
+    by_word = [*scope, "word"]
+    sent = first.join(words, [*scope, "mid"]).groupBy(*by_word, "_split", "source").agg(mask.alias("_a"))
+    got = second.join(words, [*scope, "mid"]).groupBy(*by_word, "_split", "target").agg(mask.alias("_b"))
+    # A large word meets in several tasks: its senders are dealt out, its receivers copied to each.
+    sent = sent.withColumn("_part", F.pmod(F.xxhash64("source"), F.col("_split"))).drop("_split")
+    got = got.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_split") - 1))).drop("_split")
+    packed = (
+        sent.join(got, [*by_word, "_part"]).filter(elsewhere & (F.col("_a").bitwiseAND(F.col("_b")) != 0))
+        .select(*scope, "source", "target", F.bit_count(F.col("_a").bitwiseAND(F.col("_b"))).cast("bigint").alias("n"))
+    )
+
+    light = load.join(words, [*scope, "mid"], "left_anti")
+    useful, n = stage_counted(first.join(light.select(*scope, "mid", "_load"), [*scope, "mid"]), "light-steps")
+    met = packed
+    if n:
+        ranked = top_rows(useful, [*scope, "source"], [F.desc("_load"), F.asc("mid")], more_than, "_n").select(*scope, "source", "mid")
+        busiest = stage(ranked, "busiest-middles")
+        rest = useful.join(busiest, [*scope, "source", "mid"], "left_anti").drop("_load")
+        met = packed.unionByName(
+            rest.join(second, [*scope, "mid"]).filter(elsewhere).select(*scope, "source", "target", F.lit(1).cast("bigint").alias("n"))
+        )
+    counted = met.groupBy(*scope, "source", "target").agg(F.sum("n").alias("middles"))
+    if n:
+        spare = busiest.groupBy(*scope, "source").agg(F.count(F.lit(1)).alias("_spare"))
+        few = counted.join(spare, [*scope, "source"], "left")
+        counted = stage(few.filter(F.col("middles") + F.coalesce("_spare", F.lit(0)) > more_than).drop("_spare"), "candidates")
+        more = (
+            counted.select(*scope, "source", "target").join(busiest, [*scope, "source"])
+            .join(second, [*scope, "mid", "target"]).groupBy(*scope, "source", "target").agg(F.count(F.lit(1)).alias("_more"))
+        )
+        counted = counted.join(more, [*scope, "source", "target"], "left").withColumn(
+            "middles", F.col("middles") + F.coalesce("_more", F.lit(0))
+        ).drop("_more")
     return counted.filter(F.col("middles") > more_than)
 
 

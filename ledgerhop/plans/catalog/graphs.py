@@ -418,23 +418,25 @@ def _(spark, sf):
     return found.select("case_id", "node", F.array_join("path", ">").alias("path"))
 
 
-_RELAX = "\n".join(
-    f"""o{i} AS (SELECT case_id, nxt AS node, cost + 1.0 / a AS cost, list_append(path, nxt) AS path FROM v{i - 1} JOIN vp USING (node)
-  WHERE NOT list_contains(path, nxt) UNION ALL SELECT case_id, node, cost, path FROM v{i - 1}),
-v{i} AS (SELECT case_id, node, min(cost) AS cost, arg_min(path, cost) AS path FROM o{i} GROUP BY case_id, node),"""
-    for i in range(1, 11)
-)
+# Runs until no cost falls; a round sees the costs of the one before, the least parent wins ties.
+_RELAX = f"""{TR}, e AS (SELECT * FROM tr),
+vp AS (SELECT f AS node, t AS nxt, 1.0 / max(CAST(amount AS DOUBLE)) AS c FROM e GROUP BY f, t),
+v(case_id, node, cost, parent) USING KEY (case_id, node) AS (
+  SELECT 'case' || n_nationkey, 'a' || n_nationkey, CAST(0 AS DOUBLE), CAST(NULL AS VARCHAR) FROM nation
+  UNION
+  SELECT case_id, nxt, min(cost), arg_min(parent, (cost, parent)) FROM (
+    SELECT v.case_id, vp.nxt, v.cost + vp.c AS cost, v.node AS parent
+    FROM v JOIN vp ON vp.node = v.node LEFT JOIN recurring.v AS o ON o.case_id = v.case_id AND o.node = vp.nxt
+    WHERE vp.nxt <> v.node AND (o.cost IS NULL OR v.cost + vp.c < o.cost)) x GROUP BY 1, 2),
+p(case_id, node, cost, path) AS (
+  SELECT case_id, node, cost, [node] FROM v WHERE parent IS NULL
+  UNION ALL SELECT v.case_id, v.node, v.cost, list_append(p.path, v.node)
+  FROM p JOIN v ON v.case_id = p.case_id AND v.parent = p.node)"""
 
 
 @query(
     "e18_highest_value_paths",
-    f"""WITH {TR}, e AS (SELECT * FROM tr),
-vp AS (SELECT f AS node, t AS nxt, max(CAST(amount AS DOUBLE)) AS a FROM e GROUP BY f, t),
-v0 AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS node, CAST(0 AS DOUBLE) AS cost,
-  ['a' || n_nationkey] AS path FROM nation),
-{_RELAX}
-z AS (SELECT * FROM v10)
-SELECT case_id, node, round(cost, 9) AS cost, array_to_string(path, '>') AS path FROM z""",
+    f"WITH RECURSIVE {_RELAX} SELECT case_id, node, round(cost, 9) AS cost, array_to_string(path, '>') AS path FROM p",
 )
 def _(spark, sf):
     found = paths.highest_value_paths(tables.nation_cases(spark, sf), base_edges(spark, sf))

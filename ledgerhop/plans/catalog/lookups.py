@@ -138,6 +138,25 @@ def _(spark, sf):
     )
 
 
+@query(
+    "d7_deep_pages",
+    f"""WITH {TR}, x AS (SELECT transfer_id, block_number,
+  row_number() OVER (ORDER BY block_number DESC, event_id // 2 DESC, transfer_index) AS position, count(*) OVER () AS n FROM tr)
+SELECT transfer_id, block_number, position, n > n * 9 // 10 + 100 AS has_more FROM x
+WHERE position > n * 9 // 10 AND position <= n * 9 // 10 + 100
+UNION ALL SELECT transfer_id, block_number, position, false FROM x WHERE position > n - 7""",
+)
+def _(spark, sf):
+    """A page nine tenths into the transfers, and the last seven rows, of a table written in page order."""
+    tr = tables.event_transfers(spark, sf).withColumn(
+        "tx_index", F.substring("tx_hash", 2, 20).cast("bigint")
+    )
+    ordered = lookup.ordered_table(tr.select("transfer_id", "block_number", "tx_index", "transfer_index"))
+    total = sum(n for _, _, n in ordered.parts)
+    deep = ordered.page(100, total * 9 // 10).unionByName(ordered.page(100, total - 7))
+    return deep.select("transfer_id", "block_number", "position", "has_more")
+
+
 @query(
     "d8_wallet_history",
     f"""WITH {TR}, tx AS (SELECT tx_hash, min(ts) AS ts FROM tr GROUP BY tx_hash)
@@ -200,6 +219,63 @@ def _(spark, sf):
     )
 
 
+_CASES_SQL = f"""WITH RECURSIVE {TR},
+e AS (SELECT *, CASE WHEN asset_symbol IN ('VIEW', 'CLICK') THEN 'polygon' ELSE 'ethereum' END AS chain,
+  CASE WHEN event_id % 4 = 0 THEN 'file_' || lower(asset_symbol) END AS alias FROM tr),
+al AS (SELECT DISTINCT alias FROM e WHERE alias IS NOT NULL),
+cases AS (
+  SELECT DISTINCT 'file_' || lower(asset_symbol) AS case_id, 'ethereum' AS chain, 'a1' AS suspect FROM tr
+  UNION ALL SELECT CASE n_nationkey % 5 WHEN 0 THEN 'FILE_VIEW_' || n_name WHEN 1 THEN 'LICK' ELSE 'case' || n_nationkey END,
+    CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 2 = 0 THEN 'ETH' ELSE 'matic' END,
+    CASE n_nationkey % 5 WHEN 2 THEN 'A' || n_nationkey WHEN 3 THEN 'nobody' END
+  FROM nation WHERE n_nationkey % 5 <> 1 OR n_nationkey = 1),
+exact AS (SELECT case_id, alias FROM cases JOIN al ON alias = case_id),
+part AS (SELECT case_id, min(alias) AS alias FROM cases, al WHERE case_id NOT IN (SELECT case_id FROM exact)
+  AND (contains(lower(case_id), lower(alias)) OR contains(lower(alias), lower(case_id))) GROUP BY case_id),
+named AS (SELECT *, 'ALIAS' AS answered_by FROM exact UNION ALL SELECT *, 'NAME' FROM part),
+rest AS (SELECT case_id, CASE chain WHEN 'ETH' THEN 'ethereum' WHEN 'matic' THEN 'polygon' END AS chain, lower(suspect) AS root
+  FROM cases WHERE case_id NOT IN (SELECT case_id FROM named)),
+r(case_id, chain, node, h) AS (SELECT case_id, chain, root, 0 FROM rest WHERE chain IS NOT NULL AND root IS NOT NULL
+  UNION SELECT r.case_id, r.chain, e.t, h + 1 FROM r JOIN e ON e.f = r.node AND e.chain = r.chain WHERE h < 5),
+v AS (SELECT DISTINCT case_id, chain, node FROM r),
+closed AS (SELECT DISTINCT v.case_id, e.event_id FROM v JOIN e ON e.chain = v.chain AND (e.f = v.node OR e.t = v.node)),
+answers AS (SELECT n.case_id, n.answered_by, e.event_id FROM named n JOIN e ON e.alias = n.alias
+  UNION ALL SELECT case_id, 'CLOSURE', event_id FROM closed
+  UNION ALL SELECT rest.case_id, CASE WHEN rest.chain IS NULL THEN 'ALL' ELSE 'CHAIN' END, e.event_id
+    FROM rest JOIN e ON rest.chain IS NULL OR rest.chain = e.chain WHERE rest.case_id NOT IN (SELECT case_id FROM closed))
+SELECT case_id, answered_by, count(*) AS transfers, CAST(sum(event_id) AS BIGINT) AS ids FROM answers GROUP BY case_id, answered_by"""
+
+
+@query("d10_case_transfers", _CASES_SQL)
+def _(spark, sf):
+    """Whole case lookup: some cases are answered by each of the five steps, on two chains."""
+    tr = tables.event_transfers(spark, sf)
+    on_polygon = F.col("asset_symbol").isin("VIEW", "CLICK")
+    tr = tr.withColumn("chain", F.when(on_polygon, "polygon").otherwise("ethereum"))
+    number = F.substring("transfer_id", 2, 20).cast("bigint")
+    edges = graph.edge_table(tr).withColumn(
+        "alias", F.when(number % 4 == 0, F.concat(F.lit("file_"), F.lower("asset_symbol")))
+    )
+    key = F.col("n_nationkey")
+    turn = F.pmod(key, F.lit(5))
+    nations = tables.load(spark, sf, "nation").filter((turn != 1) | (key == 1)).select(
+        F.when(turn == 0, F.concat(F.lit("FILE_VIEW_"), "n_name"))
+        .when(turn == 1, "LICK")
+        .otherwise(F.concat(F.lit("case"), key))
+        .alias("case_id"),
+        F.when(turn == 4, None).when(key % 2 == 0, "ETH").otherwise("matic").alias("chain"),
+        F.when(turn == 2, F.concat(F.lit("A"), key)).when(turn == 3, "nobody").alias("suspect"),
+    )
+    files_ = tr.select(
+        F.concat(F.lit("file_"), F.lower("asset_symbol")).alias("case_id"),
+        F.lit("ethereum").alias("chain"), F.lit("a1").alias("suspect"),
+    ).distinct()
+    found = lookup.case_edges_of(files_.unionByName(nations), edges)
+    return found.groupBy("case_id", "answered_by").agg(
+        F.count(F.lit(1)).alias("transfers"), F.sum(number).alias("ids")
+    )
+
+
 @query(
     "d11_label_search",
     f"""WITH {LABELS} SELECT node AS address, entity_name, entity_type FROM lb

@@ -201,6 +201,36 @@ def _(spark, sf):
     return found.select("day", "asset_id", "head", F.element_at("nodes", 2).alias("second"), "change_address")
 
 
+_PEEL = f"""{TR}, e AS (SELECT *, CAST(ts AS DATE) AS day FROM tr),
+s AS (SELECT asset_id, day, f AS node, arg_max(t, (amount, t)) AS nxt FROM e GROUP BY asset_id, day, f
+  HAVING count(*) = 2 AND sum(amount) > 0 AND CAST(max(amount) AS DOUBLE) >= 0.9 * CAST(sum(amount) AS DOUBLE)),
+l AS (SELECT a.asset_id || '|' || a.day || '|' || a.node AS id, a.nxt AS change_address,
+    (SELECT a.asset_id || '|' || min(b.day) || '|' || a.nxt FROM s b WHERE b.asset_id = a.asset_id AND b.node = a.nxt AND b.day >= a.day) AS nxt FROM s a),
+w(head, cur, n, path) AS (SELECT id, id, 1, [id] FROM l
+  UNION ALL SELECT w.head, l.nxt, n + 1, list_append(path, l.nxt) FROM w JOIN l ON l.id = w.cur
+    WHERE l.nxt IS NOT NULL AND NOT list_contains(path, l.nxt)),
+walks AS (SELECT head, max(n) AS steps, arg_max(cur, n) AS last, arg_max(path, n) AS path FROM w GROUP BY head),
+ended AS (SELECT walks.*, l.nxt AS onward, l.change_address FROM walks JOIN l ON l.id = last),
+loops AS (SELECT head, path FROM ended WHERE onward = head),
+heads AS (SELECT id AS head FROM l WHERE id NOT IN (SELECT nxt FROM l WHERE nxt IS NOT NULL)
+  UNION SELECT head FROM loops WHERE head = list_min(path)
+    AND NOT EXISTS (SELECT 1 FROM l WHERE list_contains(loops.path, l.nxt) AND NOT list_contains(loops.path, l.id)))"""
+
+
+@query(
+    "r13_maximal_peel_chains",
+    f"""WITH RECURSIVE {_PEEL}
+SELECT head, last, CAST(steps AS BIGINT) AS steps, onward IS NOT NULL AS looped, change_address
+FROM ended WHERE head IN (SELECT head FROM heads) AND steps >= 3""",
+)
+def _(spark, sf):
+    """Chains of three splits or more of 90 to 10, per asset, going on over the days."""
+    edges = base_edges(spark, sf).withColumn("day", F.to_date("ts"))
+    found = risk.maximal_peel_chains(edges, ["chain", "asset_id"], "day")
+    names = [F.concat_ws("|", *[F.col(c)[k].cast("string") for k in ("asset_id", "day", "node")]).alias(c) for c in ("head", "last")]
+    return found.select(*names, "steps", "looped", "change_address")
+
+
 @query(
     "r14_reconvergence",
     f"""WITH {TR}, p AS (SELECT DISTINCT f, t FROM tr WHERE f <> t)

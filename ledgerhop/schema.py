@@ -131,3 +131,6 @@ TABLES = {
     "snapshots": (SNAPSHOTS, ["case_id", "digest"]),
     "audit_log": (AUDIT_LOG, ["event_hash"]),
 }
+# Tables kept in folders by chain and month, and in buckets of the case.
+DATED_TABLES = ["transactions", "transfers"]
+CASE_TABLES = ["attributions", "risk_events", "snapshots"]
