@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerhop.llm.common import LOWER, as_bytes, map_batches
+from ledgerhop.operators.ordering import running_sum
 from ledgerhop.staging import stage, stage_counted
 
 TOP = 10
@@ -147,13 +148,19 @@ def plans(items: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
 
     rows = map_batches(items.select("item_id", as_bytes()).distinct(), cut, f"item_id {kind}, terms array<binary>, n bigint, least bigint")
     staged, total = stage_counted(rows, "search-items", F.sum("n"))
-    dealt = staged.repartitionByRange(max(1, -(-total // block_terms)), "least", F.xxhash64("terms", "item_id"))
+    if total <= block_terms:
+        dealt = staged.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        numbered = staged.withColumn("every", F.lit(0)).withColumn("key", F.xxhash64("terms", "item_id")).withColumn("row", F.monotonically_increasing_id())
+        upto = running_sum(numbered, ["every"], ["least", "key", "row"], "n", "upto")
+        dealt = upto.withColumn("block", F.floor((F.col("upto") - F.col("n")) / block_terms).cast("bigint"))
+    sorted_blocks = dealt.select("block", "item_id", "terms").repartition("block").sortWithinPartitions("block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in in_blocks(batches, block_terms):
+        for block in in_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mine(block))], pa.binary())], ["plan"])
 
-    return stage(dealt.select("item_id", "terms").mapInArrow(pack, "plan binary"), "search-plans")
+    return stage(sorted_blocks.mapInArrow(pack, "plan binary"), "search-plans")
 
 
 def hash_of(term: bytes) -> int:
@@ -162,15 +169,16 @@ def hash_of(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term) >> 1
 
 
-def in_blocks(batches: Iterable[pa.RecordBatch], block_terms: int) -> Iterator[list]:
-    block, size = [], 0
+def in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """Items of each block, of rows in the order of their blocks."""
+    held, block = None, []
     for batch in batches:
-        for item_id, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if block and size + len(terms) > block_terms:
+        for number, item_id, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block and number != held:
                 yield block
-                block, size = [], 0
+                block = []
+            held = number
             block.append((item_id, set(terms)))
-            size += len(terms)
     if block:
         yield block
 
