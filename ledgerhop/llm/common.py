@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -86,24 +87,52 @@ def vocabulary_digest(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-#: Words whose parts may be encoded apart: ASCII and precomposed Latin letters (without the dotted
-#: capital I, whose lower case ends in a mark), no apostrophe, no beginning of a special token.
-PLAIN = re.compile(r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*")
-PARTS = re.compile(rb"[a-z\x80-\xFF]+|[0-9]|[^a-z0-9\x80-\xFF]+")
+#: What a tokenizer file must say for its words to be encoded apart: it lower-cases, drops white space
+#: and cuts between letters, digits and other signs. Fixed values of that file.
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Parts of a lower-case plain text, as that pattern cuts it. Plain are ASCII and the precomposed Latin
+#: letters U+00C0 to U+024F, without the two signs among them and the dotted capital I, whose lower case
+#: ends in a mark; so a lead byte from C3 to C9 is a letter's.
+PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xFF]+|[0-9]|[^a-z0-9\x80-\xFF\s]+")
+PLAIN_BYTES = bytes([*range(0x00, 0xC0), *range(0xC3, 0xCA)])
+NOT_PLAIN = (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+
+
+def plain(text: bytes) -> bool:
+    """Whether the parts of a text may be encoded apart: no other character, no beginning of a special token."""
+    return not text.translate(None, PLAIN_BYTES) and not any(x in text for x in NOT_PLAIN)
+
+
+def is_word_tokenizer(vocabulary: str) -> bool:
+    """Whether a tokenizer file drops white space and cuts words as :class:`WordTokens` does."""
+    path = vocabulary_path(vocabulary)
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps = (found.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    special = all(t["content"].startswith("<|") for t in found.get("added_tokens") or [])
+    bytes_next = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return found.get("normalizer") == WORD_NORMALIZER and steps[0] == split and bytes_next and special
 
 
 class WordTokens:
-    """Token ids of whole texts through caches of their words and of the parts of words.
-
-    For a tokenizer that drops white space and never merges across it, the ids of a text are the
-    ids of its words in order. One that lower-cases and cuts between letters, digits and other
-    signs gives a plain word the ids of these parts in order, so words that differ in capitals or
-    punctuation share them. Only parts (and words that are not plain) seen for the first time are
-    encoded: parts by the tokenizer's own byte-level merges, without the normaliser and pattern that
-    do nothing to them. A cache is emptied when it is full; words over ``longest`` bytes are not kept.
+    """Token ids of whole texts through a cache of the parts of their words.
+
+    For a tokenizer that drops white space, lower-cases and cuts between letters, digits and other
+    signs, the ids of a plain text are the ids of these parts in order, so only parts seen for the
+    first time are encoded, by the tokenizer's own byte-level merges without the normaliser and
+    pattern that do nothing to them. Words that are not plain are encoded whole, and kept like parts.
+    A cache is emptied when it is full; parts over ``longest`` bytes are not kept.
     """
 
-    def __init__(self, vocabulary: str, words: int = 700_000, parts: int = 900_000, longest: int = 64):
+    def __init__(self, vocabulary: str, words: int = 200_000, parts: int = 1_200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -113,8 +142,9 @@ class WordTokens:
         self.merges = Tokenizer(self.encoder.model)
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.sizes, self.longest = (words, parts), longest
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        #: Ids by part; words encoded whole have a blank in front.
+        self.known: dict[bytes, bytes] = {}
+        self.whole = 0
 
     def encode_whole(self, words: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each word, as the library gives them."""
@@ -123,67 +153,103 @@ class WordTokens:
 
     def encode_parts(self, parts: list[bytes]) -> list[bytes]:
         """The same for parts of plain words, all in one call."""
-        texts = [p.decode().lower() for p in parts]
-        found = self.merges.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        found = self.merges.encode([p.decode().lower() for p in parts], is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(found.ids, "<u4").tobytes()
         of = np.asarray(found.word_ids, np.int64)
         cuts = (4 * np.searchsorted(of, np.arange(len(parts) + 1))).tolist()
         return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def learn(self, missing: list[bytes]) -> None:
-        """Add words to the cache."""
-        whole, plain = [], []
-        for w in missing:
-            ok = b"'" not in w and b"<|" not in w and (w.isascii() or PLAIN.fullmatch(w.decode("utf-8", "replace")))
-            (plain if ok else whole).append(w)
-        self.words.update(zip(whole, self.encode_whole(whole), strict=True))
-        cuts = [PARTS.findall(w.translate(LOWER)) for w in plain]
-        new = {p for parts in cuts for p in parts}.difference(self.parts)
-        if len(self.parts) + len(new) > self.sizes[1]:
-            self.parts = {}
-            new = {p for parts in cuts for p in parts}
-        order = list(new)
-        self.parts.update(zip(order, self.encode_parts(order), strict=True))
-        part = self.parts.__getitem__
-        self.words.update((w, b"".join(map(part, parts))) for w, parts in zip(plain, cuts, strict=True))
-        for p in order:
-            if len(p) > self.longest:
-                del self.parts[p]
+        whole, parts = [], []
+        for k in missing:
+            (whole if k[:1] == b" " else parts).append(k)
+        if whole:
+            self.known.update(zip(whole, self.encode_whole([w[1:] for w in whole]), strict=True))
+            self.whole += len(whole)
+        if parts:
+            self.known.update(zip(parts, self.encode_parts(parts), strict=True))
+
+    def keys(self, text: bytes) -> list[bytes]:
+        """Parts of a text in order; a word that is not plain is one key, with a blank in front."""
+        if plain(text):
+            return PARTS.findall(text.translate(LOWER))
+        found: list[bytes] = []
+        for word in text.split():
+            if plain(word):
+                found += PARTS.findall(word.translate(LOWER))
+            else:
+                found.append(b" " + word)
+        return found
 
     def ids(self, texts: list[bytes | None], together: int = 64) -> Iterator[bytes]:
         """For each text (null: empty) the bytes of its ids."""
         for at in range(0, len(texts), together):
-            split = [folded(t or b"").split() for t in texts[at : at + together]]
-            words = [w for ws in split for w in ws]
-            ids = list(map(self.words.get, words))
-            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
+            pieces, of = [], []
+            for n, text in enumerate(texts[at : at + together]):
+                for piece in cut_at_blanks(text or b""):
+                    pieces.append(self.keys(piece))
+                    of.append(n)
+            needed = set().union(*pieces)
+            missing = needed.difference(self.known)
             if missing:
-                if len(self.words) + len(missing) > self.sizes[0]:
-                    self.words = {}
-                    missing = set(words)
+                if self.whole > self.sizes[0] or len(self.known) + len(missing) > sum(self.sizes):
+                    self.known, self.whole, missing = {}, 0, needed
                 self.learn(list(missing))
-                known = self.words
-                ids = [known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-                for w in missing:
-                    if len(w) > self.longest:
-                        del known[w]
-            begin = 0
-            for ws in split:
-                yield b"".join(ids[begin : begin + len(ws)])
-                begin += len(ws)
+            found = self.known.__getitem__
+            out = [b""] * (min(len(texts), at + together) - at)
+            for n, keys in zip(of, pieces, strict=True):
+                out[n] += b"".join(map(found, keys))
+            for k in missing:
+                if len(k) > self.longest:
+                    self.whole -= k[:1] == b" "
+                    del self.known[k]
+            yield from out
+
+
+def cut_at_blanks(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """A text in pieces of a few MB that end before a blank."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+class WholeTokens:
+    """Token ids of whole texts as the library gives them, for any other vocabulary."""
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        path = vocabulary_path(vocabulary)
+        if path.endswith(".model"):
+            import sentencepiece
+
+            reader = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: reader.encode(texts, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
 
+            reader = Tokenizer.from_file(path)
+            reader.no_truncation()
+            reader.no_padding()
+            self.encode = lambda texts: [e.ids for e in reader.encode_batch(texts, add_special_tokens=False)]
 
-def folded(text: bytes) -> bytes:
-    """The text with a-z for A-Z where this can't change its ids: it holds no special token (their
-    case counts), and no combining mark that composes with a capital (U+0300 to U+037F)."""
-    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
+    def ids(self, texts: list[bytes | None], together: int = 64) -> Iterator[bytes]:
+        """For each text (null: empty) the bytes of its ids."""
+        for at in range(0, len(texts), together):
+            part = [(t or b"").decode("utf-8", "replace") for t in texts[at : at + together]]
+            for found in self.encode(part):
+                yield np.asarray(found, "<u4").tobytes()
 
 
-_TOKENS: dict[str, WordTokens] = {}
+_TOKENS: dict[str, WordTokens | WholeTokens] = {}
 
 
-def word_tokens(vocabulary: str) -> WordTokens:
+def word_tokens(vocabulary: str) -> WordTokens | WholeTokens:
     """One encoder per Python worker."""
     if vocabulary not in _TOKENS:
-        _TOKENS[vocabulary] = WordTokens(vocabulary)
+        _TOKENS[vocabulary] = (WordTokens if is_word_tokenizer(vocabulary) else WholeTokens)(vocabulary)
     return _TOKENS[vocabulary]

@@ -1,6 +1,7 @@
 """Token counts with a digest cache.
 
-The count of a text is stored under (tokenizer version, digest of the normalised text). A run
+The count of a text is stored under (tokenizer version, digest of the normalised text; for tokenizers
+that keep white space the text is left as it is). Any .json or .model vocabulary will do. A run
 joins its digests to the stored counts, encodes each distinct text that is missing once, appends
 those counts to the cache, and joins again.
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.llm.common import map_batches, vocabulary_digest, word_tokens
+from ledgerhop.llm.common import is_word_tokenizer, map_batches, vocabulary_digest, word_tokens
 from ledgerhop.staging import stage_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -39,7 +40,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = WORD_BPE, cache: str | None
     folder = f"{cache or stage_path(spark, 'token-counts')}/tokenizer={vocabulary_digest(vocabulary)}"
     spark.createDataFrame([], STORED).coalesce(1).write.mode("append").parquet(folder)
 
-    text = normalised(F.col("text"))
+    text = normalised(F.col("text")) if is_word_tokenizer(vocabulary) else F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     distinct = docs.select(digest.alias("digest"), text.alias("body")).groupBy("digest").agg(
         F.first("body").alias("body")
