@@ -1,18 +1,19 @@
 """Line deduplication by pairwise alignment.
 
-Every text is a row of line hashes (white space at the ends of a line aside). A line is rare when it
-has ``long_words`` words or more, so that only copying explains a second one, or when it has
-``short_words`` and stands in at most ``rare_docs`` documents. A document is aligned with the first
-document (least id) of each of its rare lines: so there are as many pairs as shared rare lines at
-most, and none between two copies of a third, however many copies there are. Patience diff aligns
-the two rows of hashes; runs of aligned lines with a rare line and ``block_words`` words or more are
-deleted from the later document.
+Every text is a row of line hashes (white space at the ends of a line aside). Its keys are runs of
+lines: from every line with a word, as few lines on as hold ``block_words`` words together. So a long
+line is a key by itself, and lines of verse, lists or dialogue are keys with their neighbours; such runs
+are rare, only copying explains a second one, and any block of ``block_words`` words that two documents
+share holds one. A document is aligned with the first document (least id) of each of its runs: so there
+are as many pairs as shared runs at most, and none between two copies of a third, however many copies
+there are. Patience diff aligns the two rows of hashes; runs of aligned lines of ``block_words`` words
+or more are deleted from the later document.
 
 Only hashes are compared; texts move once, to be cut.
 
 Defined cases: null and empty texts stay as they are; rows with a null id are left alone and are
 nobody's source; rows with one id are not compared with each other, and each is cut by itself;
-ties are broken by the id; a document can lose all its lines (``keep_new`` drops it then). Texts
+ids are of any type with an order (numbers, strings); ties are broken by the id; a document can lose all its lines (``keep_new`` drops it then). Texts
 of any length are whole. Extra columns are passed through.
 """
 
@@ -28,48 +29,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerhop.llm.common import as_bytes, fresh, map_batches
+from ledgerhop.llm.common import as_bytes, fresh, map_batches, mix64
 from ledgerhop.staging import stage
 
-LONG_WORDS, SHORT_WORDS, RARE_DOCS = 8, 3, 10
 BLOCK_WORDS = 8
+#: An odd base for hashes of runs, and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(id, node, hashes, sizes) of each distinct id and text; sizes are words per line."""
+def runs(hashes: np.ndarray, sizes: np.ndarray, block_words: int = BLOCK_WORDS) -> np.ndarray:
+    """Hashes of the shortest runs of ``block_words`` words or more from every line with a word."""
+    words = np.cumsum(sizes, dtype=np.int64)
+    begin = np.flatnonzero(sizes)
+    end = np.searchsorted(words, words[begin] - sizes[begin] + block_words) + 1
+    begin, end = begin[end <= len(sizes)], end[end <= len(sizes)]
+    with np.errstate(over="ignore"):
+        def powers(x):
+            return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), x, np.uint64))))
+
+        # Differences of a polynomial's prefixes, moved back to the first power.
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64) * powers(BASE)[:-1])))
+        return mix64((prefix[end] - prefix[begin]) * powers(INVERSE)[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+
+def line_rows(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, node, hashes, sizes, runs) of each distinct id and text; sizes are words per line."""
     keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.md5(as_bytes())).alias("node"), as_bytes()
+        F.col("doc_id").alias("id"), F.xxhash64(F.md5(as_bytes())).alias("node"), as_bytes()
     )
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, sizes = [], []
+        found = ([], [], [])
         for text in batch.column(2).to_pylist():
             lines = [x.strip() for x in text.split(b"\n")]
-            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64))
-            sizes.append(np.fromiter((len(x.split()) for x in lines), np.int32, len(lines)))
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes))),
-             pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sizes)))], ["id", "node", "hashes", "sizes"]
-        )
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+            sizes = np.fromiter((len(x.split()) for x in lines), np.int32, len(lines))
+            for column, values in zip(found, (hashes.view(np.int64), sizes, np.unique(runs(hashes, sizes, block_words))), strict=True):
+                column.append(values)
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c))) for c in found
+        ]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "node", "hashes", "sizes", "runs"])
 
-    rows = map_batches(keyed, cut, "id bigint, node bigint, hashes array<bigint>, sizes array<int>")
+    rows = map_batches(keyed, cut, f"id {kind}, node bigint, hashes array<bigint>, sizes array<int>, runs array<bigint>")
     return rows.dropDuplicates(["id", "node"])
 
 
-def rare_pairs(rows: DataFrame, long_words: int, short_words: int, rare_docs: int) -> DataFrame:
-    """(id, node, partner, rare): the first documents of the rare lines of a document, and which
-    lines these are."""
-    lines = rows.select("id", "node", F.explode(F.arrays_zip("hashes", "sizes")).alias("line")).select(
-        "id", "node", F.col("line.hashes").alias("line"), F.col("line.sizes").alias("words")
-    )
-    lines = lines.filter(F.col("words") >= short_words).distinct()
-    firsts = lines.groupBy("line").agg(
-        F.min("id").alias("partner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("docs"), F.max("words").alias("words")
-    )
-    rare = firsts.filter((F.col("partner") < F.col("last")) & ((F.col("words") >= long_words) | (F.col("docs") <= rare_docs)))
-    shared = lines.select("id", "node", "line").join(rare.select("line", "partner"), "line").filter("partner < id")
-    return shared.groupBy("id", "node", "partner").agg(F.collect_list("line").alias("rare"))
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """(id, node, partner): the first documents of the runs of a document."""
+    held = rows.select("id", "node", F.explode("runs").alias("run"))
+    firsts = held.groupBy("run").agg(F.min("id").alias("partner"), F.max("id").alias("last")).filter("partner < last")
+    return held.join(firsts.select("run", "partner"), "run").filter("partner < id").select("id", "node", "partner").distinct()
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -138,14 +150,14 @@ def rising(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repeated_lines(a: list[int], sizes: list[int], b: list[int], rare: set[int], block_words: int) -> list[int]:
-    """Lines of ``a`` in aligned blocks that are long enough and hold a rare line."""
+def repeated_lines(a: list[int], sizes: list[int], b: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
+    """Lines of ``a`` in aligned blocks that are long enough."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(a, b), (-2, -2)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(sizes[k] for k in block) >= block_words and any(a[k] in rare for k in block):
+            if sum(sizes[k] for k in block) >= block_words:
                 out.extend(block)
             block = []
         block.append(i)
@@ -153,29 +165,26 @@ def repeated_lines(a: list[int], sizes: list[int], b: list[int], rare: set[int],
     return out
 
 
-def deletions(docs: DataFrame, long_words: int = LONG_WORDS, short_words: int = SHORT_WORDS,
-              rare_docs: int = RARE_DOCS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, node, lines, sources): lines to delete (from 0) of each document that
     has any, and the documents that have them before."""
-    rows = stage(line_rows(docs), "line-rows")
-    pairs = rare_pairs(rows, long_words, short_words, rare_docs)
+    rows = stage(line_rows(docs, block_words), "line-rows")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     earlier = rows.select(F.col("id").alias("partner"), F.col("hashes").alias("earlier"))
-    both = pairs.join(earlier, "partner").join(rows, ["id", "node"])
+    both = first_pairs(rows).join(earlier, "partner").join(rows, ["id", "node"])
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, rare, earlier, hashes, sizes = (c.to_pylist() for c in batch.columns)
-        found = [
-            repeated_lines(a, s, b, set(r), block_words) for r, b, a, s in zip(rare, earlier, hashes, sizes, strict=True)
-        ]
+        earlier, hashes, sizes = (c.to_pylist() for c in batch.columns[3:])
+        found = [repeated_lines(a, s, b, block_words) for b, a, s in zip(earlier, hashes, sizes, strict=True)]
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["id", "node", "partner", "found"]
         ).filter(pa.array([bool(f) for f in found], pa.bool_()))
 
     found = map_batches(
-        both.select("id", "node", "partner", "rare", "earlier", "hashes", "sizes"), align,
-        "id bigint, node bigint, partner bigint, found array<int>",
+        both.select("id", "node", "partner", "earlier", "hashes", "sizes"), align,
+        f"id {kind}, node bigint, partner {kind}, found array<int>",
     )
-    # At most a list of its own lines for each shared rare line of one document.
+    # At most a list of its own lines for each shared run of one document.
     return found.groupBy("id", "node").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("lines"),
         F.array_sort(F.collect_set("partner")).alias("sources"),
@@ -186,7 +195,7 @@ def without_lines(docs: DataFrame, found: DataFrame, extra: list[str]) -> DataFr
     """``docs`` with the lines cut, the columns ``extra`` of ``found`` behind them, and the number of
     lines with a word that are left."""
     a, b, name = fresh(docs.columns, "own", "node_key", "bytes")
-    keyed = docs.withColumn(a, F.col("doc_id").cast("bigint")).withColumn(b, F.xxhash64(F.md5(as_bytes())))
+    keyed = docs.withColumn(a, F.col("doc_id")).withColumn(b, F.xxhash64(F.md5(as_bytes())))
     cut, *named, left_name = fresh([*docs.columns, a, b, name], "cut", *extra, "lines_left")
     marks = found.select(F.col("id").alias(a), F.col("node").alias(b), F.col("lines").alias(cut),
                          *(F.col(c).alias(n) for c, n in zip(extra, named, strict=True)))
@@ -216,9 +225,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """Rows of ``docs(doc_id, text)`` cut: doc_id, n_deleted (lines), sources, text."""
     cut = without_lines(docs.select("doc_id", "text"), deletions(docs), ["sources"])
     deleted = F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("bigint")
+    kind = cut.schema["sources"].dataType
     return cut.select(
-        "doc_id", deleted.alias("n_deleted"),
-        F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"), "text",
+        "doc_id", deleted.alias("n_deleted"), F.coalesce("sources", F.array().cast(kind)).alias("sources"), "text"
     )
 
 

@@ -169,23 +169,33 @@ def test_head_words_bound(docs):
 
 
 def plain_dedup(rows):
+    """Runs of lines as tuples of text, and blocks of patience-aligned lines, all by hand."""
     lines = {(i, t): [x.strip(" \t\r\x0b\x0c\n") for x in t.split("\n")] for i, t in rows if i is not None and t is not None}
-    holders = defaultdict(set)
-    for (i, t), ls in lines.items():
-        for x in set(ls):
-            holders[x].add((i, t))
+    runs = defaultdict(set)
+    for key, ls in lines.items():
+        for k, x in enumerate(ls):
+            for end in range(k + 1, len(ls) + 1):
+                if x and sum(len(y.split()) for y in ls[k:end]) >= 8:
+                    runs[key].add(tuple(ls[k:end]))
+                    break
+    first = {}
+    for key, own in runs.items():
+        for run in own:
+            first[run] = min(first.get(run, key[0]), key[0])
     out = {}
     for key, ls in lines.items():
-        i = key[0]
-        rare = defaultdict(set)
-        for x in set(ls):
-            n, first = len(x.split()), min(h[0] for h in holders[x])
-            if n >= 3 and first < i and (n >= 8 or len(holders[x]) <= 10):
-                rare[first].add(x)
         drop = set()
-        for first, seen in rare.items():
-            for other in [k for k in lines if k[0] == first]:
-                drop |= set(line_dedup.repeated_lines(ls, [len(x.split()) for x in ls], lines[other], seen, 8))
+        for partner in {first[r] for r in runs[key] if first[r] < key[0]}:
+            for other in [k for k in lines if k[0] == partner]:
+                pairs = set(line_dedup.patience(ls, lines[other]))
+                for i, j in pairs:
+                    if (i - 1, j - 1) in pairs:
+                        continue
+                    block = []
+                    while (i + len(block), j + len(block)) in pairs:
+                        block.append(i + len(block))
+                    if sum(len(ls[k].split()) for k in block) >= 8:
+                        drop |= set(block)
         out[key] = "\n".join(x for k, x in enumerate(key[1].split("\n")) if k not in drop)
     return out
 
@@ -215,6 +225,32 @@ def test_lines_equal_a_plain_search(spark):
     assert len(left) == len(rows) - len(gone)
 
 
+@pytest.mark.parametrize("copies", [2, 10, 11, 1000])
+def test_short_lines_are_cut_whatever_the_number_of_copies(spark, copies):
+    verse = "\n".join(f"five little words of {k}" for k in range(6))
+    rows = [(f"d{i:04}", f"Beginning number {i}\n{verse}") for i in range(copies)] + [("x", "not a copy")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got["d0000"].n_deleted == 0 and got["x"].n_deleted == 0
+    assert all(got[f"d{i:04}"].text == f"Beginning number {i}" and got[f"d{i:04}"].sources == ["d0000"] for i in range(1, copies))
+
+
+def test_a_block_whose_lines_begin_elsewhere(spark):
+    block = [f"line number {k} here" for k in range(5)]
+    rows = [(k, f"alone {k}\n{x}\nafter {k}") for k, x in enumerate(block)]
+    rows += [(10, "\n".join(block)), (11, "Own words\n" + "\n".join(block))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[11].text == "Own words" and got[11].sources == [10] and got[10].n_deleted == 0
+
+
+def test_runs_do_not_depend_on_their_place():
+    rng = np.random.default_rng(3)
+    hashes, sizes = rng.integers(0, 1 << 63, 50).astype(np.uint64), rng.integers(0, 12, 50).astype(np.int32)
+    whole, tail = line_dedup.runs(hashes, sizes), line_dedup.runs(hashes[20:], sizes[20:])
+    assert set(tail) <= set(whole) and len(set(whole)) == len(whole) and (whole[-len(tail):] == tail).all()
+    assert len(line_dedup.runs(hashes[:1], np.array([7], np.int32))) == 0 and len(line_dedup.runs(hashes[:1], np.array([8], np.int32))) == 1
+
+
 def test_patience():
     a, b = [1, 2, 3, 9, 4, 5], [0, 1, 2, 7, 3, 4, 5]
     assert line_dedup.patience(a, b) == [(0, 1), (1, 2), (2, 4), (4, 5), (5, 6)]
