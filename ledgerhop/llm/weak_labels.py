@@ -98,12 +98,12 @@ def unpacked(number: int, width: int) -> list[int]:
     return out[::-1]
 
 
-def label_model(counts: dict[int, int], width: int, rounds: int = 200, trust: float = 0.05) -> dict[int, float]:
+def label_model(counts: dict[int, int], width: int, rounds: int = 500, strength: float = 10.0) -> dict[int, float]:
     """Probability that each pattern is of the class GOOD, by expectation-maximisation.
 
     A labeller that says nothing tells nothing. The first guess is that a text with a bad vote is
-    bad; a belief worth the share ``trust`` of the texts, that labellers rarely call good texts bad,
-    keeps the classes from changing places.
+    bad; a belief worth ``strength`` texts of each class, that labellers rarely call good texts bad,
+    keeps the classes from changing places in small data and fades as the texts grow in number.
     """
     if not counts:
         return {}
@@ -111,7 +111,7 @@ def label_model(counts: dict[int, int], width: int, rounds: int = 200, trust: fl
     votes = np.asarray([unpacked(k, width) for k in keys])
     n = np.asarray([counts[k] for k in keys], float)
     q = np.where((votes == BAD).any(1), 0.1, 0.9)
-    belief = np.asarray([[0.6, 0.4], [0.98, 0.02]]) * max(1.0, trust * n.sum())  # bad and good texts; good, bad votes
+    belief = np.asarray([[0.6, 0.4], [0.98, 0.02]]) * strength  # bad and good texts; good, bad votes
     for _ in range(rounds):
         weight = np.stack([(1 - q) * n, q * n])
         prior = (weight.sum(1) + 1) / (n.sum() + 2)
