@@ -145,13 +145,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def first_of_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """As :func:`first_rows` for a written table where few keys repeat.
+def first_of_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], only: DataFrame | None = None) -> DataFrame:
+    """As :func:`first_rows` where few keys repeat.
 
-    Keys are counted alone; only rows whose key repeats are then grouped whole, all others stay where
-    they are.  NULL is a key like any other.
+    Keys are counted alone (of ``only``, a written table of them, if given); only rows whose key repeats are
+    then grouped whole, all others stay where they are.  NULL is a key like any other.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts = (df if only is None else only).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     repeated, n = stage_counted(counts.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
     if not n:
         return df

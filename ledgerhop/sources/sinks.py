@@ -144,14 +144,16 @@ def stored_keys(spark: SparkSession, root: str, name: str, batch: DataFrame, row
 def insert_absent(spark: SparkSession, root: str, name: str, incoming: DataFrame, any_time: bool = False) -> None:
     """Append rows with new keys only, the first of each key; running it twice adds nothing.
 
-    The incoming rows are written once, so the folders and the key filter come from a table and not from
-    its plan.
+    Keys and folders of the incoming rows are written once and make the key filter, the folders to read and the
+    list of repeats; the rows themselves are read again, so ``incoming`` must not change in between.
     """
     keys = TABLES[name][1]
-    given, n = stage_counted(_with_partitions(typed_rows(name, incoming), name), "incoming")
-    order = [c for c in given.columns if c not in keys] or keys
+    rows = _with_partitions(typed_rows(name, incoming), name)
+    narrow = list(dict.fromkeys([*keys, *partition_columns(name)]))
+    given, n = stage_counted(rows.select(*narrow), "incoming-keys")
+    order = [c for c in rows.columns if c not in keys] or keys
     if n:
-        batch = first_of_repeats(given, keys, order)
+        batch = first_of_repeats(rows, keys, order, given)
         _append(batch.join(stored_keys(spark, root, name, given, n, any_time), keys, "left_anti"), root, name, n)
 
 
