@@ -6,8 +6,10 @@ word before. A match of ``window`` words or more means that a window of an item
 items are windows as a whole. Runs of words that no pair of neighbouring item words allows are
 skipped before (the root's transitions two deep), which changes no match.
 
-The items are collected, in blocks of at most ``block_words`` words; each block has its own
-automaton and goes over all documents, so memory has a bound however large the benchmark is.
+Items are dealt into blocks of at most ``block_words`` words (or one item); tasks build the automaton of
+each and write it to a table. One automaton at a time is broadcast and goes over all documents; what
+earlier ones have hit travels with the documents as one bit per word and a list of items. So neither
+the driver nor a worker holds more than a block, however large the benchmark is.
 
 Defined cases: a null text has no words and stays null; items without words are no windows; items
 with a null id still mark words but are not listed; repeated ids count once; very long texts are
@@ -17,17 +19,21 @@ whole. Without items nothing is hit. All other columns are passed through.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerhop.llm.common import as_bytes, fresh, map_batches
+from ledgerhop.operators.ordering import running_sum
+from ledgerhop.staging import stage, stage_counted
 
 WINDOW = 10
 #: A document loses everything when more than this share of its words is hit.
@@ -158,40 +164,93 @@ class ItemAutomaton:
         yield from zip(starts[long].tolist(), ends[long].tolist(), strict=True)
 
 
-def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Automata of the items in blocks; each block is a broadcast of bounded size."""
-    spark = items.sparkSession
-    blocks, block, size = [], [], 0
-    rows = items.select(F.col("item_id").cast("string"), as_bytes()).distinct()
-    for item_id, text in rows.toLocalIterator():
-        words = words_of(bytes(text) if text is not None else None)
-        if block and size + len(words) > block_words:
-            blocks.append(spark.sparkContext.broadcast(ItemAutomaton(block, window)))
-            block, size = [], 0
-        block.append((item_id, words))
-        size += len(words)
-    blocks.append(spark.sparkContext.broadcast(ItemAutomaton(block, window)))
-    return blocks
-
-
-def scan(blocks: list, words: list[bytes]) -> tuple[np.ndarray, set]:
-    mask, found = np.zeros(len(words), bool), set()
-    for block in blocks:
-        m, f = block.value.hits(words)
-        mask |= m
-        found |= f
-    return mask, found
-
-
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per block of items with its pickled automaton, written."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), as_bytes()).distinct()
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, n], ["item_id", "text", "n"]).filter(pc.greater(n, 0))
+
+    staged, total = stage_counted(map_batches(rows, measure, "item_id string, text binary, n bigint"), "items", F.sum("n"))
+    if total <= block_words:
+        dealt = staged.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        numbered = staged.withColumns({"every": F.lit(0), "key": F.xxhash64("item_id", "text"), "row": F.monotonically_increasing_id()})
+        upto = running_sum(numbered, ["every"], ["key", "row"], "n", "upto")
+        dealt = upto.withColumn("block", F.floor((F.col("upto") - F.col("n")) / block_words).cast("bigint"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in rows_by_block(batches):
+            automaton = ItemAutomaton([(i, words_of(t)) for i, t in block], window)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(automaton)], pa.binary())], ["automaton"])
+
+    by_block = dealt.select("block", "item_id", "text").repartition("block").sortWithinPartitions("block")
+    return stage(by_block.mapInArrow(build, "automaton binary"), "automata")
+
+
+def rows_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """(item_id, text) of each block, of rows sorted by block."""
+    held, block = None, []
+    for batch in batches:
+        for number, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block and number != held:
+                yield block
+                block = []
+            held = number
+            block.append(tuple(row))
+    if block:
+        yield block
+
+
+def scan(automaton: ItemAutomaton | None, words: list[bytes], mask: bytes | None = None,
+         items: list | None = None) -> tuple[np.ndarray, set]:
+    """Hit words and items of a text: those known from earlier blocks and those of this one."""
+    hit, found = automaton.hits(words) if automaton else (np.zeros(len(words), bool), set())
+    if mask:
+        hit |= np.unpackbits(np.frombuffer(mask, np.uint8), count=len(words)).astype(bool)
+    return hit, found.union(items or ())
+
+
+def through_blocks(rows: DataFrame, blocks: DataFrame, text: str, mask: str, items: str):
+    """``rows`` with the hits of all blocks but the last in ``mask`` and ``items``, and the broadcast last one."""
+    context = rows.sparkSession.sparkContext
+    held = None
+    rows = rows.withColumns({mask: F.lit(None).cast("binary"), items: F.lit(None).cast("array<string>")})
+    for row in blocks.toLocalIterator():  # one block in the driver at a time
+        if held is not None:
+            rows = stage(with_hits(rows, held, text, mask, items), "hits")
+            held.destroy()
+        held = context.broadcast(pickle.loads(bytes(row["automaton"])))
+    return rows, context.broadcast(None) if held is None else held
+
+
+def with_hits(rows: DataFrame, shared, text: str, mask: str, items: str) -> DataFrame:
+    names, at = rows.columns, rows.columns.index(text)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        masks, lists = [], []
+        known = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
+        for body, before, seen in zip(*known, strict=True):
+            hit, found = scan(shared.value, words_of(body), before, seen)
+            masks.append(np.packbits(hit).tobytes() if hit.any() else None)
+            lists.append(sorted(found, key=lambda x: (x is None, x)) if found else None)
+        columns = [*batch.columns[:-2], pa.array(masks, pa.binary()), pa.array(lists, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return map_batches(rows, mark, rows.schema)
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
-    blocks = item_blocks(items, window)
+    rows = docs.select("doc_id", as_bytes())
+    rows, last = through_blocks(rows, item_blocks(items, window, block_words), "text", "mask", "items")
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_hit, n_items, digest = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text, before, seen in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             words = words_of(text)
-            mask, found = scan(blocks, words)
+            mask, found = scan(last.value, words, before, seen)
             names = sorted(x for x in found if x is not None)
             n_words.append(len(words))
             n_hit.append(int(mask.sum()))
@@ -207,7 +266,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
               "contaminated boolean")
-    return map_batches(docs.select("doc_id", as_bytes()), search, schema)
+    return map_batches(rows, search, schema)
 
 
 def without_spans(text: bytes, mask: np.ndarray) -> bytes:
@@ -221,31 +280,30 @@ def without_spans(text: bytes, mask: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
-                  max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text``, and without the rows of which more than
     ``max_coverage`` of the words are hit. Untouched texts stay as they are, byte for byte."""
-    blocks = item_blocks(items, window)
-    (name,) = fresh(docs.columns, "bytes")
+    body, mask_name, items_name = fresh(docs.columns, "bytes", "mask", "items")
     names, at = docs.columns, docs.columns.index("text")
+    # The text itself travels once, as bytes; its column holds a null until it is filled again.
+    hollow = [F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*hollow, as_bytes().alias(body))
+    rows, last = through_blocks(rows, item_blocks(items, window, block_words), body, mask_name, items_name)
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
+        texts, masks = (batch.column(batch.num_columns - i).to_pylist() for i in (3, 2))
         keep = []
-        for row, text in enumerate(texts):
+        for row, (text, before) in enumerate(zip(texts, masks, strict=True)):
             words = words_of(text)
-            mask, _ = scan(blocks, words)
+            mask, _ = scan(last.value, words, before)
             hit = int(mask.sum())
             if hit:
                 texts[row] = without_spans(text, mask)
             keep.append(hit <= max_coverage * len(words))
-        columns = [*batch.columns[:-1]]
+        columns = [*batch.columns[:-3]]
         columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    # The text itself travels once, as bytes; its column holds a null until it is filled again.
-    hollow = [F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return map_batches(docs.select(*hollow, as_bytes().alias(name)), clean, schema)
-
-
+    return map_batches(rows, clean, schema)

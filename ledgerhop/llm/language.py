@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.llm.common import fresh, map_batches, remainder
+from ledgerhop.llm.common import fresh, lowest_keys, map_batches, remainder
 
 UNKNOWN = "und"
 FIT_ROWS = 2000
@@ -116,8 +116,7 @@ def training_sample(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) ->
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select(
         "lang", F.xxhash64("text").alias("key"), "text"
     )
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    keys = usable.select("lang", "key").distinct().withColumn("nth", nth).filter(F.col("nth") <= fit_rows)
+    keys = lowest_keys(usable.select("lang", "key").distinct(), "lang", "key", fit_rows)
     chosen = keys.orderBy("nth", "lang").limit(fit_rows).drop("nth")
     # At most fit_rows keys: safe to broadcast.
     texts = usable.join(F.broadcast(chosen), ["lang", "key"]).select("lang", "key", "text")

@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerhop.llm.common import LOWER, as_bytes, map_batches
+from ledgerhop.llm.decontamination import rows_by_block
 from ledgerhop.operators.ordering import running_sum
 from ledgerhop.staging import stage, stage_counted
 
@@ -157,8 +158,9 @@ def plans(items: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     sorted_blocks = dealt.select("block", "item_id", "terms").repartition("block").sortWithinPartitions("block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in in_blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mine(block))], pa.binary())], ["plan"])
+        for block in rows_by_block(batches):
+            plan = mine([(item_id, set(terms)) for item_id, terms in block])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plan)], pa.binary())], ["plan"])
 
     return stage(sorted_blocks.mapInArrow(pack, "plan binary"), "search-plans")
 
@@ -169,20 +171,6 @@ def hash_of(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term) >> 1
 
 
-def in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
-    """Items of each block, of rows in the order of their blocks."""
-    held, block = None, []
-    for batch in batches:
-        for number, item_id, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block and number != held:
-                yield block
-                block = []
-            held = number
-            block.append((item_id, set(terms)))
-    if block:
-        yield block
-
-
 def count_terms(docs: DataFrame, vocabulary) -> DataFrame:
     """doc_id, n (terms of the document), terms (numbers in the vocabulary) and tfs, of documents with a term."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -3,8 +3,10 @@
 A text is the weighted set of its five-word shingles (words lower-cased A-Z; a shorter text is one
 shingle). The weight of a shingle is its count in the text times the mean inverse document frequency
 of its words: document frequencies are counted over all documents for words, whose number is far
-smaller than that of shingles. The ``head_words`` most frequent words are broadcast with their
-frequency; all rarer ones share the frequency below it, so the broadcast has a bound.
+smaller than that of shingles. A word counts as in ``rare_share`` of the documents at least, so its weight
+follows from its share of the documents and from nothing else, at every size of the corpus. Only words
+above that share are broadcast with their frequency: no more than the mean number of different words of
+a document divided by the share, whatever the number of documents.
 
 Improved consistent weighted sampling draws (shingle, level) pairs that two texts share with the
 probability of their weighted Jaccard similarity. Draws are grouped in bands. Rows with the same text
@@ -16,7 +18,8 @@ exact similarity, block against block through an inverted index. So each pair th
 either verified or in one class already; what can be missed are pairs that share none (of a pair at
 0.8, 1 - (1 - 0.8^3)^8 = 99.7 % share one).
 
-Defined cases: null texts and texts without words are classes of their own; rows with the same text
+Defined cases: ids are integers, or text of integers (any other text is an error); null texts and texts
+without words are classes of their own; rows with the same text
 and id are one class like other copies; a null id belongs to a class but never names it unless
 nothing else can (the class is then null); an empty table gives no rows. Extra columns are ignored,
 and kept by ``keep_first``. Node numbers are 64-bit hashes of the texts' MD5 digests.
@@ -44,7 +47,8 @@ BANDS, ROWS = 8, 3
 FINE_STEPS = (1, 2)
 #: Nodes of a block that is compared as a whole, and the weight of their shingles that starts another one.
 BLOCK_NODES, BLOCK_WEIGHT = 256, 1e7
-HEAD_WORDS = 1_000_000
+#: Words in fewer documents than this share weigh the same.
+RARE_SHARE = 1 / 2000
 #: Sizes of the table of random numbers that all draws share, and of a task's word counts.
 TABLE_BITS = 16
 CHUNK_WORDS = 1_000_000
@@ -75,8 +79,9 @@ class WordWeights:
         return np.where(self.head[at] == hashes, self.weights[at], np.float32(self.rare))
 
 
-def word_weights(docs: DataFrame, head_words: int = HEAD_WORDS) -> WordWeights:
-    """Inverse document frequencies, log((1 + N) / (1 + df)) + 0.1, over all of ``docs(text)``."""
+def word_weights(docs: DataFrame, rare_share: float = RARE_SHARE) -> WordWeights:
+    """Inverse document frequencies, log((1 + N) / (1 + df)) + 0.1, over all of ``docs(text)``; df is 1 and
+    ``rare_share`` of N at least."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -104,23 +109,13 @@ def word_weights(docs: DataFrame, head_words: int = HEAD_WORDS) -> WordWeights:
     found = stage(found.filter("word is null or df > 1"), "word-frequencies")
     total = found.filter("word is null").agg(F.max("df")).first()[0] or 0
     words = found.filter("word is not null")
-    lowest, room = 2, head_words
-    sizes = words.groupBy(F.least("df", F.lit(100_000)).alias("df")).agg(F.count(F.lit(1)).alias("n")).collect()
-    for r in sorted(sizes, key=lambda r: -r["df"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        lowest = r["df"]
-    else:
-        lowest = 2
-    if room < 0:
-        lowest = max(lowest, 3)
-    head = words.filter(F.col("df") >= lowest).coalesce(8).toArrow()
+    least = max(1.0, rare_share * total)
+    head = words.filter(F.col("df") > least).toArrow()
     keys = head.column("word").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     df = head.column("df").to_numpy()[order]
     weight = np.log((1 + total) / (1 + df)) + 0.1
-    return WordWeights(keys[order], weight.astype(np.float32), float(np.log((1 + total) / lowest) + 0.1))
+    return WordWeights(keys[order], weight.astype(np.float32), float(np.log((1 + total) / (1 + least)) + 0.1))
 
 
 def shingles(text: bytes | None, weights: WordWeights) -> tuple[np.ndarray, np.ndarray]:
@@ -445,10 +440,10 @@ def candidate_texts(against: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                           head_words: int = HEAD_WORDS) -> tuple[DataFrame, DataFrame]:
+                           rare_share: float = RARE_SHARE) -> tuple[DataFrame, DataFrame]:
     """(id, node, root) of every row, and (root, class_id, class_size) of every class."""
     spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(word_weights(docs, head_words))
+    weights = spark.sparkContext.broadcast(word_weights(docs, rare_share))
     signed = stage(signatures(docs, weights, bands, rows), "signatures")
     nodes = signed.filter(F.size("keys") > 0).groupBy("node").agg(
         F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("keys").alias("keys")

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerhop.llm.common import as_bytes, map_batches
+from ledgerhop.llm.common import as_bytes, lowest_keys, map_batches
 from ledgerhop.llm.decontamination import words_of
 from ledgerhop.staging import stage
 
@@ -169,8 +169,8 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON,
                   rows: int = LEXICON_ROWS) -> tuple[frozenset, frozenset]:
     """Words, and beginnings of words, that stand in texts labelled toxic and hardly elsewhere."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marks.filter("toxic in (0, 1)").withColumn("nth", nth).filter(F.col("nth") <= rows // 2).drop("nth")
+    keyed = marks.filter("toxic in (0, 1)").withColumn("key", F.xxhash64("doc_id"))
+    chosen = lowest_keys(keyed, "toxic", "key", rows // 2).drop("nth", "key")
     # At most `rows` ids: safe to broadcast.
     texts = docs.select("doc_id", as_bytes()).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
@@ -230,8 +230,7 @@ def training_texts(docs: DataFrame, voted: DataFrame, quality: dict[int, float],
     posterior = spark.createDataFrame(list(quality.items()), "quality int, good double")
     # At most one row for each pattern: safe to broadcast.
     seen = voted.select("key", "quality").distinct().join(F.broadcast(posterior), "quality").filter("abs(good - 0.5) >= 0.2")
-    nth = F.row_number().over(Window.partitionBy(F.col("good") > 0.5).orderBy("key"))
-    chosen = seen.withColumn("nth", nth).filter(F.col("nth") <= rows // 2).select("key", "good")
+    chosen = lowest_keys(seen.withColumn("side", F.col("good") > 0.5), "side", "key", rows // 2).select("key", "good")
     texts = docs.select(F.xxhash64("text").alias("key"), as_bytes()).join(F.broadcast(chosen), "key")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:

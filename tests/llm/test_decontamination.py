@@ -51,12 +51,12 @@ def test_hits(spark):
 
 def test_blocks_agree(spark):
     items, rows, items_df, docs_df = table(spark)
-    one = dc.item_blocks(items_df, 5)
-    many = dc.item_blocks(items_df, 5, block_words=10)
-    assert len(one) == 1 and len(many) > 3
-    for _, text in rows:
-        a, b = (dc.scan(x, dc.words_of(text.encode() if text else None)) for x in (one, many))
-        assert (a[0] == b[0]).all() and a[1] == b[1]
+    assert dc.item_blocks(items_df, 5).count() == 1
+    assert dc.item_blocks(items_df, 5, block_words=10).count() > 3
+    one, many = (sorted(map(str, dc.find_hits(docs_df, items_df, 5, block_words=n).collect())) for n in (500_000, 10))
+    assert one == many
+    one, many = (sorted(map(str, dc.decontaminate(docs_df, items_df, 5, block_words=n).collect())) for n in (500_000, 10))
+    assert one == many and len(one) < len(rows)
 
 
 def test_spans_are_cut_and_the_rest_kept(spark, clashing, empty):

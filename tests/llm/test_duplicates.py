@@ -156,13 +156,15 @@ def test_near_duplicates_of_odd_tables(clashing, corpus, empty):
     assert {100, 101, 102} <= set(ids) and len(ids) == len(set(i for i in ids if i is not None)) + ids.count(None)
 
 
-def test_head_words_bound(docs):
-    small = near_duplicates.word_weights(docs, head_words=5)
+def test_weights_follow_the_share_of_documents(docs):
+    small = near_duplicates.word_weights(docs, rare_share=0.1)
     full = near_duplicates.word_weights(docs)
-    assert len(small.head) <= 5 < len(full.head)
-    assert small.rare < full.rare
-    seen = near_duplicates.near_duplicates(docs).count()
-    assert seen == docs.count()
+    assert 0 < len(small.head) < len(full.head)
+    assert small.rare < full.rare and (small.weights <= small.rare).all()
+    many = near_duplicates.word_weights(docs.union(docs).union(docs).union(docs), rare_share=0.1)
+    assert (many.head == small.head).all()
+    assert np.allclose(many.weights, small.weights, atol=0.1) and abs(many.rare - small.rare) < 0.1
+    assert near_duplicates.near_duplicates(docs, rare_share=0.1).count() == docs.count()
 
 
 # Lines

@@ -203,13 +203,57 @@ def test_filter_returns_what_was_put_in(spark, docs):
     counts = np.minimum(rng.geometric(0.3, len(keys)) ** 3, 5000)
     rows = [(lm_scoring.WORD, int(k), int(c)) for k, c in zip(keys, counts, strict=True)]
     table = spark.createDataFrame(rows, "kind byte, key bigint, c bigint")
-    found = lm_scoring.build_filter(table).probe(lm_scoring.WORD, keys.view(np.uint64))
+    stored = lm_scoring.build_filter(table)
+    whole = stored.load(*stored.groups(1 << 29)[0])
+    found = whole.probe(lm_scoring.WORD, keys.view(np.uint64))
     want = lm_scoring.quantised(counts)
     assert (found >= want).all() and (found == want).mean() > 0.97
-    absent = lm_scoring.build_filter(table).probe(lm_scoring.WORD, rng.integers(1 << 62, 1 << 63, 4000).astype(np.uint64))
+    absent = whole.probe(lm_scoring.WORD, rng.integers(1 << 62, 1 << 63, 4000).astype(np.uint64))
     assert (absent > 0).mean() < 0.05
-    small = lm_scoring.build_filter(table, max_bits=1 << 14)
-    assert len(small.bits) * 8 <= 1 << 16
+    groups = stored.groups(stored.block_size * 100)
+    assert len(groups) == 6
+    parts = [stored.load(*g).probe(lm_scoring.WORD, keys.view(np.uint64)) for g in groups]
+    assert (np.sum(parts, 0) == found).all() and all((p > 0).any() for p in parts)
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(docs):
+    whole = lm_scoring.score(docs)
+    parts = lm_scoring.score(docs, max_bits=60_000)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: str(r[:3]) + f"{r.score:.6f}"
+    a, b = (sorted(df.select(*names).collect(), key=key) for df in (whole, parts))
+    assert [tuple(r)[:5] for r in a] == [tuple(r)[:5] for r in b]
+    assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-12)
+
+
+def test_scores_follow_the_counts(spark, docs, corpus):
+    """Against exact counts: discounted pairs seen twice or more, the rest spread like single words."""
+    tokens = [((t or "").encode().translate(LOWER).split() + [b" "]) for _, t, *_ in corpus]
+    words, pairs = Counter(), Counter()
+    for (i, *_), w in zip(corpus, tokens, strict=True):
+        if i is not None and fold(i, 5) != 1:
+            words.update(w)
+            pairs.update(zip([b"", *w], w))
+    n, v = sum(words.values()), len(words)
+    level = lambda c: lm_scoring.VALUES[int(lm_scoring.quantised(np.asarray([c]))[0])] if c else 0.0
+    mass = Counter()
+    for (a, _), c in pairs.items():
+        if c >= 2:
+            mass[a] += c - lm_scoring.DISCOUNT
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score(docs).collect())
+    want = []
+    for (i, *_), w in zip(corpus, tokens, strict=True):
+        total = 0.0
+        for a, b in zip([b"", *w], w):
+            c = level(words[b" " if a == b"" else a])
+            seen = words[b" " if a == b"" else a]
+            share = min(round(mass[a] / seen * 32), 32) / 32 if mass[a] and seen >= 2 else 0.0
+            pair = min(max((level(pairs[a, b]) if pairs[a, b] >= 2 else 0.0) - lm_scoring.DISCOUNT, 0) / max(c, 1), 1) if c else 0.0
+            rest = 1 - min(share, 1 - 0.5 / 32) if c else 1.0
+            total += math.log10(min(pair + rest * (level(words[b]) + 0.5) / (n + 0.5 * (v + 1)), 1.0))
+        want.append((str(i), len(w), total))
+    close = [abs(a[2] - b[2]) <= 0.02 * abs(b[2]) + 0.5 for a, b in zip(got, sorted(want), strict=True)]
+    assert [a[:2] for a in got] == [b[:2] for b in sorted(want)] and np.mean(close) > 0.95
 
 
 def test_no_training_text(spark, empty):
