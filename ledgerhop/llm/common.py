@@ -202,16 +202,18 @@ class WordTokens:
                 for piece in cut_at_blanks(text or b""):
                     pieces.append(self.keys(piece))
                     of.append(n)
-            needed = set().union(*pieces)
-            missing = needed.difference(self.known)
+            found = [list(map(self.known.get, keys)) for keys in pieces]
+            missing = {k for keys, ids in zip(pieces, found, strict=True) if None in ids for k, x in zip(keys, ids) if x is None}
             if missing:
                 if self.whole > self.sizes[0] or len(self.known) + len(missing) > sum(self.sizes):
-                    self.known, self.whole, missing = {}, 0, needed
+                    # Ids already found stay in their lists.
+                    self.known, self.whole = {}, 0
                 self.learn(list(missing))
-            found = self.known.__getitem__
-            out = [b""] * (min(len(texts), at + together) - at)
-            for n, keys in zip(of, pieces, strict=True):
-                out[n] += b"".join(map(found, keys))
+            known, out = self.known, [b""] * (min(len(texts), at + together) - at)
+            for n, keys, ids in zip(of, pieces, found, strict=True):
+                if missing and None in ids:
+                    ids = [known[k] if x is None else x for k, x in zip(keys, ids, strict=True)]
+                out[n] += b"".join(ids)
             for k in missing:
                 if len(k) > self.longest:
                     self.whole -= k[:1] == b" "

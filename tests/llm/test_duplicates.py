@@ -164,7 +164,7 @@ def test_weights_follow_the_share_of_documents(docs):
     many = near_duplicates.word_weights(docs.union(docs).union(docs).union(docs), rare_share=0.1)
     assert (many.head == small.head).all()
     assert np.allclose(many.weights, small.weights, atol=0.1) and abs(many.rare - small.rare) < 0.1
-    assert near_duplicates.near_duplicates(docs, rare_share=0.1).count() == docs.count()
+    assert near_duplicates.near_duplicate_classes(docs, rare_share=0.1)[0].count() == docs.count()
 
 
 # Lines

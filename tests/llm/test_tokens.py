@@ -114,3 +114,28 @@ def test_complements(counts, gap, want):
     for k, n in counts.items():
         left[k] = n
     assert packing.fill_gap(left, gap) == want
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_equal_their_library(docs, corpus, vocabulary):
+    """Tokenizers that keep white space and case are not cut into words."""
+    path = vocabulary_path(vocabulary)
+    if path.endswith(".model"):
+        import sentencepiece
+
+        read = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    else:
+        library = Tokenizer.from_file(path)
+        read = lambda t: library.encode(t, add_special_tokens=False).ids
+    got = sorted(tuple(r)[:3] for r in token_counts.count_tokens(docs, vocabulary=vocabulary).fillna(-1, "doc_id").collect())
+    assert got == sorted((-1 if i is None else i, len((t or "").encode()), len(read(t or ""))) for i, t, *_ in corpus)
+
+
+def test_long_texts_in_pieces(encoder):
+    text = "Some Words, and 123 more!\n" * 400 + "é" * 50
+    tokens = WordTokens(token_counts.WORD_BPE)
+    import ledgerhop.llm.common as common
+
+    assert b"".join(common.cut_at_blanks(text.encode(), 100)) == text.encode()
+    assert len(list(common.cut_at_blanks(text.encode(), 100))) > 50
+    assert np.frombuffer(next(tokens.ids([text.encode()])), "<u4").tolist() == ids(encoder, text)
