@@ -110,6 +110,23 @@ def _(spark, sf):
     return nodes.join(edges, "case_id")
 
 
+@query(
+    "e4_one_hop_boundaries",
+    f"""WITH {TR}, cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
+b AS (SELECT DISTINCT case_id, root, t AS node FROM cases JOIN tr ON f = root WHERE t <> root AND t IN (SELECT f FROM tr))
+SELECT b.case_id, count(DISTINCT node) AS boundary_nodes, count(*) AS boundary_edges
+FROM b JOIN tr ON f = root AND t = node GROUP BY b.case_id""",
+)
+def _(spark, sf):
+    """Traces of one hop end at nodes that send on: they and the edges to them are boundaries."""
+    g = traced_graph(spark, sf, max_hops=1)
+    nodes = g.nodes.filter("boundary_reason = 'MAX_HOPS_REACHED'").groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("boundary_nodes")
+    )
+    edges = g.edges.groupBy("case_id").agg(F.count_if("is_boundary").alias("boundary_edges"))
+    return nodes.join(edges, "case_id")
+
+
 @query(
     "e5_edge_hops",
     f"WITH RECURSIVE {GRAPH} SELECT case_id, transfer_id, hop FROM ce",
@@ -234,6 +251,22 @@ def _(spark, sf):
     return traced.filter("hop = 1").select("case_id", "node", F.col("first.tx_hash").alias("tx_hash"))
 
 
+@query(
+    "e9_node_budget",
+    f"""WITH {TR}, cases AS (SELECT 'case' || n_nationkey AS case_id, 'a' || n_nationkey AS root FROM nation),
+p AS (SELECT case_id, t AS node, ts, tx_hash, transfer_id,
+  row_number() OVER (PARTITION BY case_id, t ORDER BY ts, tx_hash, transfer_id) AS k FROM cases JOIN tr ON f = root WHERE t <> root),
+x AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, tx_hash, transfer_id, node) AS n FROM p WHERE k = 1)
+SELECT case_id, node, transfer_id FROM x WHERE n < 5""",
+)
+def _(spark, sf):
+    """Five nodes a case, the root among them: the first four it reaches."""
+    cases = tables.nation_cases(spark, sf, max_hops=1)
+    pairs = trace.neighbour_table(base_edges(spark, sf), detail=True)
+    traced = trace.trace_with_budget(cases, pairs, max_nodes=5)
+    return traced.filter("hop = 1").select("case_id", "node", F.col("first.transfer_id").alias("transfer_id"))
+
+
 # Wallets that never send get the transfers of the transactions naming them as sender.
 @query(
     "e10_root_fallback",

@@ -253,6 +253,26 @@ def _(spark, sf):
     return found.select("node", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
+def _digest_of(parts: str, digits: int) -> str:
+    """Twin of one step: digest of the digests that share the first digits of the bucket."""
+    return f"""SELECT case_id, substr(b, 1, {digits}) AS b, sha256(string_agg(concat_ws(':', b, d, CAST(n AS VARCHAR)), '' ORDER BY concat_ws(':', b, d, CAST(n AS VARCHAR)))) AS d,
+  CAST(sum(n) AS BIGINT) AS n FROM {parts} GROUP BY case_id, substr(b, 1, {digits})"""
+
+
+@query(
+    "i1_snapshot_digests",
+    f"""WITH RECURSIVE {GRAPH},
+texts AS (SELECT case_id, '{{"amount":' || CAST(CAST(amount AS DECIMAL(38,18)) AS VARCHAR) || ',"source":"' || f || '","target":"' || t
+  || '","transfer_id":"' || transfer_id || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}}' AS x FROM ce),
+leaves AS (SELECT case_id, substr(sha256(x), 1, 6) AS b, sha256(x) AS d, count(*) AS n FROM texts GROUP BY case_id, sha256(x)),
+six AS ({_digest_of('leaves', 6)}), three AS ({_digest_of('six', 3)}), whole AS ({_digest_of('three', 0)})
+SELECT case_id, d AS digest, n AS records FROM whole""",
+)
+def _(spark, sf):
+    """The digests themselves, built again from the rows by another engine."""
+    return evidence.snapshot(traced_graph(spark, sf).edges.select("case_id", "transfer_id", "source", "target", "amount", "ts"))
+
+
 @query(
     "i1_i2_snapshots",
     f"""WITH RECURSIVE {GRAPH} SELECT case_id, count(*) AS records, CASE WHEN case_id = 'case0' THEN 'TAMPERED' ELSE 'VALID' END AS integrity
