@@ -12,6 +12,8 @@ from ledgerhop.plans.catalog.scores import SCORES
 from ledgerhop.plans.catalog.shared import base_edges, traced_graph
 from ledgerhop.plans.investigate import assess
 from ledgerhop.sources import bench_tables as tables
+from ledgerhop.sources import sinks
+from ledgerhop.staging import stage, stage_path
 
 _POINTS = f"""{GRAPH},
 og AS (SELECT case_id, f AS node, count(*) AS n FROM ce GROUP BY case_id, f),
@@ -253,6 +255,42 @@ def _(spark, sf):
     return found.select("node", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
+@query(
+    "a12_all_case_results",
+    f"""WITH RECURSIVE {SCORES}{_FINDINGS.removeprefix(GRAPH)}
+SELECT 'attributions' AS name, count(*) AS rows_stored, count(DISTINCT case_id) AS cases, count(*) FILTER (WHERE case_id IN ('case3', 'case7')) AS of_two FROM sc
+UNION ALL SELECT 'risk_events', count(*), count(DISTINCT case_id), count(*) FILTER (WHERE case_id IN ('case3', 'case7')) FROM fd
+UNION ALL SELECT 'snapshots', count(DISTINCT case_id), count(DISTINCT case_id), count(DISTINCT case_id) FILTER (WHERE case_id IN ('case3', 'case7')) FROM ce""",
+)
+def _(spark, sf):
+    """Attributions, risk events and snapshots of all cases, written twice into buckets of the case; two
+    cases are read from their buckets."""
+    g = traced_graph(spark, sf)
+    scores = scoring.score_cases(g.cases, g.nodes, g.edges, g.labels)
+    deep = risk.layering(graph.graph_totals(g.nodes, g.edges), g.cases, g.edges, min_depth=2)
+    snapshots = evidence.snapshot(g.edges.select("case_id", "transfer_id", "source", "target", "amount", "ts"))
+    results = {
+        "attributions": scores.select(
+            "case_id", F.col("entity").alias("entity_name"), "rank", F.col("score").alias("confidence_score"),
+            F.col("band").alias("confidence_band"), "terminal_address",
+        ),
+        "risk_events": deep.unionByName(risk.exposure(g.nodes, g.edges)),
+        "snapshots": snapshots.withColumn("created_at", F.lit(None).cast("timestamp")),
+    }
+    root = stage_path(spark, "results-db")
+    sinks.reset_tables(spark, root, list(results))
+    results = {name: stage(rows, name) for name, rows in results.items()}
+    for _round in range(2):
+        sinks.persist_case_results(spark, root, **results)
+    counted = []
+    for name in results:
+        stored = sinks.stored_table(spark, root, name)
+        two = sinks.read_case_results(stored, ["case3", "case7"]).agg(F.count(F.lit(1)).alias("of_two"))
+        whole = stored.agg(F.count(F.lit(1)).alias("rows_stored"), F.count_distinct("case_id").alias("cases"))
+        counted.append(whole.select(F.lit(name).alias("name"), "rows_stored", "cases", two.scalar().alias("of_two")))
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def _digest_of(parts: str, digits: int) -> str:
     """Twin of one step: digest of the digests that share the first digits of the bucket."""
     return f"""SELECT case_id, substr(b, 1, {digits}) AS b, sha256(string_agg(concat_ws(':', b, d, CAST(n AS VARCHAR)), '' ORDER BY concat_ws(':', b, d, CAST(n AS VARCHAR)))) AS d,

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ledgerhop.operators import risk, scoring, sensitivity
 from ledgerhop.plans.catalog.registry import GRAPH, LABELS, TR, query
 from ledgerhop.plans.catalog.shared import base_edges, labels_table, traced_graph
+from ledgerhop.plans.investigate import case_graph
 from ledgerhop.sources import bench_tables as tables
+from ledgerhop.staging import stage
 
 # Score inputs and scores of the nation cases with the given edge hop.
 def _score_sql(hop: str, extra: str = "", weights: str = "") -> str:
@@ -197,6 +199,33 @@ def _(spark, sf):
     return found.select("transfer_id")
 
 
+_SWEPT = SCORES.replace(
+    GRAPH,
+    f"""{GRAPH},
+o AS (SELECT tr.* FROM tr JOIN lb a ON a.node = f AND a.entity_type = 'VASP_DEPOSIT' JOIN lb b ON b.node = t AND b.entity_type = 'VASP_HOT'),
+sw AS (SELECT o.transfer_id FROM o JOIN tr i ON i.t = o.f AND i.f <> i.t AND i.ts <= o.ts GROUP BY o.transfer_id, o.ts
+  HAVING epoch_us(o.ts) - max(epoch_us(i.ts)) < 6 * 3600 * 1000000 :: BIGINT)""",
+).replace("CASE WHEN hot THEN", "CASE WHEN hot OR case_id IN (SELECT ce.case_id FROM ce JOIN sw ON sw.transfer_id = ce.transfer_id) THEN")
+
+
+@query(
+    "g4_scores_with_timed_sweeps",
+    f"WITH RECURSIVE {_SWEPT} SELECT case_id, entity, CAST(p2 AS DOUBLE) AS sweep_points, CAST(score AS DOUBLE) AS score FROM sc",
+)
+def _(spark, sf):
+    """The timed rule marks sweep edges before the cases are traced, so every candidate of a swept case scores."""
+    edges, labels = base_edges(spark, sf), labels_table(spark, sf)
+    swept = stage(
+        scoring.sweep_edges_by_time(edges, labels, risk.last_inflow(edges, ["chain"])).select("transfer_id", "is_sweep"), "sweeps"
+    )
+    marked = edges.join(swept, "transfer_id", "left").withColumn(
+        "edge_type", F.when(F.col("is_sweep"), "SWEEP").otherwise(F.col("edge_type"))
+    )
+    g = case_graph(tables.nation_cases(spark, sf, 3), marked.drop("is_sweep").select(*edges.columns), labels, directions=("outgoing",))
+    scores = scoring.score_cases(g.cases, g.nodes, g.edges, g.labels)
+    return scores.select("case_id", "entity", "sweep_points", "score")
+
+
 @query(
     "g18_fan_out_penalty",
     f"""WITH RECURSIVE {SCORES}, wide AS (SELECT case_id, max(n) AS b FROM (SELECT case_id, f, count(*) AS n FROM ce GROUP BY case_id, f) q GROUP BY case_id),

@@ -45,7 +45,7 @@ def case_bucket(case_id: Column) -> Column:
     return F.pmod(F.xxhash64(case_id), F.lit(CASE_BUCKETS))
 
 
-def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+def stored_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The stored table with its folder columns."""
     schema = StructType(list(TABLES[name][0]))
     for column in partition_columns(name):
@@ -65,9 +65,10 @@ def _append(df: DataFrame, root: str, name: str, most: int) -> None:
     df.repartition(tasks, *by, spread).write.mode("append").partitionBy(*by).parquet(path)
 
 
-def reset_tables(spark: SparkSession, root: str) -> None:
-    """Recreate every table empty."""
-    for name, (schema, _) in TABLES.items():
+def reset_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES)) -> None:
+    """Recreate every table, or some, empty."""
+    for name in names:
+        schema, _ = TABLES[name]
         empty = _with_partitions(spark.createDataFrame([], schema), name)
         by = partition_columns(name)
         writer = empty.write.mode("overwrite")
@@ -75,7 +76,7 @@ def reset_tables(spark: SparkSession, root: str) -> None:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return _stored(spark, root, name).select(*TABLES[name][0].names)
+    return stored_table(spark, root, name).select(*TABLES[name][0].names)
 
 
 def typed_rows(name: str, rows: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def stored_keys(spark: SparkSession, root: str, name: str, batch: DataFrame, row
     ``any_time`` searches all months, for sources that correct times.
     """
     keys = TABLES[name][1]
-    stored = _stored(spark, root, name)
+    stored = stored_table(spark, root, name)
     if name in DATED_TABLES and not any_time:
         stored = stored.filter(touched_partitions(batch))
     elif name in DATED_TABLES:
