@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, filled, key_chain, trace_direction
-from ledgerhop.operators.ordering import first_rows, row_numbers, row_numbers_upto
+from ledgerhop.operators.ordering import first_of_repeats, first_rows, row_numbers, row_numbers_upto
 from ledgerhop.staging import stage_counted
 
 EDGE_ORDER = ["ts", "tx_hash", "transfer_id"]
@@ -42,8 +42,8 @@ def edge_table(transfers: DataFrame, fold_all: bool = False, native: str = "ETH"
 
 
 def distinct_transfers(transfers: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row per transfer id; copies of any number combine map-side."""
-    return first_rows(transfers, keys, order)
+    """Keep the first row per transfer id; ids are counted alone, only repeats move as whole rows."""
+    return first_of_repeats(transfers, keys, order)
 
 
 def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -168,11 +168,12 @@ def edge_hop(far_hop: Column, far_is_root: Column) -> Column:
 def annotate_edges(edges: DataFrame, traced: DataFrame, cases: DataFrame, constant: bool = False) -> DataFrame:
     """Add ``hop`` and ``is_boundary`` to case edges.
 
-    The far end is the target, or the source in incoming cases.  ``constant`` gives
+    The far end is the target, or the source in incoming cases.  Edges that bring ``_near_cut`` along (whether
+    the near end is a boundary, as traced edges do) are joined with their far ends only.  ``constant`` gives
     every edge hop 1, which is what scoring without a hop table sees.
     """
     if constant:
-        return edges.withColumn("hop", F.lit(1)).withColumn("is_boundary", F.lit(False))
+        return edges.drop("_near_cut").withColumn("hop", F.lit(1)).withColumn("is_boundary", F.lit(False))
     about = cases.select("case_id", "root", trace_direction(F.col("direction")).alias("_way"))
     incoming = F.col("_way") == "incoming"
     far = F.when(incoming, F.col("source")).otherwise(F.col("target"))
@@ -184,19 +185,17 @@ def annotate_edges(edges: DataFrame, traced: DataFrame, cases: DataFrame, consta
         F.col("boundary_reason").isNotNull().alias("_edge_of_trace"),
     )
     far_hops = hops.select("case_id", F.col("node").alias("_far"), F.col("hop").alias("_far_hop"), F.col("_edge_of_trace").alias("_far_cut"))
-    near_hops = hops.select("case_id", F.col("node").alias("_near"), F.col("_edge_of_trace").alias("_near_cut"))
+    placed = edges.join(about, "case_id").withColumn("_far", far).join(far_hops, ["case_id", "_far"], "left")
+    if "_near_cut" not in edges.columns:
+        near_hops = hops.select("case_id", F.col("node").alias("_near"), F.col("_edge_of_trace").alias("_near_cut"))
+        placed = placed.withColumn("_near", near).join(near_hops, ["case_id", "_near"], "left").drop("_near")
     return (
-        edges.join(about, "case_id")
-        .withColumn("_far", far)
-        .withColumn("_near", near)
-        .join(far_hops, ["case_id", "_far"], "left")
-        .join(near_hops, ["case_id", "_near"], "left")
-        .withColumn("hop", edge_hop(F.col("_far_hop"), F.col("_far") == F.col("root")))
+        placed.withColumn("hop", edge_hop(F.col("_far_hop"), F.col("_far") == F.col("root")))
         .withColumn(
             "is_boundary",
             F.coalesce("_far_cut", F.lit(False)) | F.coalesce("_near_cut", F.lit(False)),
         )
-        .drop("_far", "_near", "_far_hop", "_far_cut", "_near_cut", "_way", "root")
+        .drop("_far", "_far_hop", "_far_cut", "_near_cut", "_way", "root")
     )
 
 

@@ -243,9 +243,12 @@ def trace_edges(
     ``any`` looks at both ends and drops the second copy.  Naming the directions in use
     saves the reads for the others; ``neighbours`` knows the busy nodes of the edges.
     """
-    expanded = traced.filter(F.col("hop") < F.col("max_hops")).select(
-        "case_id", "chain", "direction", "node"
-    )
+    columns = ["case_id", "chain", "direction", "node"]
+    if "boundary_reason" in traced.columns and "any" not in directions:
+        # The near end is the one that is joined here, so what annotate_edges wants of it comes along.
+        traced = traced.withColumn("_near_cut", F.col("boundary_reason").isNotNull())
+        columns.append("_near_cut")
+    expanded = traced.filter(F.col("hop") < F.col("max_hops")).select(*columns)
     busy = None
     if neighbours.busy is not None:
         busy = neighbours.busy.select("chain", "node", "_hot").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, key_chain, trace_direction
 from ledgerhop.operators import entities, graph, paths, risk, scoring, trace
-from ledgerhop.operators.ordering import first_rows, top_rows
+from ledgerhop.operators.ordering import top_rows
 from ledgerhop.operators.trace import Neighbours
 from ledgerhop.staging import stage
 
@@ -54,17 +54,17 @@ def case_graph(
     ways = _directions(cases, directions)
     around = trace.neighbour_table(edges, ways, detail=True)
     traced = trace.trace_with_budget(cases, around, max_transactions, max_nodes, with_paths)
-    # Under a budget only edges between collected nodes belong to the case.
-    found = trace.trace_edges(edges, traced, around, ways)
-    if max_transactions is not None or max_nodes is not None:
-        for end in ("source", "target"):
-            kept = traced.select("case_id", F.col("node").alias(end))
-            found = found.join(kept, ["case_id", end], "left_semi")
     hit = None
     if max_transactions is not None:
         spent = traced.groupBy("case_id").agg(F.count_distinct("first.tx_hash").alias("n"))
         hit = spent.filter(F.col("n") >= max_transactions).select("case_id")
     bounded = stage(trace.with_boundaries(traced, around, hit), "traced")
+    found = trace.trace_edges(edges, bounded, around, ways)
+    # Under a budget only edges between collected nodes belong to the case.
+    if max_transactions is not None or max_nodes is not None:
+        for end in ("source", "target"):
+            kept = bounded.select("case_id", F.col("node").alias(end))
+            found = found.join(kept, ["case_id", end], "left_semi")
     annotated = graph.annotate_edges(found, bounded, cases, constant_hops)
     if max_edges is not None:
         order = ["hop", *graph.EDGE_ORDER]
@@ -110,7 +110,8 @@ def investigate(
     ``transactions(tx_hash, chain, sender, recipient)`` gives roots without an edge of their own
     the transfers of the transactions that name them.
     """
-    once = first_rows(transfers.withColumn("chain", key_chain(F.col("chain"))), ["chain", "transfer_id"], ["ts", "tx_hash"])
+    keyed = transfers.withColumn("chain", key_chain(F.col("chain")))
+    once = graph.distinct_transfers(keyed, ["chain", "transfer_id"], ["ts", "tx_hash"])
     edges = stage(graph.edge_table(once), "edges")
     wanted = roots(cases)
     if transactions is not None:
