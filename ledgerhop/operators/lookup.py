@@ -156,12 +156,14 @@ class OrderedTable:
         )
 
 
-def ordered_table(df: DataFrame, order: Sequence[Column | str] | None = None) -> OrderedTable:
-    """Writes ``df`` once in ranges of its page order; ``order`` should be unique, so that pages repeat."""
+def ordered_table(df: DataFrame, order: Sequence[Column | str] | None = None, parts: int | None = None) -> OrderedTable:
+    """Writes ``df`` once in ranges of its page order (``parts`` of them, or as many as its size asks for);
+    ``order`` should be unique, so that pages repeat."""
     spark = df.sparkSession
     keys = list(order or page_order())
     path = stage_path(spark, "ordered")
-    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    spread = df.repartitionByRange(*keys) if parts is None else df.repartitionByRange(parts, *keys)
+    ranged = spread.withColumn("_part", F.spark_partition_id())
     ranged.write.partitionBy("_part").parquet(path)
     rows = spark.read.schema(ranged.schema).parquet(path)
     counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
