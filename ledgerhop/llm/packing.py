@@ -3,9 +3,9 @@
 Only the number of pieces of each length matters for a plan, so the pieces are counted by length
 (at most ``capacity`` rows, whatever the input), a plan over these counts is made once, and each
 piece finds its place by its rank among the pieces of its length. Per sequence the plan takes the
-longest length left and looks for lengths that fill the gap exactly: one, two or three of them, as
-far as counts allow; if none does, the longest that fits goes in and the search goes on. A pattern
-is used as often as the counts allow, so there are at most a few patterns per length.
+longest length left and asks an index of the sums of single lengths, pairs and triples, with their counts,
+for what fills the gap exactly; if nothing does, the longest that fits goes in and the search goes on. A
+pattern is used as often as the counts allow, so there are at most a few patterns per length.
 
 Defined cases: a null text is empty and gives one piece of the end token; repeated rows are packed
 as separate pieces; an empty table gives no rows. Other columns are ignored.
@@ -14,6 +14,7 @@ as separate pieces; an empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,73 +59,104 @@ def cut_pieces(docs: DataFrame, vocabulary: str = WORD_BPE, capacity: int = CAPA
     return map_batches(docs.select("doc_id", as_bytes()), cut, PIECES.replace("bigint", kind, 1))
 
 
-def fill_gap(left: np.ndarray, gap: int) -> list[int]:
-    """Lengths filling ``gap`` exactly: one, else two, else three (longest first); else none.
+class SumIndex:
+    """Which one, two or three lengths of the pieces left add up to a sum.
 
-    ``left`` is the index: counts of the pieces left, by length.
+    ``left`` holds the counts of pieces by length. Counts only fall, so what has run out never comes back: for
+    every sum that was asked for, a cursor stands at the longest first part that may still fill it and never
+    goes up again, and lengths without pieces are skipped by links. ``used`` are pieces that a pattern in the
+    making holds; they are spoken for, not gone, so no cursor moves because of them.
     """
-    if gap < len(left) and left[gap]:
-        return [gap]
-    pair = fill_pair(left, gap)
-    if pair:
-        return pair
-    top = min(gap - 2, len(left) - 1)
-    for a in np.flatnonzero(left[1 : top + 1])[::-1] + 1:
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        pair = fill_pair(left, gap - a, a)
-        left[a] += 1
-        if pair:
-            return [int(a), *pair]
-    return []
-
-
-def fill_pair(left: np.ndarray, gap: int, most: int | None = None) -> list[int]:
-    """Two lengths (none above ``most``) of sum ``gap``, the longest first."""
-    top = min(gap - 1, len(left) - 1 if most is None else int(most))
-    low = max(1, gap - top)
-    if low > gap // 2 or gap < 2:
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        self.links = list(range(len(left)))
+        self.pairs: dict[int, int] = {}
+        self.triples: dict[int, int] = {}
+
+    def longest(self, most: int) -> int:
+        """The longest length with pieces left, at most ``most``; 0 if there is none."""
+        at = min(most, len(self.left) - 1)
+        path = []
+        while at > 0 and not self.left[at]:
+            path.append(at)
+            at = self.links[at] if self.links[at] < at else at - 1
+        for x in path:
+            self.links[x] = at
+        return max(at, 0)
+
+    def fits(self, parts: list[int], used: Counter) -> bool:
+        need = Counter(parts)
+        return all(self.left[x] - used[x] >= n for x, n in need.items())
+
+    def pair(self, total: int, used: Counter, most: int) -> list[int]:
+        """Two lengths, none above ``most``, the longest first; none if no two are left."""
+        at = self.longest(self.pairs.get(total, total - 1))
+        while at and 2 * at >= total and not self.fits([at, total - at], Counter()):
+            at = self.longest(at - 1)
+        self.pairs[total] = at
+        at = self.longest(min(at, most))
+        while at and 2 * at >= total:
+            if self.fits([at, total - at], used):
+                return [at, total - at]
+            at = self.longest(at - 1)
         return []
-    short = np.arange(low, gap // 2 + 1)
-    ok = (left[short] > 0) & (left[gap - short] > 0)
-    if gap % 2 == 0 and left[gap // 2] < 2:
-        ok &= short * 2 != gap
-    at = int(ok.argmax()) if len(ok) else 0
-    return [int(gap - short[at]), int(short[at])] if len(ok) and ok[at] else []
+
+    def triple(self, total: int, used: Counter) -> list[int]:
+        at = self.longest(self.triples.get(total, total - 2))
+        dead = True
+        while at and 3 * at >= total:
+            found = self.pair(total - at, used + Counter([at]), at) if self.fits([at], used) else []
+            if found:
+                return [at, *found]
+            dead = dead and not (self.fits([at], Counter()) and self.pair(total - at, Counter([at]), at))
+            at = self.longest(at - 1)
+            if dead:
+                self.triples[total] = at
+        return []
+
+    def fill(self, gap: int, used: Counter) -> list[int]:
+        """Lengths filling ``gap`` exactly: one, else two, else three; else none."""
+        if gap < len(self.left) and self.fits([gap], used):
+            return [gap]
+        return self.pair(gap, used, len(self.left) - 1) or self.triple(gap, used)
+
+    def best(self, gap: int, used: Counter) -> list[int]:
+        """The longest piece that goes into ``gap``."""
+        at = self.longest(gap)
+        while at and not self.fits([at], used):
+            at = self.longest(at - 1)
+        return [at] if at else []
+
+
+def fill_gap(left: np.ndarray, gap: int) -> list[int]:
+    """What fills a gap exactly with pieces of these counts."""
+    return SumIndex([int(n) for n in left]).fill(gap, Counter())
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Slots (length, from_rank, to_rank, uses, first_sequence, first_offset): the pieces of that
     length with ranks in [from, to) go to sequences first_sequence + (rank - from) // uses, each
     taking ``uses`` of them one after another from ``first_offset``."""
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] = n
-    rank = np.zeros(capacity + 1, np.int64)
+    index, rank = SumIndex(left), [0] * (capacity + 1)
     slots, sequence = [], 0
     for longest in range(capacity, 0, -1):
         while left[longest]:
-            pattern, gap = [longest], capacity - longest
-            left[longest] -= 1
+            used, gap = Counter([longest]), capacity - longest
             while gap:
-                more = fill_gap(left, gap)
+                more = index.fill(gap, used) or index.best(gap, used)
                 if not more:
-                    fits = np.flatnonzero(left[1 : gap + 1])
-                    if not len(fits):
-                        break
-                    more = [int(fits[-1]) + 1]
-                for length in more:
-                    left[length] -= 1
-                    gap -= length
-                pattern += more
-            lengths, uses = np.unique(pattern, return_counts=True)
-            left[lengths] += uses
-            times = int((left[lengths] // uses).min())
-            left[lengths] -= times * uses
+                    break
+                used.update(more)
+                gap -= sum(more)
+            times = min(left[length] // n for length, n in used.items())
             offset = 0
-            for length, n in zip(lengths.tolist(), uses.tolist(), strict=True):
-                first = int(rank[length])
+            for length, n in sorted(used.items()):
+                left[length] -= times * n
+                first = rank[length]
                 slots.append((length, first, first + times * n, n, sequence, offset))
                 rank[length] = first + times * n
                 offset += length * n
