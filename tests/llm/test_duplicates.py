@@ -338,6 +338,24 @@ def test_passages_of_odd_tables(clashing, empty):
     assert {r.doc_id for r in passages.find_passages(clashing).collect()} >= {105}
 
 
+@pytest.mark.parametrize(("size", "share"), [(50, 0.05), (50, 0.08), (60, 0.1), (100, 0.15), (200, 0.15)])
+def test_fuzzy_passages_are_found(spark, size, share):
+    """Recall against what the similarity asks for: passages in random text with randomly replaced words."""
+    rng = random.Random(size)
+    word = lambda: f"v{rng.randrange(20000)}"
+    rows, planted = [], 0
+    for k in range(60):
+        own = [word() for _ in range(size)]
+        copy = [word() if rng.random() < share else w for w in own]
+        same = sum(a == b for a, b in zip(own, copy))
+        planted += same >= 0.82 * size
+        for i, passage in ((2 * k, own), (2 * k + 1, copy if same >= 0.82 * size else [])):
+            rows.append((i, " ".join([*(word() for _ in range(120)), *passage, *(word() for _ in range(120))])))
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=min(50, int(0.9 * size))).collect()
+    assert all(r.source_id == r.doc_id - 1 for r in found)
+    assert len({r.doc_id for r in found}) >= 0.9 * planted > 30
+
+
 # Pipeline
 
 
