@@ -19,6 +19,8 @@ from ledgerhop.staging import stage, stage_counted
 
 # Groups above this many rows are never put into one task.
 HOT_ROWS = 1_000_000
+# Repeated keys above this many are no short list: joins with it would move all rows, several times.
+LISTED = 500_000
 
 
 def _name(column: str | Column) -> Column:
@@ -139,9 +141,11 @@ def top_rows(
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key by ``order``: an aggregate, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
+    if rest and set(rest) <= set(order):  # the order is the whole row, so it moves once
+        least = F.min(F.struct(*dict.fromkeys(c for c in order if c in rest)))
+    else:
+        least = F.min_by(F.struct(*rest), F.struct(*order))
+    picked = df.groupBy(*keys).agg(least.alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
@@ -149,13 +153,22 @@ def first_of_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     """As :func:`first_rows` where few keys repeat.
 
     Keys are counted alone (of ``only``, a written table of them, if given); only rows whose key repeats are
-    then grouped whole, all others stay where they are.  NULL is a key like any other.
+    then grouped whole, all others stay where they are.  Where more than ``LISTED`` keys repeat all rows are
+    grouped, which moves them once instead of once for each join with the list.  NULL is a key like any other.
     """
     counts = (df if only is None else only).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    repeated, n = stage_counted(counts.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
+    repeated, n = stage_counted(counts.select(*keys), "repeated-keys")
+    return first_of_listed(df, keys, order, repeated, n)
+
+
+def first_of_listed(df: DataFrame, keys: Sequence[str], order: Sequence[str], repeated: DataFrame, n: int) -> DataFrame:
+    """The first row per key, where ``repeated`` lists the ``n`` values of some or all of the keys that may repeat."""
     if not n:
         return df
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    if n > LISTED:
+        return first_rows(df, keys, order)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in repeated.columns])
+    repeated = repeated.select(*[F.col(k).alias(f"_{k}") for k in repeated.columns])
     alone = df.join(repeated, same, "left_anti")
     return alone.unionByName(first_rows(df.join(repeated, same, "left_semi"), keys, order))
 

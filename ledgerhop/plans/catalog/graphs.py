@@ -333,7 +333,8 @@ def _(spark, sf):
   CAST(arg_min(amount, (l_shipdate, l_partkey, t, amount)) AS DOUBLE) AS amount FROM li GROUP BY transfer_id""",
 )
 def _(spark, sf):
-    li = tables.order_transfers(spark, sf)
+    columns = ["transfer_id", "ts", "part_key", "to_address", "amount"]
+    li = tables.order_transfers(spark, sf).select(*columns)
     once = graph.distinct_transfers(
         li.unionByName(li), ["transfer_id"], ["ts", "part_key", "to_address", "amount"]
     )
