@@ -5,12 +5,14 @@ Order of edges everywhere: (``ts``, ``tx_hash``, ``transfer_id``), NULL times fi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import address_key, filled, key_chain, trace_direction
-from ledgerhop.operators.ordering import first_of_repeats, first_rows, row_numbers, row_numbers_upto
-from ledgerhop.staging import stage_counted
+from ledgerhop.operators.ordering import HOT_ROWS, LISTED, first_of_repeats, row_numbers, row_numbers_upto
+from ledgerhop.staging import stage, stage_counted
 
 EDGE_ORDER = ["ts", "tx_hash", "transfer_id"]
 
@@ -50,22 +52,27 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
     """Add ``edge_key``: the transfer id, for repeats ``{tx}_{index}``, then a running number.
 
     ``order`` must be unique per ``scope`` and decides which copy keeps the plain id.
-    Ids seen once, usually nearly all, only meet the list of repeated ids; the repeats are
-    numbered by a window, or over range partitions when one id has very many copies.
+    Ids seen once, usually nearly all, only meet the list of repeated ids; where that list is
+    long all edges are numbered in one shuffle.  Numbering is a window, or goes over range
+    partitions when one id has very many copies.  Numbered and renamed edges are written once.
     """
     by_position = F.concat_ws("_", "tx_hash", "transfer_index")
     key = [*scope, "_key"]
     plain = edges.withColumn("_key", F.coalesce(filled(F.col("transfer_id")), by_position))
-    counts = plain.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])  # NULL is no scope, nothing repeats in it
+    counts = plain.filter(whole).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     repeated, largest = stage_counted(counts, "repeats", F.max("_n"))
-    alone = plain.join(repeated, key, "left_anti")
-    copies = row_numbers_upto(
-        plain.join(repeated, key, "left_semi"), key, order, "_copy", largest
+    if not largest:
+        return plain.withColumn("edge_key", F.col("_key")).drop("_key")
+    if repeated.count() > LISTED:
+        alone, several = plain.filter(~whole), plain.filter(whole)
+    else:
+        alone, several = plain.join(repeated, key, "left_anti"), plain.join(repeated, key, "left_semi")
+    copies, moved = stage_counted(
+        row_numbers_upto(several, key, order, "_copy", largest), "copies", F.count_if(F.col("_copy") > 1)
     )
     first = copies.filter("_copy = 1").drop("_copy")
-    later, moved = stage_counted(
-        copies.filter("_copy > 1").withColumn("_key", by_position), "copies"
-    )
+    later = copies.filter("_copy > 1").withColumn("_key", by_position)
     # A position may itself be the plain id of another edge; then numbering starts at 2.
     held = (
         alone.select(*key)
@@ -73,6 +80,8 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
         .join(later.select(*key).distinct(), key, "left_semi")
         .withColumn("_held", F.lit(1))
     )
+    if moved > HOT_ROWS:
+        moved = later.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     again = row_numbers_upto(later, key, ["_copy", *order], "_again", moved)
     numbered = again.join(held, key, "left")
     number = F.col("_again") + F.coalesce("_held", F.lit(0))
@@ -81,21 +90,25 @@ def unique_edge_keys(edges: DataFrame, scope: list[str], order: list[str]) -> Da
         F.when(number == 1, F.col("_key")).otherwise(F.concat_ws("_", "_key", number.cast("string"))),
     )
     kept = alone.unionByName(first).withColumn("edge_key", F.col("_key"))
-    return kept.unionByName(
-        _apart(named.drop("_copy", "_again", "_held"), plain.select(*key), scope, order)
-    ).drop("_key")
+    named = stage(named.drop("_copy", "_again", "_held"), "named")
+    return kept.unionByName(_apart(named, plain.select(*key), scope, order)).drop("_key")
 
 
 def _apart(named: DataFrame, plain: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """Made-up keys that some edge has as its own id, or that were made twice, get a digest of
     their order columns behind them."""
-    made = named.select(*scope, "edge_key")
-    own = plain.withColumnRenamed("_key", "edge_key").join(made.distinct(), [*scope, "edge_key"], "left_semi")
-    numbered = named.filter(F.col("edge_key") != F.col("_key")).select(*scope, "edge_key")
-    twice = made.groupBy(*scope, "edge_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    clash = (
-        own.join(numbered.distinct(), [*scope, "edge_key"], "left_semi").unionByName(twice).distinct()
-    ).withColumn("_clash", F.lit(True))
+    zero, one = F.lit(0), F.lit(1)
+    numbered = (F.col("edge_key") != F.col("_key")).cast("int")
+    made = named.select(*scope, "edge_key", zero.alias("own"), one.alias("made"), numbered.alias("numbered"))
+    own = plain.select(*scope, F.col("_key").alias("edge_key"), one.alias("own"), zero.alias("made"), zero.alias("numbered"))
+    seen = made.unionByName(own).groupBy(*scope, "edge_key").agg(
+        F.max("own").alias("own"), F.sum("made").alias("made"), F.max("numbered").alias("numbered")
+    )
+    clash, found = stage_counted(
+        seen.filter("made > 1 or own = 1 and numbered = 1").select(*scope, "edge_key", F.lit(True).alias("_clash")), "clash"
+    )
+    if not found:
+        return named
     tail = F.hex(F.xxhash64(*order))
     return named.join(clash, [*scope, "edge_key"], "left").withColumn(
         "edge_key", F.when(F.col("_clash"), F.concat_ws("~", "edge_key", tail)).otherwise(F.col("edge_key"))
