@@ -24,7 +24,7 @@ from ledgerhop.schema import (
 )
 from ledgerhop.sources import bench_tables as tables
 from ledgerhop.sources import files, sinks
-from ledgerhop.staging import stage_path
+from ledgerhop.staging import stage, stage_path
 
 
 def _json_lines(df, label):
@@ -199,7 +199,8 @@ SELECT count(DISTINCT id) AS rows_stored, count(DISTINCT id) AS ids FROM x""",
 def _(spark, sf):
     root = stage_path(spark, "db")
     sinks.reset_tables(spark, root)
-    rows = tables.order_transfers(spark, sf).withColumns(
+    # The joined input is read by every insertion, so it is written once.
+    rows = stage(tables.order_transfers(spark, sf), "order-transfers").withColumns(
         {c: _none() for c in ("asset_type", "token_contract", "raw_amount", "transfer_type", "evidence_ref")}
     ).withColumn("token_decimals", F.lit(None).cast("int"))
     sinks.insert_absent(spark, root, "transfers", rows.filter("transfer_index <= 4"))

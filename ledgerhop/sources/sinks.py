@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructType
 
-from ledgerhop.operators.ordering import first_of_repeats, first_rows
+from ledgerhop.operators.ordering import first_of_listed, first_rows
 from ledgerhop.schema import CASE_TABLES, DATED_TABLES, TABLES
 from ledgerhop.staging import stage_counted
 
@@ -17,6 +18,8 @@ from ledgerhop.staging import stage_counted
 MOST_PARTITIONS = 2_000
 #: Bits of a batch's key filter, at most (8 MB).
 MOST_BITS = 1 << 26
+#: Stored rows for one of the batch, at least, for which a key filter is made.
+FILTER_SHARE = 4
 #: Rows of one folder that a task writes, about.
 FILE_ROWS = 5_000_000
 #: Folders of a table of case results.
@@ -31,14 +34,18 @@ def partition_columns(name: str) -> list[str]:
     return ["p_chain", "p_month"] if name in DATED_TABLES else ["p_bucket"] if name in CASE_TABLES else []
 
 
-def _with_partitions(df: DataFrame, name: str) -> DataFrame:
-    """Rows with the folders they belong to; a missing chain or time has a folder of its own."""
+def _folders(name: str) -> dict[str, Column]:
+    """Folders that a row belongs to; a missing chain or time has a folder of its own."""
     if name in DATED_TABLES:
         month = F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit("none"))
-        return df.withColumn("p_chain", F.coalesce(F.nullif("chain", F.lit("")), F.lit("none"))).withColumn("p_month", month)
+        return {"p_chain": F.coalesce(F.nullif("chain", F.lit("")), F.lit("none")), "p_month": month}
     if name in CASE_TABLES:
-        return df.withColumn("p_bucket", case_bucket(F.col("case_id")).cast("string"))
-    return df
+        return {"p_bucket": case_bucket(F.col("case_id")).cast("string")}
+    return {}
+
+
+def _with_partitions(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumns(_folders(name)) if _folders(name) else df
 
 
 def case_bucket(case_id: Column) -> Column:
@@ -62,7 +69,8 @@ def _append(df: DataFrame, root: str, name: str, most: int) -> None:
         return
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.pmod(F.xxhash64(*TABLES[name][1]), F.lit(1 + most // FILE_ROWS))
-    df.repartition(tasks, *by, spread).write.mode("append").partitionBy(*by).parquet(path)
+    dealt = _with_partitions(df.repartition(tasks, *_folders(name).values(), spread), name)  # folder names don't move
+    dealt.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def reset_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES)) -> None:
@@ -139,23 +147,43 @@ def stored_keys(spark: SparkSession, root: str, name: str, batch: DataFrame, row
     elif name in DATED_TABLES:
         chains = [r["p_chain"] for r in batch.select("p_chain").distinct().collect()]
         stored = stored.filter(F.col("p_chain").isin(chains))
-    return stored.filter(key_filter(batch, keys, rows)).select(*keys)
+    # The filter costs a shuffle of the batch's keys, so it is for a batch far smaller than what is stored.
+    if rows * FILTER_SHARE <= stored.count():
+        stored = stored.filter(key_filter(batch, keys, rows))
+    return stored.select(*keys)
 
 
 def insert_absent(spark: SparkSession, root: str, name: str, incoming: DataFrame, any_time: bool = False) -> None:
     """Append rows with new keys only, the first of each key; running it twice adds nothing.
 
     Keys and folders of the incoming rows are written once and make the key filter, the folders to read and the
-    list of repeats; the rows themselves are read again, so ``incoming`` must not change in between.
+    list of new keys, which says whether any row has to move: none if nothing is new, to their folders only if each
+    key is new and there once.  The rows themselves are read again, so ``incoming`` must not change in between.
     """
     keys = TABLES[name][1]
-    rows = _with_partitions(typed_rows(name, incoming), name)
+    rows = typed_rows(name, incoming)
     narrow = list(dict.fromkeys([*keys, *partition_columns(name)]))
-    given, n = stage_counted(rows.select(*narrow), "incoming-keys")
+    given, n = stage_counted(_with_partitions(rows, name).select(*narrow), "incoming-keys")
+    if not n:
+        return
+    stored = stored_keys(spark, root, name, given, n, any_time)
+    counts = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(stored, keys, "left_anti")
+    new, most = stage_counted(counts, "new-keys", F.sum("_n"))
+    if most:
+        _append(_new_rows(rows, keys, new, whole=most == n), root, name, most)
+
+
+def _new_rows(rows: DataFrame, keys: list[str], new: DataFrame, whole: bool) -> DataFrame:
+    """The first row of every key in ``new``, which are those of all rows if ``whole``."""
     order = [c for c in rows.columns if c not in keys] or keys
-    if n:
-        batch = first_of_repeats(rows, keys, order, given)
-        _append(batch.join(stored_keys(spark, root, name, given, n, any_time), keys, "left_anti"), root, name, n)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    repeats, loose = new.agg(F.count_if(F.col("_n") > 1), F.count_if(missing)).first()
+    if whole:
+        return first_of_listed(rows, keys, order, new.filter("_n > 1").select(*keys), repeats)
+    found = rows.join(new.select(*keys), keys, "left_semi")
+    found = first_rows(found, keys, order) if repeats else found
+    # A missing key is equal to none that is stored, so its first row is new every time.
+    return found.unionByName(first_rows(rows.filter(missing), keys, order)) if loose else found
 
 
 def write_case_results(df: DataFrame, path: str, files_per_bucket: int = 1) -> None:
