@@ -104,7 +104,9 @@ def transactions_from_records(records: DataFrame) -> DataFrame:
     )
     has_ends = F.col("from_address").isNotNull() | F.col("to_address").isNotNull()
     inner = F.coalesce(F.transform("transfers", nested), F.array())
-    transfers = F.when((F.size(inner) == 0) & has_ends, F.array(single)).otherwise(inner)
+    # Of the given array, not of ``inner``: that would rewrite every transfer a second time.
+    alone = F.col("transfers").isNull() | (F.size("transfers") == 0)
+    transfers = F.when(alone & has_ends, F.array(single)).otherwise(inner)
     keep = [c for c in ("file_name", "case_id") if c in records.columns]
     hashed = [c for c in records.columns if c not in keep]
     return records.filter(tx.isNotNull()).select(

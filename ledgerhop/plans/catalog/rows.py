@@ -442,7 +442,8 @@ def _records_typed(spark, sf):
 
 
 def _typed(df, schema):
-    return df.select(F.from_json(F.to_json(F.struct("*")), schema).alias("r")).select("r.*")
+    """Rows through JSON into a schema; out of a generator, as filters on them would be pushed below and parse once more."""
+    return df.select(F.inline_outer(F.array(F.from_json(F.to_json(F.struct("*")), schema))))
 
 
 # --- chain normalisers ---

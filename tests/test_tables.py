@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerhop.operators import entities, evidence, explorer, lookup, normalize
-from ledgerhop.schema import RAW_ACCOUNT, RAW_TRON, RAW_UTXO, TRANSFERS
+from ledgerhop.plans.catalog.rows import _typed
+from ledgerhop.schema import RAW_ACCOUNT, RAW_RECORD, RAW_TRON, RAW_UTXO, TRANSFERS
 from ledgerhop.sources import files, sinks
 from ledgerhop.staging import stage_root
 from ledgerhop.streaming import transfers as streaming
@@ -211,3 +212,47 @@ def test_streaming_ingest_and_bursts(spark, tmp_path):
     streaming.write_available(streaming.burst_alerts(stream), alerts, str(tmp_path / "c2")).awaitTermination()
     found = spark.read.parquet(alerts).collect()
     assert {r["source"] for r in found} == {"hot"} and max(r["transfers"] for r in found) == 8
+
+
+def test_typed_records_are_parsed_once(spark):
+    """A filter on parsed columns must not parse them again."""
+    df = spark.createDataFrame([("x1", "ETH"), (None, "ETH")], "tx_id string, chain string")
+    typed = _typed(df, RAW_RECORD).filter("tx_id is not null and chain = 'ETH'")
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["tx_id"] for r in typed.collect()] == ["x1"]
+
+
+def test_records_without_nested_transfers(spark):
+    """No list and an empty one give the record's own transfer, or none where both ends are missing."""
+    inner = "array<struct<from_address string, to_address string, amount string>>"
+    made = "tx_id string, from_address string, amount string, transfers " + inner
+    rows = [("a", "f", "1.5", None), ("b", "f", "2.5", []), ("c", None, "3.5", []), ("d", "f", "4.5", [("x", "y", "7.5")])]
+    found = normalize.transactions_from_records(_typed(spark.createDataFrame(rows, made), RAW_RECORD))
+    assert {r["tx_hash"]: [t["amount"] for t in r["transfers"]] for r in found.collect()} == {
+        "a": [Decimal("1.5")], "b": [Decimal("2.5")], "c": [], "d": [Decimal("7.5")]}
+
+
+def test_nothing_new_moves_nothing(spark, tmp_path, monkeypatch):
+    """Rows with new keys only, the first of each across months; a batch without new keys is not moved at all."""
+    root, appended, append = str(tmp_path / "db"), [], sinks._append
+    monkeypatch.setattr(sinks, "_append", lambda df, *a: (appended.append(df), append(df, *a)))
+    sinks.reset_tables(spark, root)
+    made = "chain string, transfer_id string, tx_hash string, ts timestamp"
+    rows = spark.createDataFrame([(c, f"t{n}", x, None) for n in range(6) for c, x in (("eth", "b"), ("eth", "a"), ("btc", "c"))], made)
+    rows = rows.withColumn("ts", F.expr("if(tx_hash = 'a', timestamp'2024-03-01', if(tx_hash = 'b', timestamp'2024-01-01', null))"))
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TRANSFERS])
+
+    def stored():
+        return sorted(((r["chain"], r["transfer_id"], r["tx_hash"]) for r in sinks.read_table(spark, root, "transfers").collect()), key=str)
+
+    sinks.insert_absent(spark, root, "transfers", full.filter("transfer_id < 't3' and tx_hash <> 'a'"))
+    before = stored()
+    assert before == sorted([("eth", f"t{n}", "b") for n in range(3)] + [("btc", f"t{n}", "c") for n in range(3)], key=str)
+    sinks.insert_absent(spark, root, "transfers", full)
+    assert stored() == sorted(before + [(c, f"t{n}", x) for n in range(3, 6) for c, x in (("eth", "a"), ("btc", "c"))], key=str)
+    sinks.insert_absent(spark, root, "transfers", full)
+    assert len(appended) == 2 and len(stored()) == 12
+    loose = full.filter("transfer_id = 't0' and tx_hash = 'c'").withColumn("transfer_id", F.lit(None).cast("string"))
+    for n in (13, 14):  # a missing id is equal to none
+        sinks.insert_absent(spark, root, "transfers", full.unionByName(loose).unionByName(loose))
+        assert len(stored()) == n
