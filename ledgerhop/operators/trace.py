@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ledgerhop.functions.text import trace_direction
 from ledgerhop.operators.graph import EDGE_ORDER
-from ledgerhop.operators.ordering import first_rows, top_rows
+from ledgerhop.operators.ordering import LISTED, first_of_listed, top_rows
 from ledgerhop.operators.skew import HOT_ROWS, SALT, SaltedTable, salt_hot_keys, salt_known_keys
 from ledgerhop.staging import stage, stage_bucketed, stage_counted
 
 CASE_COLUMNS = ["case_id", "chain", "direction", "max_hops"]
+#: Nodes of a round above which the pairs they meet are looked at first.
+WIDE_ROUND = 200_000
 _EDGE = "struct<ts:timestamp,tx_hash:string,transfer_id:string>"
 
 
@@ -261,10 +263,22 @@ def trace_edges(
             )
             probe = expanded.filter(F.col("direction").isin(used)).drop("direction")
             sides.append(table.join(probe).drop("node"))
-    out = reduce(DataFrame.unionByName, sides)
     if "any" in directions:
-        out = first_rows(out, ["case_id", "transfer_id"], ["ts", "tx_hash"])
-    return out
+        return _edges_once(*sides, edges, expanded.filter(F.col("direction") == "any"))
+    return reduce(DataFrame.unionByName, sides)
+
+
+def _edges_once(by_source: DataFrame, by_target: DataFrame, edges: DataFrame, both: DataFrame) -> DataFrame:
+    """Edges found by either end, each transfer once per case; ``both`` has the nodes looked at from both ends.
+
+    An edge whose source is such a node is there already, so it is left out of the other side before anything
+    moves; only transfer ids that repeat among the edges are grouped.
+    """
+    seen = both.select("case_id", "chain", F.col("node").alias("source"))
+    rest = by_target.join(seen, ["case_id", "chain", "source"], "left_anti")
+    counts = edges.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("transfer_id")
+    repeated, n = stage_counted(counts, "repeated-ids")
+    return first_of_listed(by_source.unionByName(rest), ["case_id", "transfer_id"], ["ts", "tx_hash"], repeated, n)
 
 
 def fallback_edges(cases: DataFrame, edges: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -419,4 +433,4 @@ def forward_closure(edges: DataFrame, roots: DataFrame, rounds: int = 5) -> Data
         .drop("node")
         for end in ("source", "target")
     ]
-    return first_rows(ends[0].unionByName(ends[1]), ["case_id", "transfer_id"], ["ts", "tx_hash"])
+    return _edges_once(*ends, edges, reached)
