@@ -127,12 +127,12 @@ def trace_nodes(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
     deepest case needs.
     """
     visited = frontier = stage(start_nodes(cases), "hop0")
+    open_ends = 0
     for hop in count(1):
-        reached = (
-            neighbours.pairs.join(frontier.filter(F.col("max_hops") >= hop))
-            .select(*CASE_COLUMNS, F.col("nxt").alias("node"))
-            .distinct()
-        )
+        probe, pairs = frontier.filter(F.col("max_hops") >= hop), neighbours.pairs
+        if open_ends > WIDE_ROUND:
+            probe, pairs = _by_case(probe, pairs)
+        reached = pairs.join(probe).select(*CASE_COLUMNS, F.col("nxt").alias("node")).distinct()
         # The columns of a case hang on its id; joining on all of them keeps the partitioning of
         # the distinct rows, so a round has one shuffle.
         fresh = reached.join(visited.select(*CASE_COLUMNS, "node"), [*CASE_COLUMNS, "node"], "left_anti")
@@ -147,6 +147,20 @@ def trace_nodes(cases: DataFrame, neighbours: Neighbours) -> DataFrame:
     return visited
 
 
+def _by_case(probe: DataFrame, pairs: SaltedTable) -> tuple[DataFrame, SaltedTable]:
+    """The nodes of a large round dealt by case, if few pairs leave them.
+
+    A join dealt by node has each new node of a case in as many tasks as lead to it, so no task can combine them.
+    When many cases meet at few nodes, the pairs of those nodes are short enough to be broadcast, and the rows of
+    a case stay together; large cases are split by size.
+    """
+    met = pairs.table.join(probe.select(*pairs.keys).distinct(), list(pairs.keys), "left_semi")
+    onward, n = stage_counted(met, "met-pairs")
+    if n > LISTED:
+        return probe, pairs
+    return probe.hint("rebalance", "case_id"), replace(pairs, table=onward)
+
+
 def trace_with_budget(
     cases: DataFrame,
     neighbours: Neighbours,

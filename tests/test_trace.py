@@ -264,3 +264,84 @@ def test_one_exchange_of_reached_nodes_per_hop(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # One for each side of the neighbour join, one for the distinct rows, one for what was visited.
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def repeated_edges(spark):
+    """Copies of one id, positions that are ids themselves, and edges without a chain."""
+    rows = [(c, f"t{n % 4}" if n % 3 else f"x{n % 2}_1", f"x{n % 2}", n % 2, n) for n in range(40) for c in ("eth", None)]
+    return spark.createDataFrame(rows, "chain string, transfer_id string, tx_hash string, transfer_index int, n int")
+
+
+def test_edge_keys_with_many_repeats(spark, monkeypatch):
+    """The same keys with a short and a long list of repeats; numbering is read, not run again."""
+    few = graph.unique_edge_keys(repeated_edges(spark), ["chain"], ["n"])
+    monkeypatch.setattr(graph, "LISTED", 0)
+    many = graph.unique_edge_keys(repeated_edges(spark), ["chain"], ["n"])
+    assert few.columns == many.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert "Window" not in plan_of(few) and "Window" not in plan_of(many)
+
+
+def test_first_of_many_repeats_moves_rows_once(spark, monkeypatch):
+    df = spark.createDataFrame([(n % 5 if n % 7 else None, n, str(n)) for n in range(50)] + [(9, 1, "a")], "k int, n int, v string")
+    listed = ordering.first_of_repeats(df, ["k"], ["n"]).collect()
+    monkeypatch.setattr(ordering, "LISTED", 0)
+    grouped = ordering.first_of_repeats(df, ["k"], ["n"])
+    assert sorted(map(str, listed)) == sorted(map(str, grouped.collect())) and len(listed) == 7
+    assert "Join" not in plan_of(grouped)
+
+
+def random_any(spark, repeats):
+    rng = random.Random(5)
+    rows = [("eth", rng.choice("abcdef"), rng.choice("abcdef"), f"t{n % repeats}" if n % 11 else None, f"x{n}", n) for n in range(60)]
+    return spark.createDataFrame(rows, "chain string, source string, target string, transfer_id string, tx_hash string, n int").selectExpr("*", "timestamp_seconds(n) ts")
+
+
+@pytest.mark.parametrize("repeats", [60, 25])
+def test_edges_of_both_ends_once(spark, repeats):
+    """Each transfer once per case, the first one of an id that repeats, however many ends are looked at."""
+    edges = random_any(spark, repeats)
+    cases = spark.createDataFrame(
+        [("c1", "eth", "a", "any", 1), ("c2", "eth", "b", "any", 2), ("c3", "eth", "c", "outgoing", 1), ("c4", "eth", "d", "incoming", 1)],
+        "case_id string, chain string, root string, direction string, max_hops int",
+    )
+    ways = ["any", "outgoing", "incoming"]
+    table = trace.neighbour_table(edges, ways)
+    traced = trace.trace_nodes(cases, table)
+    got = trace.trace_edges(edges, traced, table, ways)
+    near = [r for r in traced.collect() if r["hop"] < r["max_hops"]]
+    want = {}
+    for e in sorted(edges.collect(), key=lambda e: e["n"]):
+        for r in near:
+            if e["source"] == r["node"] and r["direction"] != "incoming" or e["target"] == r["node"] and r["direction"] != "outgoing":
+                want.setdefault((r["case_id"], e["transfer_id"]), e["tx_hash"])
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["case_id"], r["transfer_id"]): r["tx_hash"] for r in rows} == want
+
+
+def test_edges_of_both_ends_are_not_grouped(spark):
+    """Ids that don't repeat need no grouping of whole edges."""
+    edges = random_any(spark, 60).filter("transfer_id is not null")
+    table = trace.neighbour_table(edges, ["any"])
+    cases = spark.createDataFrame([("c", "eth", "a", "any", 2)], "case_id string, chain string, root string, direction string, max_hops int")
+    assert "Aggregate" not in plan_of(trace.trace_edges(edges, trace.trace_nodes(cases, table), table, ["any"]))
+
+
+def test_wide_rounds_find_the_same_nodes(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("eth", f"s{n % 30}" if n % 2 else f"m{n % 5}", f"m{rng.randrange(5)}", f"t{n}") for n in range(200)]
+    edges = spark.createDataFrame(rows, "chain string, source string, target string, transfer_id string")
+    cases = spark.createDataFrame(
+        [(f"c{n}", "eth", f"s{n}", "outgoing", 1 + n % 3) for n in range(30)],
+        "case_id string, chain string, root string, direction string, max_hops int",
+    )
+    table = trace.neighbour_table(edges)
+    plain = sorted(map(str, trace.trace_nodes(cases, table).collect()))
+    for rows_listed in (500_000, 0):
+        monkeypatch.setattr(trace, "WIDE_ROUND", 0)
+        monkeypatch.setattr(trace, "LISTED", rows_listed)
+        assert sorted(map(str, trace.trace_nodes(cases, table).collect())) == plain
