@@ -412,8 +412,8 @@ def test_a_common_line_hides_no_passage(spark, monkeypatch, hot, block):
     texts = {i: around(rng, line) for i in range(100)}
     own = random_words(rng, 23), random_words(rng, 23)
     for i in (57, 83):
-        changed = [[f"c{i}" if at % 5 == 4 else w for at, w in enumerate(part)] for part in own]
-        texts[i] = around(rng, changed[0] + line + changed[1])
+        changed = [[f"c{i}" if at % 5 == 0 else w for at, w in enumerate(part)] for part in own]
+        texts[i] = around(rng, changed[0][::-1] + line + changed[1])
     found = passages_by_document(spark, texts)
     assert set(found) == {83} and set(found[83]) == {57}
 
