@@ -428,6 +428,24 @@ def test_word_maps_bound_the_words_in_common():
         assert both + min(taken_x, taken_y) >= shared >= passages.common_words(a, b)
 
 
+def test_a_common_line_pairs_only_what_goes_on_beyond_it(spark):
+    """Few words make all bit maps alike; one pair has the words around in common too, on one side three words further off."""
+    rng = random.Random(45)
+    line, before, after = random_words(rng, 14), random_words(rng, 20), random_words(rng, 25)
+    few = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    texts = {i: few(70) + line + few(70) for i in range(250)}
+    texts[300] = few(50) + before + line + after + few(45)
+    texts[301] = few(50) + before + line + few(3) + after + few(42)
+    texts |= {i: [*few(74 - i % 7), *(["the"] * (52 + i % 9)), *few(60)] for i in range(400, 520)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string").repartition(4)
+    places = [(i // 400, i, 73 if i < 400 else 80 - i % 7, True, 252 if i < 400 else 120) for i in texts]
+    hot = spark.createDataFrame(places, "seed bigint, id bigint, pos int, open boolean, n bigint")
+    pairs = {(r.id, r.src) for r in passages.alike(hot, df, 50, 0.8).collect()}
+    assert (301, 300) in pairs and len({p for p in pairs if p[0] < 400}) < 500
+    run = {p for p in pairs if p[0] >= 400}
+    assert {x for x, _ in run} == set(range(401, 520)) and {(x, 400) for x in range(401, 520)} <= run and len(run) < 1000
+
+
 # Pipeline
 
 
