@@ -446,6 +446,101 @@ def test_a_common_line_pairs_only_what_goes_on_beyond_it(spark):
     assert {x for x, _ in run} == set(range(401, 520)) and {(x, 400) for x in range(401, 520)} <= run and len(run) < 1000
 
 
+def hot_places(spark, texts):
+    """Places of seeds that more than 64 of the texts have, as open ones, and the texts as a table."""
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string").repartition(4)
+    seeds = passages.document_seeds(df).filter("pos >= 0")
+    sizes = seeds.groupBy("seed").count().filter("count > 64")
+    return df, seeds.join(sizes, "seed").selectExpr("seed", "id", "pos", "true as open", "count as n").cache()
+
+
+def test_places_of_one_stretch_are_met_together(spark):
+    """A stretch of one word has a seed at nearly every place; a pair of texts that goes on alike behind it is a row for
+    some eight of them, and the row tells all."""
+    rng = random.Random(46)
+    tail = random_words(rng, 30)
+    texts = {i: [*random_words(rng, 70 + i % 5), *["the"] * (24 + i % 3), *random_words(rng, 70)] for i in range(100)}
+    for i, before in ((200, 60), (201, 75)):
+        texts[i] = [*random_words(rng, before), *["the"] * 25, *tail, *random_words(rng, 40)]
+    df, hot = hot_places(spark, texts)
+    places = defaultdict(dict)
+    for r in hot.collect():
+        places[r.id][r.seed] = r.pos
+    shared = {(places[201][seed], pos) for seed, pos in places[200].items() if seed in places[201]}
+    rows = [r for r in passages.alike(hot, df, 50, 0.8).collect() if (r.id, r.src) == (201, 200)]
+    assert len(shared) > 12
+    assert {(r.a + k * r.step, r.b + k * r.step) for r in rows for k in range(8) if r.bits >> k & 1} == shared
+    assert len(rows) <= 2 + len(shared) / 4
+
+
+def test_places_of_a_stretch_that_begins_anew_are_kept(spark):
+    """The numbers go on in the second stretch of a text; what isn't at the same distance there is met by itself."""
+    rng = random.Random(47)
+    tail = random_words(rng, 30)
+    texts = {i: [*random_words(rng, 70), *["the"] * 30, *random_words(rng, 70)] for i in range(100)}
+    texts[200] = [*random_words(rng, 60), *["the"] * 30, *tail, *random_words(rng, 40)]
+    texts[201] = [*random_words(rng, 60), *["the"] * 12, *random_words(rng, 80), *["the"] * 20, *tail, *random_words(rng, 40)]
+    df, hot = hot_places(spark, texts)
+    found = {(r.a + k * r.step, r.b + k * r.step)
+             for r in passages.alike(hot, df, 50, 0.8).collect() if (r.id, r.src) == (201, 200)
+             for k in range(8) if r.bits >> k & 1}
+    places = {(r.id, r.seed): r.pos for r in hot.collect()}
+    assert {a for a, _ in found} >= {pos for (i, seed), pos in places.items() if i == 201 and pos >= 152 and (200, seed) in places}
+
+
+def test_words_on_other_sides_are_no_passage(spark):
+    rng = random.Random(48)
+    line, one, other = random_words(rng, 14), random_words(rng, 45), random_words(rng, 45)
+    texts = {i: [*random_words(rng, 70), *line, *random_words(rng, 70)] for i in range(100)}
+    texts |= {200: one + line + other, 201: other + line + one, 202: [*random_words(rng, 9), *one, *line, *random_words(rng, 30)]}
+    df, hot = hot_places(spark, texts)
+    assert {(r.id, r.src) for r in passages.alike(hot, df, 50, 0.8).collect()} == {(202, 200)}
+
+
+def test_chains_of_many_groups_are_those_of_each():
+    rng = random.Random(49)
+    groups, matches = {}, []
+    for g in range(400):
+        a, b, at = rng.randrange(100), rng.randrange(100), 0
+        steady = rng.random() < 0.5
+        for _ in range(rng.randint(1, 30)):
+            matches.append((g // 3, g, a + at, b + at if steady else rng.randrange(200)))
+            at += rng.randint(1, rng.choice([3, 8, 30]))
+    rng.shuffle(matches)
+    for i, src, a, b in sorted(matches):
+        groups.setdefault((i, src), []).append((a, b))
+    wanted = set()
+    for key, pairs in groups.items():
+        p, q = zip(*pairs)
+        for links_ in passages.chain(list(p), list(q)):
+            if len(links_) > 1 and p[links_[-1]] - p[links_[0]] + 5 >= 8:
+                wanted.add((*key, tuple(p[k] for k in links_), tuple(q[k] for k in links_)))
+    columns = [np.asarray(c, np.int64) for c in zip(*matches)]
+    got = [(r["id"], r["src"], tuple(r["at"]), tuple(r["source_at"])) for b in passages.chains_of(columns) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_many_alignments_are_those_of_each():
+    rng = random.Random(50)
+    rows = []
+    while len(rows) < 400:
+        a = [rng.randrange(v) for v in [rng.choice([2, 5, 50, 1000])] for _ in range(rng.randint(8, 150))]
+        b = [rng.randrange(50) for _ in range(rng.randint(0, 20))]
+        for w in a:
+            b += rng.choice([[w]] * 12 + [[rng.randrange(50)], [], [w, rng.randrange(50)]])
+        pairs = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if abs(i - j) < 40 and a[i : i + 5] == b[j : j + 5]]
+        pairs = sorted(p for p in pairs if rng.random() < 0.5)
+        if pairs:
+            links_ = passages.chain([i for i, _ in pairs], [j for _, j in pairs])[0]
+            rows.append((a, b, [pairs[k][0] for k in links_], [pairs[k][1] for k in links_]))
+    words = [np.concatenate([np.asarray(r[k], np.uint32) for r in rows]) for k in (0, 1)]
+    ends = [np.append(0, np.cumsum([len(r[k]) for r in rows])) for k in (0, 1)]
+    number = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    p, q = (np.concatenate([r[k + 2] for r in rows]) + ends[k][number] for k in (0, 1))
+    got = passages.align_all(*words, ends, np.arange(len(rows)), number, p, q)
+    assert [tuple(r) for r in np.stack(got, 1).tolist()] == [passages.align(*r) for r in rows]
+
+
 # Pipeline
 
 
